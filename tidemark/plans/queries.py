@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tidemark.plans import instants
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": instants.p4_found}
 SQL: dict[str, str] = {}
