@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, formatting, near, plain
+from tidemark.llm import components, formatting, history, near, plain, survivor
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,8 +45,24 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select(F.col("vertex").alias("event_id"), F.col("component").alias("group_id"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    best = survivor.golden(spark.read.parquet(f"{sf}/article_revisions.parquet"), spark.read.parquet(f"{sf}/feeds.parquet"), least=2)
+    fields = F.array(*(F.struct(F.lit(x).alias("field"), F.col(f"{x}.record").alias("revision_id")) for x in ("url", "title")))
+    return best.select("article_key", F.explode(fields).alias("f")).select("article_key", "f.field", "f.revision_id").where("revision_id is not null")
+
+
+def p6_golden(spark: SparkSession, sf: str) -> DataFrame:
+    best = survivor.golden(spark.read.parquet(f"{sf}/article_revisions.parquet"), spark.read.parquet(f"{sf}/feeds.parquet"))
+    return best.select("article_key", "url.values.url", "url.values.rss_source", "title.values.title", "title.values.published", "title.values.description")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    articles, incoming = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("articles", "incoming_articles"))
+    return history.repeated(articles, incoming, "article_id", "url", ("title", "description"), least=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_records, p3_found, p3_groups, p5_found, p5_groups)
+    f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_records, p3_found, p3_groups, p5_found, p5_groups, p6_found, p6_golden, p7_found)
 }
 
 _LINKS = """
