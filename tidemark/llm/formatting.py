@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shingles import distinct
 from tidemark.operators.skew import attach
 from tidemark.scratch import stored
 
@@ -68,7 +69,7 @@ def _packed(at: np.ndarray) -> bytes:
 
 def _segments(once: np.ndarray, again: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
     segment, again_segment = once // SEGMENT, again // SEGMENT
-    for n in np.unique(segment):
+    for n in distinct(segment):
         yield int(n), _packed((once[segment == n] % SEGMENT).astype(np.int64)), _packed((again[again_segment == n] % SEGMENT).astype(np.int64))
 
 
@@ -97,7 +98,7 @@ def repeat_filter(keys: DataFrame, rows: int) -> tuple[int, dict[int, bytes]]:
         keys = pa.chunked_array(seen).combine_chunks()
         at = _positions(keys, bits)
         _, first, counts = np.unique(at[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ at[:, 1], return_index=True, return_counts=True)
-        parts = list(_segments(np.unique(at[first]), np.unique(at[first[counts > 1]])))
+        parts = list(_segments(distinct(at[first].ravel()), distinct(at[first[counts > 1]].ravel())))
         names = ("segment", "once", "again", "part")
         part = int(at[0, 0] % 16)
         for p in parts:

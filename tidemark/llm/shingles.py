@@ -23,6 +23,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting, which beats hashing by far here."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def first_of_each(group: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the first of equal (group, key), in order of both."""
+    order = np.lexsort((key, group))
+    g, k = group[order], key[order]
+    return order[np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])]] if len(order) else order
+
+
 def content_key(text: str) -> int | None:
     """Signed 64-bit key of a text; None for a text without content."""
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if text else None
@@ -41,14 +54,15 @@ def grams(texts: list[str]) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     hashes = mixed(codes[:-2] * _MIX[0] + codes[1:-1] * _MIX[1] + codes[2:] * _MIX[2])
     inside = of[:-2] == of[2:]
-    return np.unique((of[:-2][inside] << np.uint64(WIDTH)) | (hashes[inside] & MASK))
+    return distinct((of[:-2][inside] << np.uint64(WIDTH)) | (hashes[inside] & MASK))
 
 
 def similarity(left: list[str], right: list[str]) -> np.ndarray:
     """Runs in both divided by runs in either, pair by pair; 0 where both are empty."""
     a, b = grams(left), grams(right)
     of = lambda x: np.bincount((x >> np.uint64(WIDTH)).astype(np.int64), minlength=len(left))
-    both = of(np.intersect1d(a, b, assume_unique=True))
+    merged = np.sort(np.concatenate([a, b]))
+    both = of(merged[1:][merged[1:] == merged[:-1]])
     return both / np.maximum(1, of(a) + of(b) - both)
 
 
