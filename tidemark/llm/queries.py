@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, formatting, history, near, plain, survivor
+from tidemark.llm import components, formatting, garbled, history, near, plain, survivor
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,8 +61,16 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return history.repeated(articles, incoming, "article_id", "url", ("title", "description"), least=0.7)
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.restore(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.restore(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_records, p3_found, p3_groups, p5_found, p5_groups, p6_found, p6_golden, p7_found)
+    f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_records, p3_found, p3_groups, p5_found, p5_groups, p6_found, p6_golden, p7_found, p10_found, p10_restored)
 }
 
 _LINKS = """
