@@ -15,6 +15,8 @@ WIDTH = 40
 MASK = np.uint64((1 << WIDTH) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 SEGMENT = 1 << 16
+#: Most buckets of a table of counts, and most places of a presence table.
+MOST, MOST_PLACES = 1 << 22, 1 << 24
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,6 +38,13 @@ def first_of_each(group: np.ndarray, key: np.ndarray) -> np.ndarray:
     return order[np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])]] if len(order) else order
 
 
+def mixed_int(x: int) -> int:
+    """``mixed`` of one number."""
+    x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
+    x = (x ^ (x >> 29)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return x ^ (x >> 32)
+
+
 def content_key(text: str) -> int | None:
     """Signed 64-bit key of a text; None for a text without content."""
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if text else None
@@ -90,7 +99,39 @@ def summed(parts: DataFrame, size: int) -> np.ndarray:
 
 def table_size(rows: int) -> int:
     """Buckets of a table of counts: a power of two near four per row, from 2^16 to 2^22 (16 MB)."""
-    return min(1 << 22, max(SEGMENT, 1 << (4 * rows).bit_length()))
+    return min(MOST, max(SEGMENT, 1 << (4 * rows).bit_length()))
+
+
+_COUNTS = pa.schema([("segment", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+
+
+def presence(keys: DataFrame, rows: int) -> np.ndarray:
+    """Which of a bounded number of places some key of the one column falls on; a place may hold many keys."""
+    size = min(MOST_PLACES, max(SEGMENT, 1 << (8 * rows).bit_length()))
+
+    def fill(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        field, part = np.zeros(size, dtype=np.uint8), 0
+        for b in batches:
+            at = b.column(0).to_numpy().astype(np.uint64) % np.uint64(size)
+            part = int(at[0] % 16) if len(at) else part
+            field[at.astype(np.int64)] = 1
+        for i, c in packed(field):
+            yield batch(_COUNTS, {"segment": [i], "part": [part], "counts": [c]})
+
+    return summed(keys.mapInArrow(fill, "segment int, part int, counts binary"), size) > 0
+
+
+def only_present(df: DataFrame, key: str, places: np.ndarray) -> DataFrame:
+    """The rows of ``df`` whose key may be among those of ``places``."""
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(places))  # at most 2 MB
+    size, at = len(places), df.columns.index(key)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        has = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(has[(b.column(at).to_numpy().astype(np.uint64) % np.uint64(size)).astype(np.int64)]))
+
+    return df.mapInArrow(keep, df.schema)
 
 
 def batch(schema: pa.Schema, columns: dict[str, Iterable]) -> pa.RecordBatch:
