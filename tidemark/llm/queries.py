@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, formatting, garbled, history, near, plain, survivor
+from tidemark.llm import components, formatting, garbled, history, mixing, near, packing, plain, survivor, tokens
+from tidemark.scratch import stored
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,6 +62,28 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return history.repeated(articles, incoming, "article_id", "url", ("title", "description"), least=0.7)
 
 
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, source, n_tokens) of all documents, tokenized once and stored."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    return stored(documents.select("doc_id", "source", tokens.token_count(F.col("text")).alias("n_tokens")))
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(_sizes(spark, sf), "doc_id", "n_tokens", spark.read.parquet(f"{sf}/container_sizes.parquet"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_rates(p8_containers(spark, sf), spark.read.parquet(f"{sf}/container_sizes.parquet"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, sf), spark.read.parquet(f"{sf}/mix_targets.parquet"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, sf), spark.read.parquet(f"{sf}/mix_targets.parquet"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return garbled.restore(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id")
 
@@ -70,7 +93,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_records, p3_found, p3_groups, p5_found, p5_groups, p6_found, p6_golden, p7_found, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_records, p3_found, p3_groups, p5_found, p5_groups, p6_found, p6_golden, p7_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)
 }
 
 _LINKS = """
