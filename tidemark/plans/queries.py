@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import instants
+from tidemark.plans import instants, relational
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": instants.p4_found}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, "p4_found": instants.p4_found}
+SQL: dict[str, str] = dict(relational.SQL)
