@@ -99,7 +99,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     pieces = placed.select("source", "doc_id", "start", "n", F.explode(numbers).alias("block_no"))
     begin, end = F.greatest("start", F.col("block_no") * block), F.least(F.col("start") + F.col("n"), (F.col("block_no") + 1) * block)
     pieces = pieces.select("source", "block_no", "doc_id", (begin - F.col("start")).alias("first_token"), (end - begin).alias("n_tokens"))
-    return mapped.join(pieces, ["source", "block_no"]).select("shard", "source", "block_no", "repeat_no", "doc_id", "first_token", "n_tokens")
+    # the ranges look small to the optimiser, the slots they stand for grow with the data: never broadcast them
+    return mapped.hint("merge").join(pieces, ["source", "block_no"]).select("shard", "source", "block_no", "repeat_no", "doc_id", "first_token", "n_tokens")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
