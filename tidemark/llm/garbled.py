@@ -27,7 +27,7 @@ from tidemark.scratch import stored
 BIGRAMS, LETTERS = 1 << 21, 1 << 16
 #: What the share of a cipher in a source starts from and never falls below.
 FIRST_SHARE, LEAST_SHARE = 1e-3, 1e-5
-ROUNDS = 2
+ROUNDS = 1
 LOST = "�"
 
 
@@ -58,14 +58,16 @@ CIPHERS = (
     ("cyrillic_western", "western", "cp1251", "[\xa8\xb8\xc0-\xff]"),
     ("koi8_western", "western", "koi8_r", "[\xa3\xb3\xc0-\xff]"),
 )
-_PATTERNS = [re.compile(f"{symbol}+") for *_, symbol in CIPHERS]
+#: A run of one-byte symbols has two in a row somewhere; words of one letter beside it belong to it.
+_PATTERNS = [re.compile(f"(?:{x}+ )*{x}{{2,}}(?: {x}+)*" if name in ("cyrillic_western", "koi8_western") else f"{x}+") for name, _, _, x in CIPHERS]
 
 
 class _Bytes(dict):
     """A translation of characters to bytes; what the code page lacks becomes 0."""
 
     def __missing__(self, code: int) -> int:
-        return code if code < 128 else 0
+        self[code] = made = code if code < 128 else 0
+        return made
 
 
 _TABLES = {k: _Bytes(str.maketrans(v)) for k, v in WRONG.items()}
@@ -84,15 +86,30 @@ _KANA_ROWS = re.compile("[\xa1\xa3-\xa5]")
 NAMES = [c[0] for c in CIPHERS] + [c[0] for c in WIDE] + ["utf8_western_twice", "lost"]
 
 
-def _classes(table: dict[str, str]) -> str:
-    lead = "".join(re.escape(c) for c, b in table.items() if "\xc2" <= b <= "\xf4")
-    rest = "".join(re.escape(c) for c, b in table.items() if "\x80" <= b <= "\xbf")
-    return f"[{lead}][{rest}]"
+def _units(table: dict[str, str]) -> str:
+    """The units of UTF-8 of several bytes, in the characters of a code page."""
 
+    def between(low: str, high: str) -> str:
+        return "[" + "".join(re.escape(c) for c, b in table.items() if low <= b <= high) + "]"
 
-#: A text without any of these holds no symbol of any cipher.
-_WESTERN_HIGH = "".join(re.escape(c) for c in _WESTERN)
-SUSPECT = re.compile("[\x80-\x9f\ufffd\ue000-\uf8ff]|" + "|".join(map(_classes, WRONG.values())) + f"|[{_WESTERN_HIGH}]{{2}}|[繧縺繝縲]|[｡-ﾟ]{{2}}|[À-ÿ]{{2}}")
+    rest = between("\x80", "\xbf")
+    return f"{between('\xc2', '\xdf')}{rest}|{between('\xe0', '\xef')}{rest}{rest}"
+
+
+#: A line without any of these holds no run of any cipher: control, private and replacement characters; units of UTF-8;
+#: characters that lead in cp932 and hardly occur in genuine text; kana rows of EUC, or many or oddly placed high bytes.
+#: Each begins with a character that genuine text seldom holds, so that most places are passed over at once.
+SUSPECT = re.compile(
+    "(?=[\x80-\xff\ufffd\ue000-\uf8ff" + "".join(re.escape(c) for page in WRONG.values() for c in page) + "繧縺繝縲｡-ﾟ])(?:"
+    "[\x80-\x9f\ufffd\ue000-\uf8ff]|"
+    + "|".join(map(_units, WRONG.values()))
+    + "|[‚ƒ„†‡ˆ‰Š‹ŒŽ˜š›žŸ]|[¡£¤¥][¡-þ]|[¡-þ]{4}|[À-ÿ]{3}|(?<=[一-龠ぁ-ヺ。、])[¡-þ]{2}|[¡-þ]{2}[一-龠ぁ-ヺ。、]"
+    + "|(?:(?<=[Ѐ-ӿ])|(?<=[Ѐ-ӿ] ))[À-ÿ]|[À-ÿ] ?[Ѐ-ӿ]|[繧縺繝縲｡｣､･]|(?<=[一-龠])[ｦ-ﾟ][一-龠])"
+)
+
+#: Without any of these a line holds no run of the cipher.
+_TELLTALES = {"utf8_sjis": re.compile("[\ufffd繧縺繝縲\ue000-\uf8ff]|[一-龠][ｦ-ﾟ][一-龠]"), "euc_sjis": re.compile("[｡｣､･]"), "utf8_euc": re.compile("\ufffd")}
+_FAILED = re.compile("\ufffd+")
 
 
 def bigram_places(codes: np.ndarray) -> np.ndarray:
@@ -105,26 +122,31 @@ class Language:
     WEIGHT = 2.0
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.pairs, self.letters = counts[:BIGRAMS], counts[BIGRAMS:]
-        self.total = float(self.letters.sum()) + 1.0
+        self.pairs, self.letters = (memoryview(np.ascontiguousarray(x)) for x in (counts[:BIGRAMS], counts[BIGRAMS:]))
+        self.total = float(counts[BIGRAMS:].sum()) + 1.0
         self.known: dict[str, float] = {}
+        self.judged: dict[tuple, list] = {}
+        self.bytes: dict[str, dict[str, str]] = defaultdict(dict)
 
     def after(self, a: str, b: str) -> float:
         """log P(b | a)."""
         if (known := self.known.get(a + b)) is None:
-            i = int(S.mixed(np.array([ord(a) * 0x110000 + ord(b)], dtype=np.uint64))[0] % np.uint64(BIGRAMS))
-            second = max(0.0, float(self.letters[ord(b) % LETTERS]))
-            seen = max(0.0, float(self.letters[ord(a) % LETTERS]))
+            i = S.mixed_int(ord(a) * 0x110000 + ord(b)) % BIGRAMS
+            second, seen = self.letters[ord(b) % LETTERS], self.letters[ord(a) % LETTERS]
             # no pair is more frequent than its letters: most collisions of the table go no further
-            both = min(seen, second, max(0.0, float(self.pairs[i])))
+            both = min(seen, second, self.pairs[i])
             known = self.known[a + b] = math.log((both + self.WEIGHT * (second + 0.01) / self.total) / (seen + self.WEIGHT))
             if len(self.known) > 500_000:
                 self.known.clear()
         return known
 
     def likelihood(self, text: str, before: str, behind: str) -> float:
-        run = f"{before or ' '}{text}{behind or ' '}"
-        return sum(self.after(a, b) for a, b in zip(run, run[1:], strict=False))
+        known, after, a, total = self.known, self.after, before or " ", 0.0
+        for b in f"{text}{behind or ' '}":
+            p = known.get(a + b)
+            total += after(a, b) if p is None else p
+            a = b
+        return total
 
 
 def _decoded(raw: str, encoding: str) -> str | None:
@@ -187,54 +209,76 @@ class Run:
     def __init__(self, start: int, end: int, cipher: str, letters: str, symbols: list[str]) -> None:
         self.start, self.end, self.cipher, self.letters, self.symbols, self.gain = start, end, cipher, letters, symbols, 0.0
 
+    def moved(self, by: int) -> Run:
+        self.start, self.end = self.start + by, self.end + by
+        return self
 
-def _runs(text: str, language: Language, learned: dict) -> Iterator[Run]:
-    views = {}
-    for k, (name, page, encoding, symbol) in enumerate(CIPHERS):
+
+def _judged(language: Language, k: int, raw: str, as_is: str, before: str, behind: str) -> list[tuple[str, str, list[str], float]]:
+    """(cipher, letters, symbols, gain) of a run of the ciphers of one byte; remembered, as runs of genuine accents recur."""
+    key = (k, raw, before, behind)
+    if (known := language.judged.get(key)) is not None:
+        return known
+    name, page, encoding, symbol = CIPHERS[k]
+    found = []
+    if (letters := _decoded(raw, encoding)) is not None:
+        plain = language.likelihood(as_is, before, behind)
+        found.append((name, letters, re.findall(symbol, raw), language.likelihood(letters, before, behind) - plain))
+        if name == "utf8_western":
+            once = letters.translate(_TABLES[page])
+            if (twice := _TWICE.sub(_second, once)) != once:
+                found.append(("utf8_western_twice", twice, [], language.likelihood(twice, before, behind) - plain))
+    if len(language.judged) > 200_000:
+        language.judged.clear()
+    language.judged[key] = found
+    return found
+
+
+def _runs(text: str, language: Language, learned: dict, shares: dict[str, float]) -> Iterator[Run]:
+    """The runs of a line that are likelier garbled than not under some cipher."""
+    views: dict[str, str] = {}
+    for k, (_, page, *_rest) in enumerate(CIPHERS):
         if page not in views:
             views[page] = text.translate(_TABLES[page])
         for m in _PATTERNS[k].finditer(views[page]):
-            if (letters := _decoded(m[0], encoding)) is not None:
-                yield Run(m.start(), m.end(), name, letters, re.findall(symbol, m[0]))
-                if name == "utf8_western" and (twice := _TWICE.sub(_second, letters.translate(_TABLES[page]))) != letters.translate(_TABLES[page]):
-                    yield Run(m.start(), m.end(), "utf8_western_twice", twice, [])
-    if LOST in text or re.search("[繧縺繝縲｡-ﾟ\ue000-\uf8ff]", text):
-        for k, (name, page, encoding, symbol) in enumerate(WIDE):
-            known: dict[str, str] = {}
-            raw, owner = _wide_bytes(text, page, known)
+            start, end = m.span()
+            for name, letters, symbols, gain in _judged(language, k, m[0], text[start:end], text[start - 1 : start], text[end : end + 1]):
+                if gain > 0 and (gain := gain + math.log(shares.get(name, FIRST_SHARE))) > 0:
+                    run = Run(start, end, name, letters, symbols)
+                    run.gain = gain
+                    yield run
+    for k, (name, page, encoding, symbol) in enumerate(WIDE):
+        if _TELLTALES[name].search(text):
+            raw, owner = _wide_bytes(text, page, language.bytes[page])
             owner.append(len(text))
             for m in _WIDE_PATTERNS[k].finditer(raw):
-                symbols = re.findall(symbol, m[0])
                 start, end = owner[m.start()], owner[m.end() - 1] + 1
-                if m.start() and owner[m.start() - 1] == start:  # the run begins inside a character
-                    continue
-                if owner[m.end()] == end - 1:
-                    continue
-                if name == "euc_sjis" and (_NARROW.match(text[start - 1 : start]) or _NARROW.match(text[end : end + 1])):
+                if m.start() and owner[m.start() - 1] == start or owner[m.end()] == end - 1:  # it begins or ends inside a character
                     continue
-                if name == "euc_sjis" and not _KANA_ROWS.search(m[0]):
+                if name == "euc_sjis" and (_NARROW.match(text[start - 1 : start]) or _NARROW.match(text[end : end + 1]) or not _KANA_ROWS.search(m[0])):
                     continue
-                letters = _fill(symbols, encoding, text[start - 1 : start], language, learned.get(name, {}))
-                yield Run(start, end, name, letters, symbols)
+                symbols = re.findall(symbol, m[0])
+                before, behind = text[start - 1 : start], text[end : end + 1]
+                run = Run(start, end, name, _fill(symbols, encoding, before, language, learned.get(name, {})), symbols)
+                run.gain = language.likelihood(run.letters, before, behind) - language.likelihood(text[start:end], before, behind) + math.log(shares.get(name, FIRST_SHARE))
+                if run.gain > 0:
+                    yield run
 
 
 def garbled_runs(text: str, language: Language, shares: dict[str, float], learned: dict) -> list[Run]:
-    """The runs of ``text`` that are likelier garbled than not, none overlapping another."""
-    found = []
-    for run in _runs(text, language, learned):
-        before, behind = text[run.start - 1 : run.start], text[run.end : run.end + 1]
-        as_is = language.likelihood(text[run.start : run.end], before, behind)
-        run.gain = language.likelihood(run.letters, before, behind) - as_is + math.log(shares.get(run.cipher, FIRST_SHARE))
-        if run.gain > 0:
-            found.append(run)
+    """The runs of ``text`` that are likelier garbled than not, none overlapping another; a run never spans lines."""
     chosen: list[Run] = []
-    taken = bytearray(len(text))
-    for run in sorted(found, key=lambda r: -r.gain):
-        if not any(taken[run.start : run.end]):
-            taken[run.start : run.end] = b"\x01" * (run.end - run.start)
-            chosen.append(run)
-    # a character that no decoder but a failing one makes
-    chosen += [Run(m.start(), m.end(), "lost", m[0], [m[0]]) for m in re.finditer(f"{LOST}+", text) if not any(taken[m.start() : m.end()])]
+    at = 0
+    for line in text.split("\n"):
+        if SUSPECT.search(line):
+            taken = bytearray(len(line))
+            for run in sorted(_runs(line, language, learned, shares), key=lambda r: -r.gain):
+                if not any(taken[run.start : run.end]):
+                    taken[run.start : run.end] = b"\x01" * (run.end - run.start)
+                    chosen.append(run.moved(at))
+            # a character that no decoder but a failing one makes
+            chosen += [Run(m.start() + at, m.end() + at, "lost", m[0], [m[0]]) for m in _FAILED.finditer(line) if not any(taken[m.start() : m.end()])]
+        at += len(line) + 1
     return sorted(chosen, key=lambda r: r.start)
 
 
@@ -313,6 +357,7 @@ def _expect(docs: DataFrame, counts: np.ndarray, learned: dict) -> DataFrame:
         away, back = np.zeros(BIGRAMS + LETTERS, dtype=np.int64), np.zeros(BIGRAMS + LETTERS, dtype=np.int64)
         runs_of: Counter = Counter()
         letters: Counter = Counter()
+        before, after, size = [], [], 0
         for b in batches:
             for _, source, text, shares in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 runs_of[source, ""] += 1
@@ -324,8 +369,15 @@ def _expect(docs: DataFrame, counts: np.ndarray, learned: dict) -> DataFrame:
                 for r in runs:
                     if len(r.symbols) == len(r.letters) and r.cipher != "lost":
                         letters.update((r.cipher, s, c) for s, c in zip(r.symbols, r.letters, strict=True))
-                _count([text], away)
-                _count([translated(text, runs, language, learned)], back)
+                before.append(text)
+                after.append(translated(text, runs, language, learned))
+                size += len(text)
+                if size > 4_000_000:
+                    _count(before, away)
+                    _count(after, back)
+                    before, after, size = [], [], 0
+        _count(before, away)
+        _count(after, back)
         for kind, table in ((0, away), (1, back)):
             if packed := S.packed(table):
                 yield S.batch(_PARTS, {"segment": [i for i, _ in packed], "part": [0] * len(packed), "counts": [c for _, c in packed], "kind": [kind] * len(packed)})
