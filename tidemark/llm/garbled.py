@@ -126,6 +126,7 @@ class Language:
         self.total = float(counts[BIGRAMS:].sum()) + 1.0
         self.known: dict[str, float] = {}
         self.judged: dict[tuple, list] = {}
+        self.between: dict[str, str] = {}
         self.bytes: dict[str, dict[str, str]] = defaultdict(dict)
 
     def after(self, a: str, b: str) -> float:
@@ -140,6 +141,13 @@ class Language:
                 self.known.clear()
         return known
 
+    def letter_between(self, a: str, b: str) -> str:
+        """The letter of one lost byte, if one is far likelier than all others there; else the replacement character."""
+        if (known := self.between.get(a + b)) is None:
+            (best, letter), (next_best, _) = sorted(((self.after(a, x) + self.after(x, b), x) for x in _HIGH_LETTERS), reverse=True)[:2]
+            known = self.between[a + b] = letter if best > -9 and best - next_best > 1.5 else LOST
+        return known
+
     def likelihood(self, text: str, before: str, behind: str) -> float:
         known, after, a, total = self.known, self.after, before or " ", 0.0
         for b in f"{text}{behind or ' '}":
@@ -288,12 +296,8 @@ def translated(text: str, runs: list[Run], language: Language, learned: dict, de
     for run in runs:
         parts.append(text[at : run.start])
         if run.cipher == "lost":
-            for c in run.letters:
-                before = "".join(parts)[-1:] or " "
-                behind = text[run.end : run.end + 1] or " "
-                options = learned.get("lost", {}).get(LOST) or _HIGH_LETTERS
-                scored = sorted(((language.after(before, o) + language.after(o, behind), o) for o in options), reverse=True) if len(run.letters) == 1 else []
-                parts.append(scored[0][1] if scored and scored[0][0] > -9 and scored[0][0] - scored[1][0] > 1.5 else c)
+            before = next((x[-1] for x in reversed(parts) if x), " ")
+            parts.append(language.letter_between(before, text[run.end : run.end + 1] or " ") if len(run.letters) == 1 else run.letters)
         else:
             table = learned.get(run.cipher, {})
             direct = len(run.symbols) == len(run.letters)
