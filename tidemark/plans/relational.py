@@ -451,3 +451,206 @@ def q_linked_blocks(t):
 def q_cluster_complete_linkage(t):
     edges = t("merge_preview").where("event_a_id is not null and event_b_id is not null and event_a_id != event_b_id")
     return dedupe.complete_linkage(edges.select(F.col("event_a_id").alias("a"), F.col("event_b_id").alias("b"), "pair_no"), "pair_no")
+
+
+@query("""
+WITH u AS (SELECT url, article_id, title, 0 AS turn FROM articles UNION ALL SELECT url, article_id, title, 1 AS turn FROM incoming_articles)
+SELECT url, arg_max(title, (turn, article_id)) AS title, arg_max(article_id, (turn, article_id)) AS article_id, min((turn, article_id))[2] AS first_id FROM (SELECT url, article_id, coalesce(title, '') AS title, turn FROM u) GROUP BY url""")
+def q_inbox_union(t):
+    """Last write wins per url, the first place is kept."""
+    rows = [t(x).select("url", "article_id", F.coalesce("title", F.lit("")).alias("title"), F.lit(i).alias("turn")) for i, x in enumerate(("articles", "incoming_articles"))]
+    ordered = rows[0].unionByName(rows[1]).select("url", F.struct("turn", "article_id").alias("at"), "title")
+    kept = keyed.keep_last_at_first(ordered, ["url"], ["at"])
+    return kept.select("url", "title", F.col("at.article_id").alias("article_id"), F.col("first_position.article_id").alias("first_id"))
+
+
+@query(f"""
+WITH m AS (SELECT url, {_PRINT.format('a')} AS mark, article_id, 0 AS turn FROM articles a WHERE url IS NOT NULL UNION ALL SELECT url, {_PRINT.format('i')}, article_id, 1 FROM incoming_articles i WHERE url IS NOT NULL),
+l AS (SELECT url, turn, arg_max(mark, (article_id, mark)) AS mark, max(article_id) AS last_id, min(article_id) AS first_id FROM m GROUP BY 1, 2),
+o AS (SELECT * FROM l WHERE turn = 0), n AS (SELECT * FROM l WHERE turn = 1)
+SELECT coalesce(o.url, n.url) AS url, coalesce(n.mark, o.mark) AS mark, coalesce(o.mark <> n.mark, false) AS is_changed,
+  CASE WHEN o.url IS NULL OR coalesce(o.mark <> n.mark, false) THEN n.first_id ELSE o.first_id END AS first_id, CASE WHEN coalesce(o.mark <> n.mark, false) THEN 1 ELSE 0 END::BIGINT AS n_history
+FROM o FULL JOIN n ON o.url = n.url""")
+def q_state_upsert(t):
+    from tidemark.operators import state
+
+    def marks(name):
+        at = F.timestamp_micros("article_id").alias("at")
+        return state.fresh(t(name).select("url", fingerprint("url", "title", "description", "published").alias("m"), at), "url", "m", "at")
+
+    after = state.upsert(marks("articles"), marks("incoming_articles"), "url")
+    return after.select("url", "mark", "is_changed", F.unix_micros("first_seen_at").alias("first_id"), F.size("history").cast("long").alias("n_history"))
+
+
+@query()
+def q_reprints(t):
+    from tidemark.functions.unicode import headline
+    from tidemark.operators.reprints import reprints
+    from tidemark.operators.timestamps import with_instant
+
+    feeds = t("feeds")
+    portals = feeds.where("is_portal").select(F.col("feed_name").alias("feed"), F.lit(1).alias("rank")).distinct()
+    timed = with_instant(t("articles"), "published", F.col("rss_source.name"), feeds, "at")
+    body = X.without_tags(F.when(~F.contains(F.coalesce("description", F.lit("")), F.lit("<a ")), F.col("description")))
+    rows = timed.select(F.col("article_id").alias("id"), "url", headline(F.col("title"), F.col("rss_source.name")).alias("headline"), F.coalesce("rss_source.name", F.lit("")).alias("feed"), "at", F.when(F.length(body) >= 40, body).otherwise("").alias("body"))
+    return reprints(rows.join(portals, "feed", "left").fillna(0, ["rank"]))
+
+
+@query("""
+WITH x AS (SELECT group_key, unnest(articles) AS a FROM news_groups), h AS (SELECT group_key, regexp_replace(split_part(coalesce(a.title, ''), ' - ', 1), '[ 　]+', '', 'g') AS h FROM x)
+SELECT group_key, count(*) AS n_articles, count(DISTINCT h) AS n_headlines, count(*) - count(DISTINCT h) AS n_excluded FROM h GROUP BY 1""")
+def q_group_dedupe(t):
+    heading = F.regexp_replace(F.split_part(F.coalesce("a.title", F.lit("")), F.lit(" - "), F.lit(1)), "[ 　]+", "").alias("h")
+    rows = t("news_groups").select("group_key", F.explode("articles").alias("a")).select("group_key", heading)
+    each = rows.groupBy("group_key", "h").agg(F.count("*").alias("n"))
+    return each.groupBy("group_key").agg(F.sum("n").alias("n_articles"), F.count("*").alias("n_headlines"), (F.sum("n") - F.count("*")).alias("n_excluded"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT event_a_id AS a, event_b_id AS b FROM merge_preview WHERE event_a_id <> event_b_id),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(v, w) AS (SELECT a, a FROM s UNION SELECT r.v, s.b FROM r JOIN s ON s.a = r.w),
+g AS (SELECT v, min(w) AS block FROM r GROUP BY v), m AS (SELECT coalesce(g.block, t.event_id) AS block, t.* FROM tracked_events t LEFT JOIN g ON g.v = t.event_id)
+SELECT block, min((created_at, event_id))[2] AS event_id, min(created_at) AS created_at, max(updated_at) AS updated_at, count(*) AS n_events, CAST(sum(coalesce(article_count, 0)) AS BIGINT) AS article_count FROM m GROUP BY block""")
+def q_merged_events(t):
+    """Events linked by merge pairs, as one: the oldest id, the latest update, all articles."""
+    blocks = dedupe.linked_blocks(t("merge_preview").select(F.col("event_a_id").alias("a"), F.col("event_b_id").alias("b"))).withColumnRenamed("v", "event_id")
+    rows = t("tracked_events").join(blocks, "event_id", "left").withColumn("block", F.coalesce("block", "event_id"))
+    oldest = F.min(F.struct("created_at", "event_id"))["event_id"]
+    return rows.groupBy("block").agg(oldest.alias("event_id"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.count("*").alias("n_events"), F.sum(F.coalesce("article_count", F.lit(0))).alias("article_count"))
+
+
+@query("""
+SELECT feed, count(*) AS n_items, count(*) FILTER (WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END) AS n_objects FROM inbox_items GROUP BY 1""")
+def q_answer_objects(t):
+    from tidemark.functions.answers import answer_object
+
+    return t("inbox_items").select("feed", answer_object(F.col("payload")).isNotNull().alias("ok")).groupBy("feed").agg(F.count("*").alias("n_items"), F.count_if("ok").alias("n_objects"))
+
+
+@query("SELECT event_id, event_name, updated_at FROM tracked_events ORDER BY updated_at DESC NULLS LAST, event_id LIMIT 50")
+def q_latest_updates(t):
+    return t("tracked_events").select("event_id", "event_name", "updated_at").orderBy(F.desc_nulls_last("updated_at"), "event_id").limit(50)
+
+
+@query("""
+WITH a AS (SELECT url, CAST(collected_at AS TIMESTAMP) AS seen FROM articles UNION ALL SELECT url, CAST(received_at AS TIMESTAMP) FROM incoming_articles)
+SELECT url, min(seen) AS first_seen_at, count(*) AS n_seen FROM a WHERE url IS NOT NULL GROUP BY 1""")
+def q_first_seen(t):
+    rows = t("articles").select("url", F.col("collected_at").alias("at")).unionByName(t("incoming_articles").select("url", F.col("received_at").alias("at")))
+    return rows.where("url is not null").groupBy("url").agg(F.min("at").alias("first_seen_at"), F.count("*").alias("n_seen"))
+
+
+@query("""
+WITH i AS (SELECT l_orderkey, count(*) AS n, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1)
+SELECT o.o_orderkey, array_to_string(list_filter([CASE WHEN i.n IS NULL THEN 'no_lines' END, CASE WHEN i.n > 5 THEN 'many_lines' END, CASE WHEN i.last_ship > o.o_orderdate + INTERVAL 110 DAY THEN 'late_ship' END], lambda x: x IS NOT NULL), ',') AS issues
+FROM orders o LEFT JOIN i ON i.l_orderkey = o.o_orderkey""")
+def q_issue_codes(t):
+    """All reasons that hold for a row, in a fixed order."""
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.max("l_shipdate").alias("last_ship"))
+    rows = t("orders").select("o_orderkey", "o_orderdate").join(lines, "o_orderkey", "left")
+    codes = F.array(F.when(F.col("n").isNull(), "no_lines"), F.when(F.col("n") > 5, "many_lines"), F.when(F.col("last_ship") > F.col("o_orderdate") + F.expr("INTERVAL 110 DAY"), "late_ship"))
+    return rows.select("o_orderkey", F.array_join(F.filter(codes, lambda x: x.isNotNull()), ",").alias("issues"))
+
+
+@query("""
+WITH e AS (SELECT event_id, event_name, created_at FROM tracked_events WHERE event_name IS NOT NULL)
+SELECT event_name, count(DISTINCT event_id) AS n_events, min(event_id) AS first_event FROM e GROUP BY 1 HAVING count(DISTINCT event_id) > 1""")
+def q_shared_names_audit(t):
+    named = t("tracked_events").where("event_name is not null").groupBy("event_name").agg(F.count_distinct("event_id").alias("n_events"), F.min("event_id").alias("first_event"))
+    return named.where("n_events > 1")
+
+
+@query("""
+WITH s AS (SELECT event_id, unnest(schedules) AS s FROM tracked_events),
+k AS (SELECT event_id, s.label AS label, s.date_text AS date_text, s.schedule_status AS status, coalesce(s.due_start, '') AS due FROM s)
+SELECT event_id, substr(sha256(coalesce(label, '')), 1, 16) AS label_key, arg_max(coalesce(date_text, ''), (due, coalesce(date_text, ''))) AS date_text, count(*) AS n_versions, count(DISTINCT coalesce(date_text, '')) AS n_texts FROM k GROUP BY event_id, coalesce(label, '')""")
+def q_schedule_history(t):
+    """Schedules by event and label: the latest date, and how many versions and different texts there were."""
+    rows = t("tracked_events").select("event_id", F.explode("schedules").alias("s")).select("event_id", F.coalesce("s.label", F.lit("")).alias("label"), F.coalesce("s.date_text", F.lit("")).alias("date_text"), F.coalesce("s.due_start", F.lit("")).alias("due"))
+    kept = rows.groupBy("event_id", "label").agg(F.max(F.struct("due", "date_text"))["date_text"].alias("date_text"), F.count("*").alias("n_versions"), F.count_distinct("date_text").alias("n_texts"))
+    return kept.select("event_id", F.substring(F.sha2("label", 256), 1, 16).alias("label_key"), "date_text", "n_versions", "n_texts")
+
+
+@query(f"""
+SELECT user_id, max(ts) AS last_activity, CASE WHEN date_diff('day', CAST(max(ts) AS DATE), DATE '{EVENTS_NOW[:10]}') >= 5 THEN 'dormant' WHEN arg_max(event_type, (ts, event_id)) = 'purchase' THEN 'completed' ELSE 'active' END AS lifecycle
+FROM events GROUP BY 1""")
+def q_lifecycle(t):
+    last = t("events").groupBy("user_id").agg(F.max("ts").alias("last_activity"), F.max(F.struct("ts", "event_id", "event_type"))["event_type"].alias("_kind"))
+    idle = F.datediff(F.lit(EVENTS_NOW[:10]).cast("date"), F.to_date("last_activity"))
+    return last.select("user_id", "last_activity", F.when(idle >= 5, "dormant").when(F.col("_kind") == "purchase", "completed").otherwise("active").alias("lifecycle"))
+
+
+@query("""
+SELECT p.pair_no, CASE WHEN p.event_a_id IS NULL OR p.event_b_id IS NULL THEN 'missing_id' WHEN p.event_a_id = p.event_b_id THEN 'same_event' WHEN a.event_id IS NULL OR b.event_id IS NULL THEN 'unknown_event'
+  WHEN a.category IS DISTINCT FROM b.category THEN 'category_differs' WHEN a.publication_status = 'held' OR b.publication_status = 'held' THEN 'held' ELSE 'accepted' END AS reason
+FROM merge_preview p LEFT JOIN tracked_events a ON a.event_id = p.event_a_id LEFT JOIN tracked_events b ON b.event_id = p.event_b_id""")
+def q_decision_reasons(t):
+    """Each decision with the first reason against it, in a fixed order."""
+    known = t("tracked_events").select("event_id", "category", "publication_status")
+    a, b = (known.select(F.col("event_id").alias(f"event_{x}_id"), F.struct("category", F.col("publication_status").alias("status")).alias(x)) for x in "ab")
+    rows = t("merge_preview").select("pair_no", "event_a_id", "event_b_id").join(a, "event_a_id", "left").join(b, "event_b_id", "left")
+    reason = (
+        F.when(F.col("event_a_id").isNull() | F.col("event_b_id").isNull(), "missing_id")
+        .when(F.col("event_a_id") == F.col("event_b_id"), "same_event")
+        .when(F.col("a").isNull() | F.col("b").isNull(), "unknown_event")
+        .when(~F.col("a.category").eqNullSafe(F.col("b.category")), "category_differs")
+        .when((F.col("a.status") == "held") | (F.col("b.status") == "held"), "held")
+        .otherwise("accepted")
+    )
+    return rows.select("pair_no", reason.alias("reason"))
+
+
+@query("""
+WITH p AS (SELECT event_id, article_id, unnest(list_distinct(regexp_extract_all(title, '[一-龯]{1,3}[市区町村]'))) AS place FROM articles WHERE title IS NOT NULL AND event_id IS NOT NULL)
+SELECT event_id, count(DISTINCT place) AS n_places, count(DISTINCT article_id) AS n_articles, count(DISTINCT place) > 1 AS may_conflict FROM p GROUP BY 1""")
+def q_place_conflicts(t):
+    """Events whose articles name different places; counted per event, no article is compared with another."""
+    places = F.array_distinct(F.regexp_extract_all("title", F.lit("([一-龯]{1,3}[市区町村])"), 1))
+    rows = t("articles").where("title is not null and event_id is not null").select("event_id", "article_id", F.explode(places).alias("place"))
+    return rows.groupBy("event_id").agg(F.count_distinct("place").alias("n_places"), F.count_distinct("article_id").alias("n_articles")).withColumn("may_conflict", F.col("n_places") > 1)
+
+
+@query("""
+SELECT event_id, length(regexp_replace(coalesce(event_name, ''), '[^\\p{L}\\p{N}]', '', 'g')) AS n_letters,
+  length(regexp_replace(coalesce(event_name, ''), '[^\\p{L}\\p{N}]', '', 'g')) >= 3 AND NOT regexp_matches(coalesce(event_name, ''), '^[\\p{N}\\s]*$') AND NOT regexp_matches(coalesce(event_name, ''), 'ニュース|新聞|テレビ') AS is_specific
+FROM tracked_events""")
+def q_specific_values(t):
+    """Names that say something: three letters or digits, not only digits, no medium."""
+    name = F.coalesce("event_name", F.lit(""))
+    n = F.length(F.regexp_replace(name, r"[^\p{L}\p{N}]", ""))
+    return t("tracked_events").select("event_id", n.alias("n_letters"), ((n >= 3) & ~name.rlike(r"^[\p{N}\s]*$") & ~name.rlike("ニュース|新聞|テレビ")).alias("is_specific"))
+
+
+@query("""
+WITH x AS (SELECT group_key, unnest(articles) AS a, generate_subscripts(articles, 1) AS i FROM news_groups),
+s AS (SELECT group_key, a.url AS url, a.title AS title, i FROM x WHERE regexp_matches(coalesce(a.url, ''), '(?i)^https?://[^/?#\\s]+') AND coalesce(a.title, '') <> ''),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY group_key, url ORDER BY i) = 1)
+SELECT group_key, count(*) AS n_kept, array_to_string(list(title ORDER BY i), ' | ') AS titles FROM f GROUP BY 1""")
+def q_clean_articles(t):
+    """Within each group's array: articles with a safe url and a title, the first per url, in order; no shuffle at all."""
+    safe = F.filter("articles", lambda a: X.safe_url(a["url"]) & (F.coalesce(a["title"], F.lit("")) != ""))
+    rows = t("news_groups").select("group_key", safe.alias("s"))
+    urls = F.transform("s", lambda a: a["url"])
+    first = F.filter("s", lambda a, i: F.array_position(urls, a["url"]) == i + 1)
+    kept = rows.select("group_key", first.alias("k")).where(F.size("k") > 0)
+    return kept.select("group_key", F.size("k").cast("long").alias("n_kept"), F.array_join(F.transform("k", lambda a: a["title"]), " | ").alias("titles"))
+
+
+@query("""
+SELECT event_id, coalesce(nullif(event_name, ''), '(untitled)') AS event_name, coalesce(category, '対象外') AS category, coalesce(lifecycle, 'active') AS lifecycle, greatest(coalesce(source_article_count, 0), coalesce(article_count, 0)) AS source_article_count,
+  len(coalesce(progress_history, [])) AS progress_count FROM tracked_events""")
+def q_defaulted_events(t):
+    return t("tracked_events").select(
+        "event_id", F.coalesce(F.nullif("event_name", F.lit("")), F.lit("(untitled)")).alias("event_name"), F.coalesce("category", F.lit("対象外")).alias("category"), F.coalesce("lifecycle", F.lit("active")).alias("lifecycle"),
+        F.greatest(F.coalesce("source_article_count", F.lit(0)), F.coalesce("article_count", F.lit(0))).alias("source_article_count"), F.greatest(F.coalesce(F.size("progress_history"), F.lit(0)), F.lit(0)).cast("long").alias("progress_count"),
+    )
+
+
+@query("""
+WITH k AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_extract(text, '^([^\\n]*)', 1), '[一-龯]{3,}|[ぁ-んァ-ヶ]{3,}'))) AS word FROM documents WHERE text IS NOT NULL)
+SELECT word, count(*) AS n_documents, min(doc_id) AS first_id FROM k GROUP BY 1 HAVING count(*) >= 3""")
+def q_common_words(t):
+    """Words of three or more characters in first lines, with the number of documents that have them."""
+    words = F.array_distinct(F.regexp_extract_all(X.first_line(F.col("text")), F.lit("([一-龯]{3,}|[ぁ-んァ-ヶ]{3,})"), 1))
+    rows = t("documents").where("text is not null").select("doc_id", F.explode(words).alias("word"))
+    return rows.groupBy("word").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_id")).where("n_documents >= 3")
