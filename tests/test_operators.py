@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import dates, dedupe, keyed, pairs
+from tidemark.operators import dates, dedupe, keyed, pairs, scan
 from tidemark.operators.skew import attach
 
 
@@ -78,7 +78,7 @@ def test_bands_and_representatives(spark):
     start = datetime(2026, 1, 1)
     items = [(i, random.choice("ab"), start + timedelta(minutes=random.randrange(3000))) for i in range(300)] + [(999, None, start)]
     df = spark.createDataFrame(items, "id int, k string, at timestamp")
-    earlier = {r["id"]: r["n_earlier"] for r in dedupe.earlier_in_band(df, ["k"], "at", 3600).collect()}
+    earlier = {r["id"]: r["n_earlier"] for r in scan.earlier_in_band(df, ["k"], "at", 3600).collect()}
     for i, k, t in items[:60]:
         assert earlier[i] == sum(k == k2 and timedelta(0) <= t - t2 <= timedelta(hours=1) for _, k2, t2 in items) - 1
     head, want = {}, {}
@@ -89,6 +89,19 @@ def test_bands_and_representatives(spark):
     assert dict(rows(dedupe.representatives(df, ["k"], "at", "id", 3600))) == want
 
 
+def test_running_max(spark):
+    rng = random.Random(8)
+    items = [(i, rng.choice(["a", "a", "b", None]), rng.choice([None, rng.randrange(1000)])) for i in range(500)]
+    best, want = {}, {}
+    for i, k, v in items:
+        before = best.get(k)
+        best[k] = max((x for x in (before, v) if x is not None), default=None)
+        want[i] = (before, best[k])
+    df = spark.createDataFrame(items, "id int, k string, v int")
+    assert {r["id"]: (r["b"], r["u"]) for r in scan.running_max(df, ["k"], "id", "v", "b", "u", rows_per_bucket=40).collect()} == want
+    assert scan.running_max(df.limit(0), ["k"], "id", "v", "b", "u").count() == 0
+
+
 def brute_blocks(edges):
     up = {}
 

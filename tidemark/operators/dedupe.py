@@ -1,4 +1,4 @@
-"""Duplicates within a time band, greedy representatives, and clusters in which every pair is proved."""
+"""Greedy representatives of time bands, linked blocks, and clusters in which every pair is proved."""
 
 from __future__ import annotations
 
@@ -10,15 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def earlier_in_band(df: DataFrame, keys: list[str], at: str, seconds: int) -> DataFrame:
-    """Add ``n_earlier``: rows of the same key at most ``seconds`` before, or at the same time; the row itself not counted.
-
-    A range frame instead of a self-join: no pair is ever made.
-    """
-    band = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return df.withColumn("n_earlier", F.count("*").over(band) - 1)
-
-
 def representatives(df: DataFrame, keys: list[str], at: str, ident: str, seconds: int) -> DataFrame:
     """(<ident>, representative): greedily, in order of time, a row belongs to the latest representative of its key
     if that is at most ``seconds`` earlier, else it is one itself.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import dates, dedupe, keyed, pairs
+from tidemark.operators import dates, dedupe, keyed, pairs, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,7 +87,7 @@ def q_keep_first_row(t):
 SELECT event_id, user_id, event_type, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) - 1 AS n_earlier
 FROM events""")
 def q_band_duplicates(t):
-    return dedupe.earlier_in_band(t("events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", 86_400).select("event_id", "user_id", "event_type", "n_earlier")
+    return scan.earlier_in_band(t("events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", 86_400).select("event_id", "user_id", "event_type", "n_earlier")
 
 
 @query("""
@@ -348,9 +348,8 @@ SELECT event_id, user_id, coalesce(ts < max(ts) OVER (PARTITION BY user_id ORDER
   max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS high_water_mark FROM events""")
 def q_late_data(t):
     """Rows are kept, late or not; only the mark says how far a user's time has come."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    before = F.max("ts").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return t("events").select("event_id", "user_id", F.coalesce(F.col("ts") < before, F.lit(False)).alias("is_late"), F.max("ts").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("high_water_mark"))
+    marked = scan.running_max(t("events").select("event_id", "user_id", "ts"), ["user_id"], "event_id", "ts", "_before", "high_water_mark")
+    return marked.select("event_id", "user_id", F.coalesce(F.col("ts") < F.col("_before"), F.lit(False)).alias("is_late"), "high_water_mark")
 
 
 @query("""
