@@ -2,7 +2,7 @@ import itertools
 import random
 
 from tests.test_operators import brute_blocks
-from tidemark.llm import components, formatting, history, near, plain, survivor
+from tidemark.llm import components, formatting, history, near, plain, store, survivor
 from tidemark.llm import shingles as S
 
 WORDS = [a + b for a in "水道再開発路線議会公園補修" for b in "市区町村駅橋港館局会"]
@@ -108,6 +108,18 @@ def test_history(spark):
     assert history.repeated(spark.createDataFrame(old, schema), none, "id", "url", ("t",)).count() == 0
 
 
+def test_store(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(i, rng.choice([None, f"https://a.test/{rng.randrange(120)}"]), t) for i, t in enumerate(rng.sample(corpus(31), 100))] + [(None, None, "x")]
+    sets = {r[0]: runs(r[2]) for r in rows}
+    kept = store.History(spark, str(tmp_path / "h"), "id", "url", ("t",))
+    schema = "id long, url string, t string"
+    got = set()
+    for part in (rows[:40], rows[40:70], [], rows[70:]):
+        got |= {tuple(r) for r in kept.accept(spark.createDataFrame(part, schema)).collect()}
+    assert got == brute_history([], [r for r in rows if r[0] is not None], lambda r: r[1], lambda r: sets[r[0]])
+
+
 def test_survivors(spark):
     from datetime import datetime, timedelta
 
