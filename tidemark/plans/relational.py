@@ -653,3 +653,84 @@ def q_common_words(t):
     words = F.array_distinct(F.regexp_extract_all(X.first_line(F.col("text")), F.lit("([一-龯]{3,}|[ぁ-んァ-ヶ]{3,})"), 1))
     rows = t("documents").where("text is not null").select("doc_id", F.explode(words).alias("word"))
     return rows.groupBy("word").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_id")).where("n_documents >= 3")
+
+
+@query("""
+WITH v AS (SELECT l_orderkey, min(l_shipdate) AS verified FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
+SELECT o.o_orderkey, CASE WHEN v.verified IS NOT NULL AND o.o_orderstatus <> 'O' AND v.verified >= o.o_orderdate THEN v.verified ELSE o.o_orderdate END AS due,
+  v.verified IS NOT NULL AND o.o_orderstatus <> 'O' AND v.verified >= o.o_orderdate AS is_updated FROM orders o LEFT JOIN v ON v.l_orderkey = o.o_orderkey""")
+def q_verified_update(t):
+    """A conditional update: verified dates replace a row's own where all guards hold."""
+    verified = t("lineitem").where("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("verified"))
+    guard = F.coalesce(F.col("verified").isNotNull() & (F.col("o_orderstatus") != "O") & (F.col("verified") >= F.col("o_orderdate")), F.lit(False))
+    rows = t("orders").select("o_orderkey", "o_orderstatus", "o_orderdate").join(verified, "o_orderkey", "left")
+    return rows.select("o_orderkey", F.when(guard, F.col("verified")).otherwise(F.col("o_orderdate")).alias("due"), guard.alias("is_updated"))
+
+
+@query("""
+WITH g AS (SELECT DISTINCT x.url AS url, 'group' AS stage, group_key AS reference FROM (SELECT group_key, unnest(articles) AS x FROM news_groups) WHERE x.url IS NOT NULL),
+i AS (SELECT DISTINCT url, 'incoming' AS stage, CAST(batch_no AS VARCHAR) AS reference FROM incoming_articles WHERE url IS NOT NULL),
+r AS (SELECT * FROM g UNION ALL SELECT * FROM i)
+SELECT url, count(*) AS n_references, array_to_string(list(stage || ':' || reference ORDER BY stage, reference), ',') AS refs FROM r GROUP BY 1""")
+def q_downstream_refs(t):
+    """Where else a url waits: distinct references first, so that lists hold no repeats while they grow."""
+    groups = t("news_groups").select("group_key", F.explode("articles.url").alias("url")).select("url", F.lit("group").alias("stage"), F.col("group_key").alias("reference"))
+    batches = t("incoming_articles").select("url", F.lit("incoming").alias("stage"), F.col("batch_no").cast("string").alias("reference"))
+    rows = groups.unionByName(batches).where("url is not null").distinct()
+    lists = rows.groupBy("url").agg(F.count("*").alias("n_references"), F.array_sort(F.collect_list(F.struct("stage", "reference"))).alias("r"))
+    return lists.select("url", "n_references", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["stage"], x["reference"])), ",").alias("refs"))
+
+
+@query("""
+WITH x AS (SELECT group_key, unnest(articles) AS a FROM news_groups), k AS (SELECT DISTINCT title FROM articles WHERE title IS NOT NULL)
+SELECT group_key, count(*) AS n_articles, count(k.title) AS n_proved, count(*) = count(k.title) AS all_proved FROM x LEFT JOIN k ON k.title = x.a.title GROUP BY 1""")
+def q_all_proved(t):
+    """Relational division: groups of which every member is known."""
+    known = t("articles").where("title is not null").select("title").distinct().withColumn("_k", F.lit(1))
+    rows = t("news_groups").select("group_key", F.explode("articles.title").alias("title")).join(known, "title", "left")
+    return rows.groupBy("group_key").agg(F.count("*").alias("n_articles"), F.count("_k").alias("n_proved")).withColumn("all_proved", F.col("n_articles") == F.col("n_proved"))
+
+
+@query("""
+WITH g AS (SELECT DISTINCT event_id FROM (SELECT event_a_id AS event_id FROM merge_preview UNION ALL SELECT event_b_id FROM merge_preview) WHERE event_id IS NOT NULL)
+SELECT event_id, event_name FROM tracked_events t WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.event_id = t.event_id)""")
+def q_ungrouped_singletons(t):
+    paired = t("merge_preview").select(F.explode(F.array("event_a_id", "event_b_id")).alias("event_id")).where("event_id is not null").distinct()
+    return t("tracked_events").select("event_id", "event_name").join(paired, "event_id", "left_anti")
+
+
+@query("""
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, o_orderdate, o_orderkey) AS place FROM orders""")
+def q_queue_rotation(t):
+    """In each queue untouched rows come first, tried ones behind."""
+    tried = F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
+    return t("orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(tried, "o_orderdate", "o_orderkey")).alias("place"))
+
+
+@query("""
+SELECT split_part(payload_reason, ':', 1) AS reason, count(*) AS n FROM (SELECT event_type || ':' || CAST(user_id AS VARCHAR) AS payload_reason FROM events) GROUP BY 1""")
+def q_reason_prefix(t):
+    reason = F.concat_ws(":", "event_type", F.col("user_id").cast("string"))
+    return t("events").select(F.split_part(reason, F.lit(":"), F.lit(1)).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH b AS (SELECT article_id, url, title, published, trim(regexp_replace(regexp_replace(coalesce(description, ''), '<[^>]*>', ' ', 'g'), '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}]+', ' ', 'g')) AS body FROM articles)
+SELECT article_id, url, published, title, CASE WHEN body = '' OR starts_with(body, coalesce(title, body || '.')) THEN '' ELSE body END AS description FROM b""")
+def q_source_context(t):
+    """What a judge is shown of an article: a description that only repeats the headline is left out."""
+    body = X.without_tags(F.col("description"))
+    rows = t("articles").select("article_id", "url", "published", "title", body.alias("b"))
+    repeats = (F.col("b") == "") | F.coalesce(F.startswith("b", "title"), F.lit(False))
+    return rows.select("article_id", "url", "published", "title", F.when(repeats, F.lit("")).otherwise(F.col("b")).alias("description"))
+
+
+@query("""
+WITH e AS (SELECT event_id, category, event_name, row_number() OVER (PARTITION BY category ORDER BY updated_at DESC NULLS LAST, event_id) AS n FROM tracked_events WHERE category IS NOT NULL),
+s AS (SELECT * FROM e WHERE n <= 8)
+SELECT a.event_id AS a, b.event_id AS b FROM s a JOIN s b ON a.category = b.category AND a.event_id < b.event_id""")
+def q_judged_pairs(t):
+    """The pairs an external judge would be asked about: of each category the eight latest events, so their number is bounded."""
+    latest = keyed.latest_per_key(t("tracked_events").where("category is not null").select("event_id", "category", "updated_at"), "category", [F.desc_nulls_last("updated_at"), F.col("event_id")], 8)
+    a, b = (latest.select(F.col("event_id").alias(x), "category") for x in "ab")
+    return a.join(b, "category").where("a < b").select("a", "b")
