@@ -83,7 +83,6 @@ _TWICE = re.compile(f"{_U8}+")
 _NARROW = re.compile("[ｦ-ﾟ]")
 #: A run of euc_sjis without a symbol of the rows of kana, wide digits or punctuation isn't told from narrow kana.
 _KANA_ROWS = re.compile("[\xa1\xa3-\xa5]")
-NAMES = [c[0] for c in CIPHERS] + [c[0] for c in WIDE] + ["utf8_western_twice", "lost"]
 
 
 def _units(table: dict[str, str]) -> str:
