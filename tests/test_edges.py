@@ -1,5 +1,5 @@
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -58,3 +58,15 @@ def test_streams(spark, tmp_path):
         run.foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
     last = [r for r in seen if r[0] == "u"][-1]
     assert last == ("u", datetime(2026, 1, 1), datetime(2026, 1, 3), "y", 2, True)
+
+
+def test_windows(spark, tmp_path):
+    day = datetime(2026, 1, 1)
+    rows = [(f"u{i % 3}", day + timedelta(minutes=20 * i), "ab"[i % 2]) for i in range(12)]
+    spark.createDataFrame(rows, "url string, at timestamp, kind string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema("url string, at timestamp, kind string").parquet(str(tmp_path / "in"))
+    for name, df in (("win", keyed.counts_by_window(read(), "at", "kind", late="1 hour")), ("once", keyed.first_arrivals(read(), "url", "at"))):
+        df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(60)
+    assert spark.table("once").count() == 3
+    closed = {(r["window_start"], r["kind"]): r["n"] for r in spark.table("win").collect()}
+    assert closed and all(closed[w, k] == sum(w <= at < w + timedelta(hours=1) and kind == k for _, at, kind in rows) for w, k in closed)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.scratch import stored
+
 
 def representatives(df: DataFrame, keys: list[str], at: str, ident: str, seconds: int) -> DataFrame:
     """(<ident>, representative): greedily, in order of time, a row belongs to the latest representative of its key
@@ -41,16 +43,14 @@ def representatives(df: DataFrame, keys: list[str], at: str, ident: str, seconds
     return sorted_rows.mapInPandas(walk, f"{ident} {kind}, representative {kind}")
 
 
-def linked_blocks(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def linked_blocks(edges: DataFrame) -> DataFrame:
     """(v, block): blocks of directly or indirectly linked vertices, named by their smallest.
 
     Alternating stars: each vertex's larger neighbours are linked to its smallest one, then its smaller ones, until
-    nothing changes.
+    nothing changes; the rounds grow with the logarithm of the longest chain.
     """
-    from tidemark.scratch import stored
-
     links = stored(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(most_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
