@@ -104,7 +104,26 @@ _LINKS = """
   reach(v, w) AS (SELECT a, a FROM s UNION SELECT r.v, s.b FROM reach r JOIN s ON s.a = r.w),
   g AS (SELECT v, min(w) AS f FROM reach GROUP BY v)
 """
+_BARE = r"regexp_replace(lower(upper(coalesce({0}, ''))), '[\p{{P}}\p{{Z}}\p{{Cc}}\s\x{{FEFF}}\x{{200B}}$+<=>^`|~＄＋＜＝＞＾｀｜～]+', '', 'g')"
+_GROUPED = f"""
+  WITH p AS (SELECT item_id, CASE WHEN json_valid(payload) THEN payload END AS j FROM inbox_items),
+  f AS (SELECT item_id, coalesce(json_extract_string(j, '$.title'), '') AS t, coalesce(json_extract_string(j, '$.url'), '') AS u FROM p WHERE j IS NOT NULL),
+  k AS (SELECT item_id, {_BARE.format("t")} AS t, {_BARE.format("regexp_extract(u, '^([^?]*)', 1)")} AS u,
+    list_sort(list_filter(list_transform(string_split_regex(regexp_extract(u, '^[^?]*[?](.*)$', 1), '[&;]'),
+      lambda x: {_BARE.format("regexp_extract(x, '^([^=]*)', 1)")} || '=' || {_BARE.format("regexp_extract(x, '^[^=]*=(.*)$', 1)")}), lambda x: x <> '=')) AS q
+    FROM f WHERE t || u <> '')
+"""
+_BEST = """
+  WITH r AS (SELECT a.*, coalesce(f.trust, -2147483648) AS trust, regexp_replace(coalesce(a.title, ''), '[\\s\\p{Z}.．…‥・･]+$', '') AS stem,
+    count(*) OVER (PARTITION BY article_key) AS n FROM article_revisions a LEFT JOIN feeds f ON f.feed_name = a.rss_source.name WHERE article_key IS NOT NULL),
+  c AS (SELECT article_key, 'url' AS field, trust, observed_at, revision_id FROM r WHERE n >= 2 AND regexp_matches(url, '^https?://[^/?#\\s:]')
+    UNION ALL SELECT article_key, 'title', trust, observed_at, revision_id FROM r WHERE n >= 2 AND regexp_matches(title, '[\\p{L}\\p{N}]')
+      AND NOT EXISTS (SELECT 1 FROM r b WHERE b.article_key = r.article_key AND starts_with(b.stem, r.stem) AND b.stem <> r.stem))
+"""
 SQL: dict[str, str] = {
+    "p2_found": _GROUPED + "SELECT first_item_id, item_id FROM (SELECT item_id, min(item_id) OVER (PARTITION BY t, u, q) AS first_item_id FROM k) WHERE item_id <> first_item_id",
+    "p2_records": _GROUPED + "SELECT min(item_id) AS item_id, count(*) AS n_copies FROM k GROUP BY t, u, q UNION ALL SELECT item_id, 1 FROM inbox_items WHERE item_id NOT IN (SELECT item_id FROM k)",
+    "p6_found": _BEST + "SELECT article_key, field, revision_id FROM c QUALIFY row_number() OVER (PARTITION BY article_key, field ORDER BY trust DESC, observed_at DESC, revision_id DESC) = 1",
     "p5_found": _LINKS + "SELECT f AS first_event_id, v AS event_id FROM g WHERE f <> v",
     "p5_groups": _LINKS + "SELECT v AS event_id, f AS group_id FROM g",
 }
