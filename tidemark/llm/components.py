@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import attach
+from tidemark.operators.skew import HOT, lookup
 from tidemark.scratch import stored
 
 
@@ -36,18 +36,25 @@ def components(pairs: DataFrame, left: str, right: str, seed: int = 1) -> DataFr
     while total := edges.count():
         hooks = stored(_hooks(edges, seed + len(rounds)))
         rounds.append(hooks)
-        total *= 2
-        moved = attach(edges, hooks.select(F.col("v").alias("a"), F.col("r").alias("ra"), "n"), "a", "n", total).select("b", "ra")
-        moved = attach(stored(moved), hooks.select(F.col("v").alias("b"), F.col("r").alias("rb"), "n"), "b", "n", total)
+        mapping = hooks.select(F.col("v").alias("key"), F.col("r").alias("value"))
+        hot = {x["v"]: x["r"] for x in hooks.where(F.col("n") > max(1, 2 * total // HOT)).collect()}  # at most HOT vertices
+        moved = lookup(lookup(edges, "a", mapping, "ra", hot), "b", mapping, "rb", hot)
         ra, rb = F.col("ra"), F.col("rb")
         edges = stored(moved.where(ra != rb).select(F.least(ra, rb).alias("a"), F.greatest(ra, rb).alias("b")).distinct())
     if not rounds:
         return edges.select(F.col("a").alias("component"), F.col("b").alias("vertex"))
     found = rounds[-1].select("v", "r")
     for hooks in reversed(rounds[:-1]):
-        known = found.select(F.col("v").alias("r"), F.col("r").alias("to"))
-        sizes = hooks.groupBy("r").agg(F.count("*").alias("n"))
-        moved = attach(hooks.select("v", "r"), known.join(sizes, "r", "right"), "r", "n", hooks.count())
+        moved = lookup(hooks.select("v", "r"), "r", found.select(F.col("v").alias("key"), F.col("r").alias("value")), "to", _hot_values(hooks, found))
         found = stored(moved.select("v", F.coalesce("to", "r").alias("r")))
-    names = found.groupBy("r").agg(F.min("v").alias("component"), F.count("*").alias("n"))
-    return attach(found, names, "r", "n", found.count()).select("component", F.col("v").alias("vertex"))
+    names = stored(found.groupBy("r").agg(F.min("v").alias("component"), F.count("*").alias("n")))
+    hot = {x["r"]: x["component"] for x in names.where(F.col("n") > max(1, found.count() // HOT)).collect()}
+    named = lookup(found, "r", names.select(F.col("r").alias("key"), F.col("component").alias("value")), "component", hot)
+    return named.select("component", F.col("v").alias("vertex"))
+
+
+def _hot_values(hooks: DataFrame, found: DataFrame) -> dict:
+    """What ``found`` has for the vertices that many others hook to; at most HOT."""
+    sizes = hooks.groupBy("r").agg(F.count("*").alias("n"))
+    hot = [x["r"] for x in sizes.where(F.col("n") > max(1, hooks.count() // HOT)).collect()]
+    return {x["v"]: x["r"] for x in found.where(F.col("v").isin(hot)).collect()} if hot else {}
