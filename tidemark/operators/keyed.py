@@ -46,11 +46,20 @@ def latest_per_key(df: DataFrame, key: str, order: list[Column], n: int) -> Data
 def admitted(df: DataFrame, needs: Column, order: list[str], capacity: int) -> DataFrame:
     """Add ``is_admitted``: rows that need nothing, and the first ``capacity`` of the others in ``order``.
 
-    The last admitted place is a top-k of the order columns; all rows are compared with it, so no total order is built.
+    The last admitted place is a top-k of the order columns, one row, with which all rows are compared; no total order
+    is built.  Null places come first.
     """
-    first = df.where(needs).select(F.struct(*order).alias("_o")).orderBy("_o").limit(capacity)
-    last = first.agg(F.max("_o").alias("_last"))
-    return df.crossJoin(F.broadcast(last)).withColumn("is_admitted", ~needs | F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False))).drop("_last")  # one row
+    first = df.where(needs).select(*order).orderBy(*order).limit(capacity)
+    last = first.orderBy(*(F.desc_nulls_last(c) for c in order)).limit(1).collect()
+    if not last:
+        return df.withColumn("is_admitted", ~needs)
+    within, same = F.lit(False), F.lit(True)
+    for c in order:
+        limit = F.lit(last[0][c]).cast(df.schema[c].dataType)
+        before = F.col(c).isNull() & limit.isNotNull() | F.coalesce(F.col(c) < limit, F.lit(False))
+        within = within | same & before
+        same = same & F.col(c).eqNullSafe(limit)
+    return df.withColumn("is_admitted", ~needs | within | same)
 
 
 def fair_order(df: DataFrame, rank: list[str], age: list[str], first: int) -> DataFrame:
