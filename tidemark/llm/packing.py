@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items of a cell, on average.
-CELL = 8_192
+#: Items of a cell, on average; kinds of containers at once, more are refused.
+CELL, MOST_KINDS = 8_192, 1_000
 
 
 class Stock:
@@ -105,7 +105,10 @@ def packed(sizes: DataFrame, item: str, tokens: str, containers: DataFrame, cell
     items once.  Items of size null or 0 need no space and come out with container null.  Rows with a null item id,
     and kinds with a null or non-positive capacity, are ignored.
     """
-    kinds = [(r["container_kind"], int(r["capacity_tokens"])) for r in containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().limit(1000).collect()]
+    wanted = containers.where("capacity_tokens > 0 and container_kind is not null").select("container_kind", "capacity_tokens").distinct()
+    kinds = [(r["container_kind"], int(r["capacity_tokens"])) for r in wanted.limit(MOST_KINDS + 1).collect()]
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     rows = sizes.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.coalesce(F.col(tokens).cast("long"), F.lit(0).cast("long")).alias("tokens"))
     n_cells = max(1, -(-rows.count() // cell))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(c).alias("capacity")) for k, c in kinds))) if kinds else None
