@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +39,15 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
         kept = [f for f in schema if f.name not in partition_by]
         schema = type(schema)(kept + [f for f in schema if f.name in partition_by])
     return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of what has been stored.
+
+    They stay on the executors' disks until the driver collects the garbage that refers to them, which a driver with
+    memory to spare may not do for long.
+    """
+    for _ in range(2):  # what the first round finds may itself refer to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
