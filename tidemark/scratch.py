@@ -38,7 +38,15 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:  # partition columns come last when read
         kept = [f for f in schema if f.name not in partition_by]
         schema = type(schema)(kept + [f for f in schema if f.name in partition_by])
-    return spark.read.schema(schema).parquet(path)
+    made = spark.read.schema(schema).parquet(path)
+    made._stored_at = path
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more, as what was made from it is stored."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
