@@ -108,6 +108,32 @@ def test_history(spark):
     assert history.repeated(spark.createDataFrame(old, schema), none, "id", "url", ("t",)).count() == 0
 
 
+def copies(seed, base, n, most):
+    """``n`` texts with up to ``most`` different edits each of ``base``."""
+    rng, letters = random.Random(seed), [chr(x) for x in range(0x4E00, 0x5E00)]
+    out = []
+    for _ in range(n):
+        text = base
+        for _ in range(rng.randrange(1, most + 1)):
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice([rng.choice(letters), rng.choice(letters) + text[i], ""]) + text[i + 1 :]
+        out.append(text)
+    return out
+
+
+def test_history_hot_group(spark):
+    letters = [chr(x) for x in range(0x4E00, 0x5E00)]
+    sentences = ["".join(random.Random(k).choices(letters, k=n)) for k, n in ((1, 40), (2, 110), (3, 230))]
+    texts = corpus(41, 80) + [t for k, s in enumerate(sentences) for t in copies(k, s, 40, len(s) // 14)]  # over a third of all rows
+    rows = [(i, None, t) for i, t in enumerate(texts)]
+    random.Random(6).shuffle(rows)
+    sets = {r[0]: runs(r[2]) for r in rows}
+    old, new = rows[:90], rows[90:]
+    schema = "id long, url string, t string"
+    got = {tuple(r) for r in history.repeated(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "id", "url", ("t",)).collect()}
+    assert got == brute_history(old, new, lambda r: r[1], lambda r: sets[r[0]])
+
+
 def test_store(spark, tmp_path):
     rng = random.Random(13)
     rows = [(i, rng.choice([None, f"https://a.test/{rng.randrange(120)}"]), t) for i, t in enumerate(rng.sample(corpus(31), 100))] + [(None, None, "x")]

@@ -4,7 +4,8 @@ Content-defined chunking: a rolling hash over the characters of a text's plain f
 so that an edit changes only the chunks around it.  A table from chunk to record is kept; the bytes of a new
 text's chunks that a record shares are added up, and records that cover enough of the text are candidates,
 which are then compared exactly.  Chunks too common to tell texts apart are extended by the chunk before them,
-or their bytes are added to the next key, so that no list of the table is hot.  Rows whose urls agree repeat each other, too.
+or their bytes are added to the next key, so that no list of the table is hot.  A text whose chunks are common in part, as
+those with many near-duplicates are, has keys of its smallest runs in several orders, too; sharing one is enough.  Rows whose urls agree repeat each other, too.
 Accepted rows are only looked up; the history is not processed again.
 """
 
@@ -26,6 +27,9 @@ from tidemark.scratch import release, stored
 SPREAD, FINE, SHORT = 6, 3, 80
 #: Occurrences above which a chunk or pair of chunks is common, over the whole of the new rows and the history.
 COMMON = 16
+#: Texts of fewer rare chunks than this share, or of fewer characters than BRIEF, have keys that don't depend on counts: own edits
+#: make rare chunks that nobody shares, up to half of all at a similarity of 0.7, more in brief texts.
+RARE, BRIEF = 0.7, 150
 #: The least share of a text's chunk bytes that a record must cover to be compared.
 COVERAGE = 0.08
 
@@ -95,18 +99,24 @@ def span_keys(texts: list[str], counts: np.ndarray, most: int) -> tuple[np.ndarr
 
     A chunk that isn't common stands for itself, a common one for itself with the one before it, if that pair isn't
     common; the bytes of chunks that are common either way go to the next key.  Texts mostly made of such chunks, as
-    those with very many near-duplicates are, have keys of four chunks in a row, too.
+    those with very many near-duplicates are, have keys of four chunks in a row, too.  Texts of fewer rare chunks than RARE and
+    brief ones have keys of 0 bytes, one of which is enough to be compared.
     """
     rows, keys, sizes = [], [], []
+    share = np.ones(len(texts))
     for some, spread in _scales(texts):
-        row, key, size = _span_keys([texts[i] for i in some], spread, counts, most)
+        row, key, size, rare = _span_keys([texts[i] for i in some], spread, counts, most)
         rows.append(some[row]), keys.append(key), sizes.append(size)
+        share[some] = np.minimum(share[some], rare)
+    own = np.flatnonzero((share < RARE) | (np.array([len(t) for t in texts]) < BRIEF))
+    row, key = S.alike_keys(S.grams([texts[i] for i in own]))
+    rows.append(own[row]), keys.append(key), sizes.append(np.zeros(len(key), dtype=np.int64))
     row, key, size = np.concatenate(rows), np.concatenate(keys), np.concatenate(sizes)
     first = S.first_of_each(row, key)
     return row[first], key[first], size[first]
 
 
-def _span_keys(texts: list[str], spread: int, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _span_keys(texts: list[str], spread: int, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     text, key, size = chunks(texts, spread)
     pair = _pairs(text, key)
     load = lambda x: counts[(x % np.uint64(len(counts))).astype(np.int64)]
@@ -121,35 +131,42 @@ def _span_keys(texts: list[str], spread: int, counts: np.ndarray, most: int) ->
     rows, keys, sizes = [text[at]], [np.where(alone, key, pair)[at]], [covered]
     n = len(texts)
     of = np.bincount(text, minlength=n)
-    few = (np.bincount(text[at], minlength=n) < np.maximum(3, 0.3 * of)) & (spread == SPREAD)
+    n_rare = np.bincount(text[at], minlength=n)
+    few = (n_rare < np.maximum(3, 0.3 * of)) & (spread == SPREAD)
     four = runs_of_four(text, key)
     start = np.searchsorted(text, text)
     whole = few[text] & ((np.arange(len(key)) <= start + of[text] - 4) | (of[text] < 4) & (np.arange(len(key)) == start))
     rows.append(text[whole]), keys.append(four[whole]), sizes.append(size[whole])
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(sizes)
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(sizes), n_rare / np.maximum(1, of)
 
 
-def chunk_table(texts: DataFrame, counts: np.ndarray, most: int) -> DataFrame:
-    """(key, node, size): the chunks of every distinct text; ``texts`` is (node, text)."""
+def chunk_table(texts: DataFrame, counts: np.ndarray, most: int, places: np.ndarray | None = None) -> DataFrame:
+    """(key, node, size): the chunks of every distinct text; ``texts`` is (node, text).  Only keys that may be among those of ``places``, if given."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)  # at most 16 MB
+    wanted = texts.sparkSession.sparkContext.broadcast(None if places is None else np.packbits(places))  # at most 2 MB
+    width = 0 if places is None else len(places)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        has = np.unpackbits(wanted.value).astype(bool) if width else None
         for b in batches:
             pairs = [(n, t) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not (n in seen or seen.add(n))]
-            if pairs:
-                nodes = np.array([n for n, _ in pairs], dtype=np.int64)
-                row, key, size = span_keys([t for _, t in pairs], shared.value, most)
+            for i in range(0, len(pairs), S.PIECE):
+                nodes = np.array([n for n, _ in pairs[i : i + S.PIECE]], dtype=np.int64)
+                row, key, size = span_keys([t for _, t in pairs[i : i + S.PIECE]], shared.value, most)
+                if width:
+                    kept = has[(key % np.uint64(width)).astype(np.int64)]
+                    row, key, size = row[kept], key[kept], size[kept]
                 yield S.batch(_CHUNKS, {"key": key.astype(np.int64), "node": nodes[row], "size": size})
 
     return texts.select("node", "text").mapInArrow(make, "key long, node long, size int")
 
 
 def covering(new: DataFrame, table: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(a, b): new texts and the different texts of the table that cover at least ``coverage`` of their chunk bytes."""
+    """(a, b): new texts and the different texts of the table that cover at least ``coverage`` of their chunk bytes or share a key of 0 bytes."""
     total = new.groupBy("node").agg(F.sum("size").alias("total"))
     shared = new.select("key", F.col("node").alias("a"), "size").join(table.select("key", F.col("node").alias("b")), "key").where("a != b")
-    return shared.groupBy("a", "b").agg(F.sum("size").alias("s")).join(total.withColumnRenamed("node", "a"), "a").where(F.col("s") >= coverage * F.col("total")).select("a", "b")
+    return shared.groupBy("a", "b").agg(F.sum("size").alias("s"), F.min("size").alias("least")).join(total.withColumnRenamed("node", "a"), "a").where((F.col("s") >= coverage * F.col("total")) | (F.col("least") == 0)).select("a", "b")
 
 
 def _rounds(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -209,10 +226,10 @@ def repeated(accepted: DataFrame, incoming: DataFrame, record: str, url: str, co
     is_new = F.col("id") % 2 == 1
     release(site.sparkSession)
     new_table = stored(chunk_table(texts.where(is_new), counts, COMMON).distinct())
-    history = chunk_table(texts.where(~is_new), counts, COMMON)
+    release(site.sparkSession)
     place = S.presence(new_table.select("key"), new_table.count())
     # a text that several partitions of the history hold counts more than once here, which only makes it a candidate sooner
-    table = S.only_present(history, "key", place).unionByName(new_table)
+    table = chunk_table(texts.where(~is_new), counts, COMMON, place).unionByName(new_table)
     found = stored(covering(new_table, table).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     release(found.sparkSession)
     links = stored(near.confirmed(found, texts, least))

@@ -51,7 +51,8 @@ def read_texts(df: DataFrame, record: str, columns: tuple[str, ...], size: int,
             fresh = [t for n, t in zip(nodes, texts, strict=True) if n is not None and not (n in seen or seen.add(n))]
             if fresh:
                 part = nodes[0] % 16 if part is None and nodes[0] is not None else part
-                counts += np.bincount((counted(fresh) % np.uint64(size)).astype(np.int64), minlength=size)
+                made = np.concatenate([counted(fresh[i : i + S.PIECE]) for i in range(0, len(fresh), S.PIECE)])
+                counts += np.bincount((made % np.uint64(size)).astype(np.int64), minlength=size)
         if packed := S.packed(counts):
             yield S.batch(_TEXTS, {"segment": [i for i, _ in packed], "part": [part or 0] * len(packed), "counts": [c for _, c in packed], "kind": [1] * len(packed)})
 

@@ -17,6 +17,8 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 SEGMENT = 1 << 16
 #: Most buckets of a table of counts, and most places of a presence table.
 MOST, MOST_PLACES = 1 << 22, 1 << 24
+#: Texts worked on at once.
+PIECE = 2_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,6 +77,23 @@ def similarity(left: list[str], right: list[str]) -> np.ndarray:
     return both / np.maximum(1, of(a) + of(b) - both)
 
 
+def alike_keys(found: np.ndarray, deep: int = 5, bands: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, key): ``bands`` keys per text, each of the smallest runs in ``deep`` orders; found: sorted (text, hash).
+
+    They don't depend on how often a run occurs.  Two texts of similarity s share none with (1 - s^deep)^bands: 0.06 % at 0.7.
+    """
+    text, h = (found >> np.uint64(WIDTH)).astype(np.int64), found & MASK
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.empty(0, dtype=np.int64)
+    orders = mixed(np.arange(1, deep * bands + 1, dtype=np.uint64)) | np.uint64(1)
+    keys = []
+    for band in range(bands if len(first) else 0):
+        key = np.full(len(first), band + 1, dtype=np.uint64)
+        for order in orders[band * deep : (band + 1) * deep]:
+            key = mixed(key * np.uint64(31) + np.minimum.reduceat(h * order, first))
+        keys.append(key)
+    return np.tile(text[first], len(keys)), np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
+
+
 def packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
     """Non-empty segments of a table of counts."""
     return [(i, zlib.compress(counts[i * SEGMENT : (i + 1) * SEGMENT].astype("<u4").tobytes(), 1)) for i in range(len(counts) // SEGMENT) if counts[i * SEGMENT : (i + 1) * SEGMENT].any()]

@@ -1,7 +1,7 @@
 """A history that is kept in tables and only looked up: new batches are checked and what is accepted is appended.
 
 The chunk table holds for every accepted text its chunks, pairs of neighbouring chunks and runs of four, with
-their bytes.  Lists of single chunks and pairs that have become longer than COMMON are passed over at look-up, so the
+their bytes, and its keys that don't depend on counts.  Lists of single chunks and pairs that have become longer than COMMON are passed over at look-up, so the
 answer doesn't depend on when a text came in.
 """
 
@@ -24,11 +24,13 @@ _SPANS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32
 
 
 def spans(texts: DataFrame) -> DataFrame:
-    """(key, node, size, kind) of (node, text): kind 1 for chunks, 2 for pairs, 4 for runs of four."""
+    """(key, node, size, kind) of (node, text): kind 1 for chunks, 2 for pairs, 4 for runs of four, 5 for keys of the smallest runs."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             all_nodes, all_texts = np.array(b.column(0).to_pylist(), dtype=np.int64), b.column(1).to_pylist()
+            row, made = S.alike_keys(S.grams(all_texts))
+            yield S.batch(_SPANS, {"key": made.astype(np.int64), "node": all_nodes[row], "size": np.zeros(len(made), dtype=np.int64), "kind": np.full(len(made), 5)})
             for some, spread in H._scales(all_texts):
                 if len(some):
                     text, key, size = H.chunks([all_texts[i] for i in some], spread)
@@ -68,7 +70,7 @@ class History:
             new = stored(spans(batch.where("node is not null").select("node", "text").dropDuplicates(["node"])).select("key").distinct())
             places = S.presence(new, new.count())
             found = stored(S.only_present(table.select("key", "node", "kind"), "key", places).join(new, "key", "left_semi"))
-            rare = found.groupBy("key").agg(F.count("*").alias("n"), F.max("kind").alias("k")).where(f"n <= {H.COMMON} or k = 4").select("key")
+            rare = found.groupBy("key").agg(F.count("*").alias("n"), F.max("kind").alias("k")).where(f"n <= {H.COMMON} or k >= 4").select("key")
             nodes = nodes.unionByName(found.join(rare, "key", "left_semi").select("node")).distinct()
         sites = batch.where("site is not null").select("site").distinct()
         columns = [self.record, self.url, *self.columns]
