@@ -134,6 +134,19 @@ def test_history_hot_group(spark):
     assert got == brute_history(old, new, lambda r: r[1], lambda r: sets[r[0]])
 
 
+def test_near_hot_group(spark):
+    letters = [chr(x) for x in range(0x4E00, 0x5E00)]
+    hot = "".join(random.Random(5).choices(letters, k=300))
+    texts = ["".join(random.Random(k).choices(letters, k=40)) for k in range(300)] + copies(8, hot, 160, 22)  # a third of all rows
+    sets = [runs(t) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(300, len(texts)), 2) if similar(sets[i], sets[j]) >= 0.7}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    assert {tuple(r) for r in near.near_pairs(df, "id", "t").collect()} == want
+    groups = {r["id"]: r["group_id"] for r in near.near_groups(df, "id", "t").collect()}
+    blocks = brute_blocks(want)
+    assert groups == {i: blocks.get(i, i) for i in range(len(texts))}
+
+
 def test_store(spark, tmp_path):
     rng = random.Random(13)
     rows = [(i, rng.choice([None, f"https://a.test/{rng.randrange(120)}"]), t) for i, t in enumerate(rng.sample(corpus(31), 100))] + [(None, None, "x")]

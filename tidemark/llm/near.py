@@ -4,8 +4,8 @@ A size-aware heavy-light join of the sets of three-character runs.  Counts of al
 (hashed into a table of bounded size) split the runs by cost into light and heavy ones: a list of light
 runs is so short that two of them together are expected to be shared by less than one unrelated text.
 Small sets enumerate all subsets of two light runs; of larger sets the light run that comes first in each
-of SLOTS slots takes part, with that of the next slot.  Texts with few light runs add subsets of four from all their runs.  Texts that
-share subsets are compared exactly.  Equal texts are one class throughout.
+of SLOTS slots takes part, with that of the next slot.  Texts with few light runs, by number or by share, add keys of their smallest runs in several
+orders, light or heavy (``shingles.alike_keys``).  Texts that share subsets are compared exactly.  Equal texts are one class throughout.
 """
 
 from __future__ import annotations
@@ -23,7 +23,12 @@ from tidemark.llm.plain import plain
 from tidemark.operators.skew import attach
 from tidemark.scratch import discard, release, stored
 
-SLOTS, HEAVY_SLOTS, SMALL, FEW, MANY = 32, 12, 7, 16, 12
+SLOTS, SMALL, FEW, MANY = 32, 7, 16, 12
+#: Texts of fewer light runs than this share have heavy keys.  Up to 0.3 of the runs of a text may be missing in one of similarity
+#: 0.7, so that many light runs may all be its own edits.
+LIGHT = 0.4
+#: Heavy keys per text.
+BANDS = 64
 #: Matching subsets that make a pair of larger sets a candidate.
 ENOUGH = 3
 
@@ -124,13 +129,10 @@ def subset_keys(texts: list[str], counts: np.ndarray, most: int) -> tuple[np.nda
     put(r, _subset(table[r, s], other[r, s]), False)
     for r, k in _of_small(light, np.flatnonzero((n_light > 0) & (n_light <= SMALL))):
         put(r, k, False)
-    if (n_light < FEW).any():
-        few = np.flatnonzero((n_light < FEW) & (n_all > 0))
-        table = _firsts(found, n, HEAVY_SLOTS)
-        for step in range(HEAVY_SLOTS):
-            four = [table[few, (step + i) % HEAVY_SLOTS] for i in range(4)]
-            has = np.all([x > 0 for x in four], axis=0)
-            put(few[has], _subset(*(x[has] for x in four)), True)
+    needs = ((n_light < FEW) | (n_light < LIGHT * n_all)) & (n_all > 0)
+    if needs.any():
+        few = np.flatnonzero(needs)
+        put(*S.alike_keys(found[needs[(found >> np.uint64(S.WIDTH)).astype(np.int64)]], bands=BANDS), True)
         for r, k in _of_small(found, few[n_all[few] <= SMALL]):
             put(r, k, True)
     row, key, heavy = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (rows, keys, heavy))
@@ -147,9 +149,9 @@ def keys_of(texts: DataFrame, counts: np.ndarray, most: int) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             pairs = [(n, t) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not (n in seen or seen.add(n))]
-            if pairs:
-                nodes = np.array([n for n, _ in pairs], dtype=np.int64)
-                row, key, weight, heavy = subset_keys([t for _, t in pairs], shared.value, most)
+            for i in range(0, len(pairs), S.PIECE):
+                nodes = np.array([n for n, _ in pairs[i : i + S.PIECE]], dtype=np.int64)
+                row, key, weight, heavy = subset_keys([t for _, t in pairs[i : i + S.PIECE]], shared.value, most)
                 yield S.batch(_KEYS, {"key": key.astype(np.int64), "node": nodes[row.astype(np.int64)], "weight": weight, "heavy": heavy.astype(bool)})
 
     return texts.select("node", "text").mapInArrow(make, "key long, node long, weight int, heavy boolean")
