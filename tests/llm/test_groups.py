@@ -147,6 +147,28 @@ def test_near_hot_group(spark):
     assert groups == {i: blocks.get(i, i) for i in range(len(texts))}
 
 
+def test_history_counts(spark, monkeypatch):
+    letters = [chr(x) for x in range(0x4E00, 0x5E00)]
+    rows = [(i, None, "".join(random.Random(i).choices(letters, k=10_000))) for i in range(400)]  # fills every bucket of the small table
+    df = spark.createDataFrame(rows, "id long, url string, t string")
+    covering, kept = history.covering, []
+    monkeypatch.setattr(history, "covering", lambda new, table: kept.append({tuple(r) for r in new.where("size > 0").collect()}) or covering(new, table))
+    for size in (S.SEGMENT, S.MOST):
+        monkeypatch.setattr(S, "MOST", size)
+        history.repeated(df.where("id < 380"), df.where("id >= 380"), "id", "url", ("t",))
+    assert kept[0] == kept[1] and len(kept[0]) > 20 * 1_000
+
+
+def test_history_counts_not_broadcast(spark, monkeypatch):
+    texts = corpus(51, 30) + copies(3, "".join(random.Random(3).choices(WORDS, k=100)), 40, 12)
+    rows = [(i, None, t) for i, t in enumerate(texts)]
+    random.Random(6).shuffle(rows)
+    sets = {r[0]: runs(r[2]) for r in rows}
+    monkeypatch.setattr(history, "AT_ONCE", 3)
+    got = {tuple(r) for r in history.repeated(*(spark.createDataFrame(x, "id long, url string, t string") for x in (rows[:50], rows[50:])), "id", "url", ("t",)).collect()}
+    assert got == brute_history(rows[:50], rows[50:], lambda r: r[1], lambda r: sets[r[0]])
+
+
 def test_store(spark, tmp_path):
     rng = random.Random(13)
     rows = [(i, rng.choice([None, f"https://a.test/{rng.randrange(120)}"]), t) for i, t in enumerate(rng.sample(corpus(31), 100))] + [(None, None, "x")]

@@ -27,6 +27,8 @@ from tidemark.scratch import release, stored
 SPREAD, FINE, SHORT = 6, 3, 80
 #: Occurrences above which a chunk or pair of chunks is common, over the whole of the new rows and the history.
 COMMON = 16
+#: Most keys of common chunks and pairs that are broadcast (8 MB).
+AT_ONCE = 1 << 20
 #: Texts of fewer rare chunks than this share, or of fewer characters than BRIEF, have keys that don't depend on counts: own edits
 #: make rare chunks that nobody shares, up to half of all at a similarity of 0.7, more in brief texts.
 RARE, BRIEF = 0.7, 150
@@ -34,6 +36,7 @@ RARE, BRIEF = 0.7, 150
 COVERAGE = 0.08
 
 _CHUNKS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
+_COUNTED = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
 
 def same_url(url: Column) -> Column:
@@ -94,21 +97,58 @@ def _scales(texts: list[str]) -> list[tuple[np.ndarray, int]]:
     return [(np.arange(len(texts)), SPREAD), (np.flatnonzero([len(t) < SHORT for t in texts]), FINE)]
 
 
-def span_keys(texts: list[str], counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def common_spans(texts: DataFrame, counts: np.ndarray, most: int, at_once: int) -> tuple[np.ndarray, DataFrame | None]:
+    """The keys of chunks and pairs in more than ``most`` texts: sorted, the most frequent of them, at most ``at_once``; and (key) of all others, None if there are none.
+
+    The table of counts, where keys share buckets, only tells which keys can't be common; all others are counted one by one.  A text
+    that several partitions hold counts once in each.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(counts)  # at most 16 MB
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            fresh = [t for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not (n in seen or seen.add(n))]
+            made = [np.empty(0, dtype=np.uint64)]
+            for i in range(0, len(fresh), S.PIECE):
+                key = counted(fresh[i : i + S.PIECE])
+                made.append(key[shared.value[(key % np.uint64(len(shared.value))).astype(np.int64)] > most])
+            key, n = np.unique(np.concatenate(made), return_counts=True)
+            yield S.batch(_COUNTED, {"key": key.astype(np.int64), "n": n})
+
+    many = texts.select("node", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    many = stored(many.select("key", F.floor(F.log2("n")).cast("int").alias("power")))
+    left, power = at_once, 64
+    tail = False
+    for r in many.groupBy("power").count().orderBy(F.desc("power")).collect():  # at most 64 rows
+        tail = r["count"] > left
+        if tail:
+            break
+        left, power = left - r["count"], r["power"]
+    known = many.where(F.col("power") >= power).select("key").toArrow().column("key").to_numpy().astype(np.uint64)
+    return np.sort(known), many.where(F.col("power") < power).select("key") if tail else None
+
+
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are among the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+
+
+def span_keys(texts: list[str], common: np.ndarray, everyone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, key, bytes), each key once per text.
 
     A chunk that isn't common stands for itself, a common one for itself with the one before it, if that pair isn't
     common; the bytes of chunks that are common either way go to the next key.  Texts mostly made of such chunks, as
     those with very many near-duplicates are, have keys of four chunks in a row, too.  Texts of fewer rare chunks than RARE and
-    brief ones have keys of 0 bytes, one of which is enough to be compared.
+    brief ones (``everyone``: all texts) have keys of 0 bytes, one of which is enough to be compared.
     """
     rows, keys, sizes = [], [], []
     share = np.ones(len(texts))
     for some, spread in _scales(texts):
-        row, key, size, rare = _span_keys([texts[i] for i in some], spread, counts, most)
+        row, key, size, rare = _span_keys([texts[i] for i in some], spread, common)
         rows.append(some[row]), keys.append(key), sizes.append(size)
         share[some] = np.minimum(share[some], rare)
-    own = np.flatnonzero((share < RARE) | (np.array([len(t) for t in texts]) < BRIEF))
+    own = np.flatnonzero(everyone | (share < RARE) | (np.array([len(t) for t in texts]) < BRIEF))
     row, key = S.alike_keys(S.grams([texts[i] for i in own]))
     rows.append(own[row]), keys.append(key), sizes.append(np.zeros(len(key), dtype=np.int64))
     row, key, size = np.concatenate(rows), np.concatenate(keys), np.concatenate(sizes)
@@ -116,12 +156,11 @@ def span_keys(texts: list[str], counts: np.ndarray, most: int) -> tuple[np.ndarr
     return row[first], key[first], size[first]
 
 
-def _span_keys(texts: list[str], spread: int, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _span_keys(texts: list[str], spread: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     text, key, size = chunks(texts, spread)
     pair = _pairs(text, key)
-    load = lambda x: counts[(x % np.uint64(len(counts))).astype(np.int64)]
-    alone = load(key) <= most
-    rare = alone | (pair > 0) & (load(pair) <= most)
+    alone = ~_among(key, common)
+    rare = alone | (pair > 0) & ~_among(pair, common)
     at = np.flatnonzero(rare)
     upto = np.cumsum(size)
     begin = np.searchsorted(text, text[at])
@@ -140,9 +179,9 @@ def _span_keys(texts: list[str], spread: int, counts: np.ndarray, most: int) ->
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(sizes), n_rare / np.maximum(1, of)
 
 
-def chunk_table(texts: DataFrame, counts: np.ndarray, most: int, places: np.ndarray | None = None) -> DataFrame:
+def chunk_table(texts: DataFrame, common: np.ndarray, everyone: bool, places: np.ndarray | None = None) -> DataFrame:
     """(key, node, size): the chunks of every distinct text; ``texts`` is (node, text).  Only keys that may be among those of ``places``, if given."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)  # at most 16 MB
+    shared = texts.sparkSession.sparkContext.broadcast(common)  # at most 8 MB
     wanted = texts.sparkSession.sparkContext.broadcast(None if places is None else np.packbits(places))  # at most 2 MB
     width = 0 if places is None else len(places)
 
@@ -153,7 +192,7 @@ def chunk_table(texts: DataFrame, counts: np.ndarray, most: int, places: np.ndar
             pairs = [(n, t) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not (n in seen or seen.add(n))]
             for i in range(0, len(pairs), S.PIECE):
                 nodes = np.array([n for n, _ in pairs[i : i + S.PIECE]], dtype=np.int64)
-                row, key, size = span_keys([t for _, t in pairs[i : i + S.PIECE]], shared.value, most)
+                row, key, size = span_keys([t for _, t in pairs[i : i + S.PIECE]], shared.value, everyone)
                 if width:
                     kept = has[(key % np.uint64(width)).astype(np.int64)]
                     row, key, size = row[kept], key[kept], size[kept]
@@ -225,11 +264,14 @@ def repeated(accepted: DataFrame, incoming: DataFrame, record: str, url: str, co
     texts, counts = near.read_texts(both, "_id", columns, size, counted)
     is_new = F.col("id") % 2 == 1
     release(site.sparkSession)
-    new_table = stored(chunk_table(texts.where(is_new), counts, COMMON).distinct())
+    common, others = common_spans(texts, counts, COMMON, AT_ONCE)
+    # common keys that aren't broadcast are taken out by a join; as their texts may have no rare ones left, all texts have keys of 0 bytes
+    new_table = chunk_table(texts.where(is_new), common, others is not None).distinct()
+    new_table = stored(new_table if others is None else new_table.join(others, "key", "left_anti"))
     release(site.sparkSession)
     place = S.presence(new_table.select("key"), new_table.count())
     # a text that several partitions of the history hold counts more than once here, which only makes it a candidate sooner
-    table = chunk_table(texts.where(~is_new), counts, COMMON, place).unionByName(new_table)
+    table = chunk_table(texts.where(~is_new), common, others is not None, place).unionByName(new_table)
     found = stored(covering(new_table, table).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     release(found.sparkSession)
     links = stored(near.confirmed(found, texts, least))
