@@ -6,7 +6,7 @@ text's chunks that a record shares are added up, and records that cover enough o
 which are then compared exactly.  Chunks too common to tell texts apart are extended by the chunk before them,
 or their bytes are added to the next key, so that no list of the table is hot.  A text whose chunks are common in part, as
 those with many near-duplicates are, has keys of its smallest runs in several orders, too; sharing one is enough.  Rows whose urls agree repeat each other, too.
-Accepted rows are only looked up; the history is not processed again.
+``repeated`` makes the table anew in every run; ``store.History`` keeps it from batch to batch.
 """
 
 from __future__ import annotations
