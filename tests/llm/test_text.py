@@ -65,3 +65,7 @@ def test_garbled(spark):
         if "cp932" not in (a, b) and (a, b) != ("cp1252", "utf-8"):
             assert got[1000 + k]["restored"] == f"{k} {t}", (a, b)
     assert garbled.restore(df.limit(0)).count() == 0
+
+
+def test_plain_ellipsis():
+    assert plain.plain("水道局…") == plain.plain("水道局...") and plain.plain("ABC水道局…") == plain.plain("ＡBC水道局…")

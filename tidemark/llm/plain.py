@@ -74,7 +74,7 @@ ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{
 LINK = re.compile(r"https?://[!-~]+", re.I)
 
 #: Text in which nothing can need a change, but for the look-alikes that SUSPECT finds.
-SETTLED = re.compile(r"[ -~、。「」『』【】・〜々〇…ぁ-ゖァ-ヺー一-鿿À-ÖØ-öø-ÿ]*")
+SETTLED = re.compile(r"[ -~、。「」『』【】・〜々〇ぁ-ゖァ-ヺー一-鿿À-ÖØ-öø-ÿ]*")
 SUSPECT = re.compile(f"[{KANA}][{''.join(KANA_FOR)}]+[{KANA}]|[0-9][OoIl]+[0-9]")
 
 
