@@ -69,3 +69,8 @@ def test_garbled(spark):
 
 def test_plain_ellipsis():
     assert plain.plain("水道局…") == plain.plain("水道局...") and plain.plain("ABC水道局…") == plain.plain("ＡBC水道局…")
+
+
+def test_kanji_of_utf8_read_as_sjis():
+    for line in ("莨夂､ｾ", "莠､騾壼ｱ\x80"):
+        assert garbled.SUSPECT.search(line) and garbled._TELLTALES["utf8_sjis"].search(line)

@@ -107,7 +107,7 @@ SUSPECT = re.compile(
 )
 
 #: Without any of these a line holds no run of the cipher.
-_TELLTALES = {"utf8_sjis": re.compile("[\ufffd繧縺繝縲\ue000-\uf8ff]|[一-龠][ｦ-ﾟ][一-龠]"), "euc_sjis": re.compile("[｡｣､･]"), "utf8_euc": re.compile("\ufffd")}
+_TELLTALES = {"utf8_sjis": re.compile("[\ufffd繧縺繝縲\ue000-\uf8ff]|[一-龠][\x80-\xa0｡-ﾟ]|[\x80-\xa0｡-ﾟ][一-龠]"), "euc_sjis": re.compile("[｡｣､･]"), "utf8_euc": re.compile("\ufffd")}
 _FAILED = re.compile("\ufffd+")
 
 
