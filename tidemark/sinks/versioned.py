@@ -16,37 +16,46 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def current(spark: SparkSession, table: str) -> str | None:
-    """The folder of the current version; None before the first."""
+def pointed(spark: SparkSession, table: str) -> str | None:
+    """What the pointer of ``table`` says; None before the first."""
     files, pointer = _fs(spark, f"{table}/{_POINTER}")
     if not files.exists(pointer):
         return None
     stream = files.open(pointer)
     try:
-        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
-    return f"{table}/{name}"
 
 
-def publish(df: DataFrame, table: str) -> str:
-    """Write ``df`` as the new version of ``table``; readers see the old one until all of it is there.
+def current(spark: SparkSession, table: str) -> str | None:
+    """The folder of the current version; None before the first."""
+    name = pointed(spark, table)
+    return f"{table}/{name}" if name else None
 
-    The frame may read the current version.  Old versions stay until ``tidy`` removes them.
-    """
-    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{table}/{name}")
-    files, fresh = _fs(spark, f"{table}/{_POINTER}-{name}")
+
+def point(spark: SparkSession, table: str, text: str) -> None:
+    """Replace what the pointer of ``table`` says; readers see the old text or the new one, whole."""
+    files, fresh = _fs(spark, f"{table}/{_POINTER}-{uuid.uuid4().hex}")
     out = files.create(fresh, True)
     try:
-        out.write(bytearray(name, "utf-8"))
+        out.write(bytearray(text, "utf-8"))
     finally:
         out.close()
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
-    overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = overwrite
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(fresh, spark._jvm.org.apache.hadoop.fs.Path(f"{table}/{_POINTER}"), options)
+
+
+def publish(df: DataFrame, table: str) -> str:
+    """Write ``df`` as the new version of ``table``; readers see the old one until all of it is there.
+
+    The frame may read the current version.  Old versions stay until ``tidy`` removes them.
+    """
+    spark, name = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{table}/{name}")
+    point(spark, table, name)
     return f"{table}/{name}"
 
 
