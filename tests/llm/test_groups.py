@@ -1,8 +1,11 @@
 import itertools
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tests.test_operators import brute_blocks
-from tidemark.llm import components, formatting, history, near, plain, store, survivor
+from tidemark.llm import components, formatting, near, plain, store, survivor
 from tidemark.llm import shingles as S
 
 WORDS = [a + b for a in "水道再開発路線議会公園補修" for b in "市区町村駅橋港館局会"]
@@ -101,11 +104,11 @@ def test_history(spark):
     sets = {r[0]: runs(r[2]) for r in rows}
     url = lambda r: None if r[1] is None else r[1].lower().rstrip(".").split("?")[0]
     schema = "id long, url string, t string, node string"
-    got = {tuple(r) for r in history.repeated(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "id", "url", ("t",)).collect()}
+    got = {tuple(r) for r in store.repeated(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "id", "url", ("t",)).collect()}
     assert got == brute_history(old, new, url, lambda r: sets[r[0]])
     none = spark.createDataFrame([], schema)
-    assert history.repeated(none, none, "id", "url", ("t",)).count() == 0
-    assert history.repeated(spark.createDataFrame(old, schema), none, "id", "url", ("t",)).count() == 0
+    assert store.repeated(none, none, "id", "url", ("t",)).count() == 0
+    assert store.repeated(spark.createDataFrame(old, schema), none, "id", "url", ("t",)).count() == 0
 
 
 def copies(seed, base, n, most):
@@ -130,7 +133,7 @@ def test_history_hot_group(spark):
     sets = {r[0]: runs(r[2]) for r in rows}
     old, new = rows[:90], rows[90:]
     schema = "id long, url string, t string"
-    got = {tuple(r) for r in history.repeated(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "id", "url", ("t",)).collect()}
+    got = {tuple(r) for r in store.repeated(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "id", "url", ("t",)).collect()}
     assert got == brute_history(old, new, lambda r: r[1], lambda r: sets[r[0]])
 
 
@@ -147,26 +150,70 @@ def test_near_hot_group(spark):
     assert groups == {i: blocks.get(i, i) for i in range(len(texts))}
 
 
-def test_history_counts(spark, monkeypatch):
-    letters = [chr(x) for x in range(0x4E00, 0x5E00)]
-    rows = [(i, None, "".join(random.Random(i).choices(letters, k=10_000))) for i in range(400)]  # fills every bucket of the small table
-    df = spark.createDataFrame(rows, "id long, url string, t string")
-    covering, kept = history.covering, []
-    monkeypatch.setattr(history, "covering", lambda new, table: kept.append({tuple(r) for r in new.where("size > 0").collect()}) or covering(new, table))
-    for size in (S.SEGMENT, S.MOST):
-        monkeypatch.setattr(S, "MOST", size)
-        history.repeated(df.where("id < 380"), df.where("id >= 380"), "id", "url", ("t",))
-    assert kept[0] == kept[1] and len(kept[0]) > 20 * 1_000
-
-
-def test_history_counts_not_broadcast(spark, monkeypatch):
-    texts = corpus(51, 30) + copies(3, "".join(random.Random(3).choices(WORDS, k=100)), 40, 12)
-    rows = [(i, None, t) for i, t in enumerate(texts)]
-    random.Random(6).shuffle(rows)
-    sets = {r[0]: runs(r[2]) for r in rows}
-    monkeypatch.setattr(history, "AT_ONCE", 3)
-    got = {tuple(r) for r in history.repeated(*(spark.createDataFrame(x, "id long, url string, t string") for x in (rows[:50], rows[50:])), "id", "url", ("t",)).collect()}
-    assert got == brute_history(rows[:50], rows[50:], lambda r: r[1], lambda r: sets[r[0]])
+def test_near_any_boundary(spark, monkeypatch):
+    """Neither the size that divides small sets from large ones, nor blocks of lists, nor the counts change a pair."""
+    rng = random.Random(17)
+    texts = [t for t in corpus(19, 40) if t and len(t) < 1_000] + ["ab", "abc", "abcd", "aaaa", "aaaaa", "abab", "ababa", "x"]
+    texts += copies(8, sentence(rng, 12), 60, 5) + copies(9, sentence(rng, 90), 60, 10)
+    texts = sorted(set(texts))
+    sets = [runs(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for least, small, block, size in ((0.7, 2, 8, 1 << 16), (0.7, 60, 1 << 15, 1 << 16), (0.7, 400, 8, 1 << 16), (0.5, 40, 16, 1 << 16), (0.8, 25, 1 << 15, 1)):
+        monkeypatch.setattr(near, "BLOCK", block)
+        counts = np.zeros(size, dtype="<u4")
+        for t in texts:
+            at, n = np.unique((S.grams([t]) & S.MASK) % np.uint64(size), return_counts=True)
+            counts[at.astype(int)] += n.astype("<u4")
+        nodes = np.array([S.content_key(t) for t in texts])
+        key, of, meta = near.keys_of_texts(texts, nodes, S.ranks(counts), counts, least, small, block)
+        keys = spark.createDataFrame([(int(k), int(o), int(m)) for k, o, m in zip(key.astype(np.int64), of, meta, strict=True)], "key long, node long, meta long")
+        got = {tuple(r) for r in near.together(keys, least, small).collect()}
+        want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if similar(sets[i], sets[j]) >= least}
+        assert want <= got, (least, small, block)
+        assert near.class_links(df, "id", ("t",), least, small)[1].count() == len(want)
+
+
+def brute_links(texts, queries, least=0.7):
+    """(i, j) of the texts i of ``queries`` and all other different texts that share enough, by inverted lists of all runs."""
+    lists, sizes = {}, np.array([len(runs(t)) for t in texts])
+    sets = [runs(t) for t in texts]
+    for i, s in enumerate(sets):
+        for g in s:
+            lists.setdefault(g, []).append(i)
+    lists = {g: np.array(x) for g, x in lists.items()}
+    out = set()
+    for i in queries:
+        both = np.bincount(np.concatenate([lists[g] for g in sets[i]]), minlength=len(texts))
+        near_by = np.flatnonzero(both / np.maximum(1, sizes + sizes[i] - both) >= least)
+        out |= {(min(i, j), max(i, j)) for j in near_by.tolist() if j != i}
+    return out
+
+
+def test_large_clusters(spark):
+    """Clusters of copies with 3 to 10 edits each among others: every pair of a text whose number is divisible by 20."""
+    rng, letters = random.Random(23), [chr(x) for x in range(0x4E00, 0x5E00)]
+    texts = [sentence(rng, rng.randrange(20, 60)) for _ in range(2_000)]
+    for n in (50, 400, 1_000):
+        base = "".join(rng.choices(letters, k=250))
+        for _ in range(n):
+            text = base
+            for _ in range(rng.randrange(3, 11)):
+                i = rng.randrange(len(text))
+                text = text[:i] + rng.choice([rng.choice(letters), rng.choice(letters) + text[i], ""]) + text[i + 1 :]
+            texts.append(text)
+    rng.shuffle(texts)
+    want = brute_links(texts, range(0, len(texts), 20))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(8)
+    pairs = near.near_pairs(df, "id", "t")
+    got = {tuple(r) for r in pairs.where("id_a % 20 = 0 or id_b % 20 = 0").collect()}
+    assert got == want and len(want) > 20_000
+    old, new = df.where("id < 3000"), df.where("id >= 3000")
+    repeats = {r["id"]: r["accepted_id"] for r in store.repeated(old.withColumn("u", F.lit(None).cast("string")), new.withColumn("u", F.lit(None).cast("string")), "id", "u", ("t",)).collect()}
+    first = {}
+    for i, j in sorted(brute_links(texts, range(3_000, len(texts)))):
+        if i < 3_000 <= j:
+            first.setdefault(j, i)
+    assert {j: repeats.get(j) for j in first} == first
 
 
 def test_store(spark, tmp_path):

@@ -1,12 +1,10 @@
 """Problem 7: checking each new batch against all that is already accepted.
 
-Content-defined chunking: a rolling hash over the characters of a text's plain form sets chunk boundaries,
-so that an edit changes only the chunks around it.  A table from chunk to record is kept; the bytes of a new
-text's chunks that a record shares are added up, and records that cover enough of the text are candidates,
-which are then compared exactly.  Chunks too common to tell texts apart are extended by the chunk before them,
-or their bytes are added to the next key, so that no list of the table is hot.  A text whose chunks are common in part, as
-those with many near-duplicates are, has keys of its smallest runs in several orders, too; sharing one is enough.  Rows whose urls agree repeat each other, too.
-``repeated`` makes the table anew in every run; ``store.History`` keeps it from batch to batch.
+Content-defined chunking: a rolling hash over the characters of a text's plain form sets chunk boundaries, so that an edit changes
+only the chunks around it.  A table from chunk to record is kept (``store.History``).  Of a new text the rarest chunks are looked up, so
+many that less than half of its bytes are left: a record whose chunks cover half of the bytes is always met, and of
+those that cover less nearly all.  Records of fitting size are then compared by the parities of their runs, which bound what two texts
+share, and exactly.  Rows whose urls agree repeat each other, too.
 """
 
 from __future__ import annotations
@@ -20,23 +18,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import near
 from tidemark.llm import shingles as S
-from tidemark.scratch import release, stored
+from tidemark.scratch import stored
 
-#: One in SPREAD positions is a boundary; the window of the rolling hash is three characters.  Texts of less than SHORT
-#: characters are cut a second time, finer, as few chunks of theirs would survive an edit.
-SPREAD, FINE, SHORT = 6, 3, 80
-#: Occurrences above which a chunk or pair of chunks is common, over the whole of the new rows and the history.
-COMMON = 16
-#: Most keys of common chunks and pairs that are broadcast (8 MB).
-AT_ONCE = 1 << 20
-#: Texts of fewer rare chunks than this share, or of fewer characters than BRIEF, have keys that don't depend on counts: own edits
-#: make rare chunks that nobody shares, up to half of all at a similarity of 0.7, more in brief texts.
-RARE, BRIEF = 0.7, 150
-#: The least share of a text's chunk bytes that a record must cover to be compared.
-COVERAGE = 0.08
+#: One in SPREAD positions is a boundary; the window of the rolling hash is three characters.
+SPREAD = 4
+#: The rarest chunks are looked up until less than REST of a text's bytes are left, and at least LEAST of them.
+REST, LEAST = 0.5, 12
 
-_CHUNKS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
-_COUNTED = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+_CHUNKS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("runs", pa.int32())])
 
 
 def same_url(url: Column) -> Column:
@@ -53,8 +42,10 @@ def chunks(texts: list[str], spread: int = SPREAD) -> tuple[np.ndarray, np.ndarr
     codes, of = S.codes_of(texts)
     if not len(codes):
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    before = np.r_[np.zeros(2, dtype=np.uint64), codes]
-    rolling = S.mixed(before[2:] * S._MIX[0] + before[1:-1] * S._MIX[1] + before[:-2] * S._MIX[2])
+    rolling = codes * S._MIX[0]
+    for back in (1, 2):  # of the same text only
+        rolling[back:] += np.where(of[back:] == of[:-back], codes[:-back], np.uint64(0)) * S._MIX[back]
+    rolling = S.mixed(rolling)
     begins = np.r_[True, of[1:] != of[:-1]]
     cut = begins | np.r_[False, rolling[:-1] % np.uint64(spread) == 0]
     first = np.flatnonzero(cut)
@@ -64,229 +55,118 @@ def chunks(texts: list[str], spread: int = SPREAD) -> tuple[np.ndarray, np.ndarr
     return of[first].astype(np.int64), S.mixed(np.add.reduceat(letters, first)), np.add.reduceat(width, first)
 
 
-def _pairs(text: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For each chunk the key of it and the one before it; 0 for the first of a text."""
-    pair = np.zeros_like(key)
-    inside = text[1:] == text[:-1]
-    pair[1:][inside] = S.mixed(key[:-1][inside] * np.uint64(31) + key[1:][inside])
-    return pair
+def chunk_keys(texts: list[str]) -> np.ndarray:
+    """The distinct chunks of each text, for counting."""
+    text, key, _ = chunks(texts)
+    return key[S.first_of_each(text, key)]
 
 
-def runs_of_four(text: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For each chunk the key of it and up to three after it in the same text."""
-    four = key.copy()
-    for step in (1, 2, 3):
-        shifted = np.r_[key[step:], np.zeros(min(step, len(key)), dtype=key.dtype)]
-        inside = np.r_[text[step:] == text[:-step], np.zeros(min(step, len(key)), dtype=bool)]
-        four = np.where(inside, S.mixed(four * np.uint64(33) + shifted), four)
-    return four
+def chunk_rows(texts: DataFrame) -> DataFrame:
+    """(key, node, runs): the distinct chunks of every text of (node, text, runs)."""
 
-
-def counted(texts: list[str]) -> np.ndarray:
-    """What the table of counts holds of each text: its distinct chunks and pairs of neighbours."""
-    spans = []
-    for some, spread in _scales(texts):
-        text, key, _ = chunks([texts[i] for i in some], spread)
-        spans += [x[S.first_of_each(text, x)] for x in (key, _pairs(text, key))]
-    spans = np.concatenate(spans)
-    return spans[spans > 0]
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, texts, runs = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            for i in range(0, len(texts), S.PIECE):
+                text, key, _ = chunks(texts[i : i + S.PIECE])
+                first = S.first_of_each(text, key)
+                at = text[first] + i
+                yield S.batch(_CHUNKS, {"key": key[first].astype(np.int64), "node": nodes[at], "runs": runs[at]})
+
+    return texts.select("node", "text", "runs").mapInArrow(make, "key long, node long, runs int")
+
+
+def rarest(texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, count) of the chunks of each text to look up, by REST and LEAST."""
+    text, key, size = chunks(texts)
+    first = S.first_of_each(text, key)
+    text, key, size = text[first], key[first], size[first]
+    load = counts[(key % np.uint64(len(counts))).astype(np.int64)].astype(np.int64)
+    order = np.lexsort((key, load, text))
+    text, key, size, load = text[order], key[order], size[order], load[order]
+    start = np.searchsorted(text, text)
+    upto = np.cumsum(size)
+    before = upto - size - (upto - size)[start]
+    total = np.bincount(text, weights=size, minlength=len(texts))
+    kept = (before <= (1 - REST) * total[text]) | (np.arange(len(text)) - start < LEAST)
+    return text[kept], key[kept], load[kept]
 
 
-def _scales(texts: list[str]) -> list[tuple[np.ndarray, int]]:
-    """The texts cut at each spread."""
-    return [(np.arange(len(texts)), SPREAD), (np.flatnonzero([len(t) < SHORT for t in texts]), FINE)]
+def probes(texts: DataFrame, counts: np.ndarray, block: int = near.BLOCK) -> DataFrame:
+    """(key, node, runs, met): the chunks of (node, text, runs) to look up; ``key`` is that of the table, ``met`` that of the block of a list to be met."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)  # at most 16 MB
+    schema = pa.schema([*_CHUNKS, ("met", pa.int64())])
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, texts, runs = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            for i in range(0, len(texts), S.PIECE):
+                text, key, load = rarest(texts[i : i + S.PIECE], shared.value)
+                blocks = np.maximum(1, -(-load // block))
+                copy = np.repeat(np.arange(len(key)), blocks)
+                turn = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                at = text[copy] + i
+                yield S.batch(schema, {"key": key[copy].astype(np.int64), "node": nodes[at], "runs": runs[at], "met": _block_key(key[copy], turn).astype(np.int64)})
 
-def common_spans(texts: DataFrame, counts: np.ndarray, most: int, at_once: int) -> tuple[np.ndarray, DataFrame | None]:
-    """The keys of chunks and pairs in more than ``most`` texts: sorted, the most frequent of them, at most ``at_once``; and (key) of all others, None if there are none.
+    return texts.select("node", "text", "runs").mapInArrow(make, "key long, node long, runs int, met long")
 
-    The table of counts, where keys share buckets, only tells which keys can't be common; all others are counted one by one.  A text
-    that several partitions hold counts once in each.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(counts)  # at most 16 MB
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            fresh = [t for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not (n in seen or seen.add(n))]
-            made = [np.empty(0, dtype=np.uint64)]
-            for i in range(0, len(fresh), S.PIECE):
-                key = counted(fresh[i : i + S.PIECE])
-                made.append(key[shared.value[(key % np.uint64(len(shared.value))).astype(np.int64)] > most])
-            key, n = np.unique(np.concatenate(made), return_counts=True)
-            yield S.batch(_COUNTED, {"key": key.astype(np.int64), "n": n})
-
-    many = texts.select("node", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > most)
-    many = stored(many.select("key", F.floor(F.log2("n")).cast("int").alias("power")))
-    left, power = at_once, 64
-    tail = False
-    for r in many.groupBy("power").count().orderBy(F.desc("power")).collect():  # at most 64 rows
-        tail = r["count"] > left
-        if tail:
-            break
-        left, power = left - r["count"], r["power"]
-    known = many.where(F.col("power") >= power).select("key").toArrow().column("key").to_numpy().astype(np.uint64)
-    return np.sort(known), many.where(F.col("power") < power).select("key") if tail else None
-
-
-def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of ``keys`` are among the sorted ``known``."""
-    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(keys), dtype=bool)
-
-
-def span_keys(texts: list[str], common: np.ndarray, everyone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, key, bytes), each key once per text.
-
-    A chunk that isn't common stands for itself, a common one for itself with the one before it, if that pair isn't
-    common; the bytes of chunks that are common either way go to the next key.  Texts mostly made of such chunks, as
-    those with very many near-duplicates are, have keys of four chunks in a row, too.  Texts of fewer rare chunks than RARE and
-    brief ones (``everyone``: all texts) have keys of 0 bytes, one of which is enough to be compared.
-    """
-    rows, keys, sizes = [], [], []
-    share = np.ones(len(texts))
-    for some, spread in _scales(texts):
-        row, key, size, rare = _span_keys([texts[i] for i in some], spread, common)
-        rows.append(some[row]), keys.append(key), sizes.append(size)
-        share[some] = np.minimum(share[some], rare)
-    own = np.flatnonzero(everyone | (share < RARE) | (np.array([len(t) for t in texts]) < BRIEF))
-    row, key = S.alike_keys(S.grams([texts[i] for i in own]))
-    rows.append(own[row]), keys.append(key), sizes.append(np.zeros(len(key), dtype=np.int64))
-    row, key, size = np.concatenate(rows), np.concatenate(keys), np.concatenate(sizes)
-    first = S.first_of_each(row, key)
-    return row[first], key[first], size[first]
-
-
-def _span_keys(texts: list[str], spread: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    text, key, size = chunks(texts, spread)
-    pair = _pairs(text, key)
-    alone = ~_among(key, common)
-    rare = alone | (pair > 0) & ~_among(pair, common)
-    at = np.flatnonzero(rare)
-    upto = np.cumsum(size)
-    begin = np.searchsorted(text, text[at])
-    back = np.r_[-1, at[:-1]] if len(at) else at
-    since = np.maximum(back, begin - 1)
-    covered = upto[at] - np.where(since >= 0, upto[since], 0)
-    rows, keys, sizes = [text[at]], [np.where(alone, key, pair)[at]], [covered]
-    n = len(texts)
-    of = np.bincount(text, minlength=n)
-    n_rare = np.bincount(text[at], minlength=n)
-    few = (n_rare < np.maximum(3, 0.3 * of)) & (spread == SPREAD)
-    four = runs_of_four(text, key)
-    start = np.searchsorted(text, text)
-    whole = few[text] & ((np.arange(len(key)) <= start + of[text] - 4) | (of[text] < 4) & (np.arange(len(key)) == start))
-    rows.append(text[whole]), keys.append(four[whole]), sizes.append(size[whole])
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(sizes), n_rare / np.maximum(1, of)
+def _block_key(key: np.ndarray, block: np.ndarray) -> np.ndarray:
+    return S.mixed(key + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def chunk_table(texts: DataFrame, common: np.ndarray, everyone: bool, places: np.ndarray | None = None) -> DataFrame:
-    """(key, node, size): the chunks of every distinct text; ``texts`` is (node, text).  Only keys that may be among those of ``places``, if given."""
-    shared = texts.sparkSession.sparkContext.broadcast(common)  # at most 8 MB
-    wanted = texts.sparkSession.sparkContext.broadcast(None if places is None else np.packbits(places))  # at most 2 MB
-    width = 0 if places is None else len(places)
+def dealt(table: DataFrame, counts: np.ndarray, wanted: np.ndarray, block: int = near.BLOCK) -> DataFrame:
+    """(met, node, runs) of the entries of a chunk table that a probe may meet; long lists are dealt to blocks."""
+    shared = table.sparkSession.sparkContext.broadcast((counts, np.packbits(wanted)))  # at most 18 MB
+    width = len(wanted)
+    schema = pa.schema([("met", pa.int64()), ("node", pa.int64()), ("runs", pa.int32())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        has = np.unpackbits(wanted.value).astype(bool) if width else None
+        counts, has = shared.value[0], np.unpackbits(shared.value[1]).astype(bool)
         for b in batches:
-            pairs = [(n, t) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not (n in seen or seen.add(n))]
-            for i in range(0, len(pairs), S.PIECE):
-                nodes = np.array([n for n, _ in pairs[i : i + S.PIECE]], dtype=np.int64)
-                row, key, size = span_keys([t for _, t in pairs[i : i + S.PIECE]], shared.value, everyone)
-                if width:
-                    kept = has[(key % np.uint64(width)).astype(np.int64)]
-                    row, key, size = row[kept], key[kept], size[kept]
-                yield S.batch(_CHUNKS, {"key": key.astype(np.int64), "node": nodes[row], "size": size})
+            keys = b.column(0).to_numpy().view(np.uint64)
+            kept = np.flatnonzero(has[(keys % np.uint64(width)).astype(np.int64)])
+            b, keys = b.take(pa.array(kept)), keys[kept]
+            blocks = np.maximum(1, -(-counts[(keys % np.uint64(len(counts))).astype(np.int64)].astype(np.int64) // block)).astype(np.uint64)
+            turn = S.mixed(b.column(1).to_numpy().view(np.uint64)) % blocks
+            yield S.batch(schema, {"met": _block_key(keys, turn).astype(np.int64), "node": b.column(1), "runs": b.column(2)})
 
-    return texts.select("node", "text").mapInArrow(make, "key long, node long, size int")
+    return table.select("key", "node", "runs").mapInArrow(make, "met long, node long, runs int")
 
 
-def covering(new: DataFrame, table: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """(a, b): new texts and the different texts of the table that cover at least ``coverage`` of their chunk bytes or share a key of 0 bytes."""
-    total = new.groupBy("node").agg(F.sum("size").alias("total"))
-    shared = new.select("key", F.col("node").alias("a"), "size").join(table.select("key", F.col("node").alias("b")), "key").where("a != b")
-    return shared.groupBy("a", "b").agg(F.sum("size").alias("s"), F.min("size").alias("least")).join(total.withColumnRenamed("node", "a"), "a").where((F.col("s") >= coverage * F.col("total")) | (F.col("least") == 0)).select("a", "b")
+def meeting(looked_up: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: texts of ``probes`` and different texts of fitting size of ``dealt`` that share a chunk."""
+    x, y = looked_up.select("met", F.col("node").alias("x"), F.col("runs").alias("n")), table.select("met", F.col("node").alias("y"), F.col("runs").alias("m"))
+    fit = (F.col("x") != F.col("y")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - F.lit(1e-9))
+    joined = x.join(y, (x["met"] == y["met"]) & fit)
+    return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _rounds(rows: DataFrame, links: DataFrame) -> DataFrame:
+def settled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(accepted_id, id) of the rows that repeat an accepted one.
 
-    ``rows``: (id, node, site, old): incoming rows, ``old`` the smallest id of the history they repeat.  A row of
-    the history settles a row at once; of the others, a row waits while a smaller row that it repeats waits.
-    Each round works on groups (equal text, equal url, linked text), never on pairs within a group.
+    ``rows``: (id, node, site, old): incoming rows, ``old`` the smallest id of the history they repeat; ``links`` (a, b): different texts that
+    are alike.  A row of the history settles a row at once; of the others, a row waits while a smaller row that it
+    repeats waits.  Each round works on groups (equal text, equal url), never on pairs within a group; null texts and urls are in none.
     """
-    decided = stored(rows.withColumn("state", F.when(F.col("old").isNotNull(), F.lit("case")).otherwise(F.lit("open"))))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    while True:
-        live = decided.where("state != 'case'")
-        smallest = [F.min(F.when(F.col("state") == s, F.col("id"))).alias(s) for s in ("accepted", "open")]
-        texts = live.where("node is not null").groupBy("node").agg(*smallest)
-        near_by = both.join(texts.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("accepted").alias("accepted"), F.min("open").alias("open"))
-        texts = texts.unionByName(near_by).groupBy("node").agg(F.min("accepted").alias("ta"), F.min("open").alias("to"), F.lit(1).alias("_t"))
-        sites = live.where("site is not null").groupBy("site").agg(*smallest).select("site", F.col("accepted").alias("sa"), F.col("open").alias("so"))
-        seen = decided.join(texts, "node", "left").join(sites, "site", "left").withColumn("first", F.least("ta", "sa")).withColumn("wait", F.least("to", "so"))
-        state = (
-            F.when(F.col("state") != "open", F.col("state"))
-            .when(F.col("first") < F.col("id"), F.lit("case"))
-            .when(F.col("wait") < F.col("id"), F.lit("open"))
-            .otherwise(F.lit("accepted"))
-        )
-        # the smallest accepted row counts, also for rows that repeat the history
-        old = F.when(F.col("first") < F.col("id"), F.least("old", "first")).otherwise(F.col("old"))
-        decided = stored(seen.select("id", "node", "site", old.alias("old"), state.alias("state")))
-        if decided.where("state = 'open'").isEmpty():
-            break
-    # an accepted row may have been settled after a row that repeats it
-    live = decided.where("state = 'accepted'")
-    texts = live.where("node is not null").groupBy("node").agg(F.min("id").alias("t"))
-    near_by = both.join(texts.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("t").alias("t"))
-    texts = texts.unionByName(near_by).groupBy("node").agg(F.min("t").alias("t"))
-    sites = live.where("site is not null").groupBy("site").agg(F.min("id").alias("u"))
-    ended = decided.where("state = 'case'").join(texts, "node", "left").join(sites, "site", "left")
-    earlier = [F.when(F.col(x) < F.col("id"), F.col(x)) for x in ("t", "u")]
-    return ended.select(F.least("old", *earlier).alias("accepted_id"), "id")
-
-
-def repeated(accepted: DataFrame, incoming: DataFrame, record: str, url: str, columns: tuple[str, ...], least: float = 0.7) -> DataFrame:
-    """(accepted_id, <record>): the rows of ``incoming`` that repeat an accepted row, with the smallest id of those they repeat.
-
-    Accepted are all rows of ``accepted`` and each incoming row with a smaller id that isn't itself a repeat.
-    A row repeats another if their urls agree (``same_url``) or the plain forms of ``columns`` share ``least`` of their
-    runs.  Null urls and rows without text repeat nothing by that field; rows with a null id are ignored.
-    """
-    cols = [record, url, *columns]
-    both = accepted.select(*cols, F.lit(0).alias("_new")).unionByName(incoming.select(*cols, F.lit(1).alias("_new")))
-    # ids are unique over both tables; the lowest bit says where a row came from
-    both = both.where(F.col(record).isNotNull()).withColumn("_id", F.col(record).cast("long") * 2 + F.col("_new"))
-    rows = both.count()
-    site = stored(both.select("_id", same_url(F.col(url)).alias("site")).where("site is not null"))
-    size = min(S.MOST, 2 * S.table_size(rows))
-    texts, counts = near.read_texts(both, "_id", columns, size, counted)
-    is_new = F.col("id") % 2 == 1
-    release(site.sparkSession)
-    common, others = common_spans(texts, counts, COMMON, AT_ONCE)
-    # common keys that aren't broadcast are taken out by a join; as their texts may have no rare ones left, all texts have keys of 0 bytes
-    new_table = chunk_table(texts.where(is_new), common, others is not None).distinct()
-    new_table = stored(new_table if others is None else new_table.join(others, "key", "left_anti"))
-    release(site.sparkSession)
-    place = S.presence(new_table.select("key"), new_table.count())
-    # a text that several partitions of the history hold counts more than once here, which only makes it a candidate sooner
-    table = chunk_table(texts.where(~is_new), common, others is not None, place).unionByName(new_table)
-    found = stored(covering(new_table, table).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    release(found.sparkSession)
-    links = stored(near.confirmed(found, texts, least))
-    release(found.sparkSession)
-    tagged = texts.select("id", "node").join(site.withColumnRenamed("_id", "id"), "id", "full")
-    tagged = stored(tagged.select(F.shiftright("id", 1).alias("id"), (F.col("id") % 2).alias("_new"), "node", "site"))
-    # the smallest row of the history of the same text, a linked text, or the same url
-    old = tagged.where("_new = 0")
-    old_text = old.where("node is not null").groupBy("node").agg(F.min("id").alias("t"))
+    own = [rows.where(F.col(c).isNotNull()).select("id", F.lit(i).alias("kind"), F.col(c).alias("g")) for i, c in enumerate(("node", "site"))]
+    member = stored(own[0].unionByName(own[1]))
     ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ways.join(old_text.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("t").alias("t"))
-    old_text = old_text.unionByName(linked).groupBy("node").agg(F.min("t").alias("t"))
-    old_site = old.where("site is not null").groupBy("site").agg(F.min("id").alias("u"))
-    new = tagged.where("_new = 1").select("id", "node", "site")
-    start = new.join(old_text, "node", "left").join(old_site, "site", "left").select("id", "node", "site", F.least("t", "u").alias("old"))
-    return _rounds(start, links).withColumnRenamed("id", record)
-
+    linked = own[0].join(ways, F.col("g") == F.col("a")).select("id", "kind", F.col("b").alias("g"))
+    seen = stored(member.unionByName(linked))
+    decided = stored(rows.select("id", "old", F.when(F.col("old").isNotNull(), F.lit("case")).otherwise(F.lit("open")).alias("state")))
 
+    def smallest(*states: str) -> DataFrame:
+        """(id, <state>...): the smallest row of each state among those that a row's groups hold."""
+        live = decided.where("state != 'case'")
+        groups = member.join(live, "id").groupBy("kind", "g").agg(*(F.min(F.when(F.col("state") == s, F.col("id"))).alias(s) for s in states))
+        return seen.join(groups, ["kind", "g"]).groupBy("id").agg(*(F.min(s).alias(s) for s in states))
+
+    while not decided.where("state = 'open'").isEmpty():
+        view = smallest("accepted", "open")
+        first, wait = F.col("accepted") < F.col("id"), F.col("open") < F.col("id")
+        state = F.when(F.col("state") != "open", F.col("state")).when(first, "case").when(wait, "open").otherwise("accepted")
+        decided = stored(decided.join(view, "id", "left").select("id", "old", state.alias("state")))
+    # the smallest accepted row counts, also for rows that repeat the history
+    ended = decided.where("state = 'case'").join(smallest("accepted"), "id", "left")
+    return ended.select(F.least("old", F.when(F.col("accepted") < F.col("id"), F.col("accepted"))).alias("accepted_id"), "id")

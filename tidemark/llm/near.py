@@ -1,40 +1,40 @@
 """Problem 3: near-duplicate texts, found without comparing all pairs.
 
-A size-aware heavy-light join of the sets of three-character runs.  Counts of all runs over all texts
-(hashed into a table of bounded size) split the runs by cost into light and heavy ones: a list of light
-runs is so short that two of them together are expected to be shared by less than one unrelated text.
-Small sets enumerate all subsets of two light runs; of larger sets the light run that comes first in each
-of SLOTS slots takes part, with that of the next slot.  Texts with few light runs, by number or by share, add keys of their smallest runs in several
-orders, light or heavy (``shingles.alike_keys``).  Texts that share subsets are compared exactly.  Equal texts are one class throughout.
+A size-aware heavy-light join of the sets of three-character runs; it loses no pair.  All runs have one order, rare ones first, from
+counts over all texts.  Two sets that share enough have a run in common among the first few of either in that order, and two such
+runs if each takes one more.  Small sets therefore enumerate their subsets of two such runs; large sets scan the inverted lists of
+single ones, which hold the sets they may be like.  The size that divides them is where both cost the same (``boundary``); it changes
+no result.  Where the common runs stand tells how much two sets can still share at most, and most pairs end there, inside the join.  The others
+are compared by the parities of their runs, which again bound what they share, then exactly.  Equal texts are one class throughout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingles as S
 from tidemark.llm.components import components
 from tidemark.llm.plain import plain
 from tidemark.operators.skew import attach
-from tidemark.scratch import discard, release, stored
+from tidemark.scratch import scope, stored
 
-SLOTS, SMALL, FEW, MANY = 32, 7, 16, 12
-#: Texts of fewer light runs than this share have heavy keys.  Up to 0.3 of the runs of a text may be missing in one of similarity
-#: 0.7, so that many light runs may all be its own edits.
-LIGHT = 0.4
-#: Heavy keys per text.
-BANDS = 64
-#: Matching subsets that make a pair of larger sets a candidate.
-ENOUGH = 3
+#: An inverted list of more entries is cut into blocks of so many, which meet two by two.
+BLOCK = 1 << 15
+#: What making a key costs, in looks at an entry of a list.
+KEY_COST = 50
+WORDS = [f"w{i}" for i in range(S.BITS // 64)]
 
-_TEXTS = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("text", pa.string()), ("segment", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("kind", pa.int32())])
-_TEXTS_DDL = "id long, node long, text string, segment int, part int, counts binary, kind int"
-_KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("weight", pa.int32()), ("heavy", pa.bool_())])
+_TEXTS = pa.schema(
+    [("id", pa.int64()), ("node", pa.int64()), ("text", pa.string()), ("runs", pa.int32()), *((w, pa.int64()) for w in WORDS), ("segment", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("kind", pa.int32())]
+)
+_TEXTS_DDL = f"id long, node long, text string, runs int, {', '.join(w + ' long' for w in WORDS)}, segment int, part int, counts binary, kind int"
+_KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("meta", pa.int64())])
 
 
 def joined_plain(parts: list[pa.Array]) -> list[str]:
@@ -43,143 +43,155 @@ def joined_plain(parts: list[pa.Array]) -> list[str]:
     return [" ".join(filter(None, map(plain, row))) for row in zip(*columns, strict=True)]
 
 
-def read_texts(df: DataFrame, record: str, columns: tuple[str, ...], size: int, counted=None) -> tuple[DataFrame, np.ndarray]:
-    """(id, node, text) of every row with a text, stored, and the counts of what ``counted`` takes from distinct texts."""
-    counted = counted or (lambda texts: S.grams(texts) & S.MASK)
+def read_texts(df: DataFrame, record: str, columns: tuple[str, ...], size: int, counted: Callable | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(id, node) of every row with a text; (node, text, runs, parities) once per text; and ``size`` counts of the runs of all texts, or of what ``counted`` makes of texts.
+
+    A text that several partitions read counts in each.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, part = np.zeros(size, dtype=np.int64), set(), None
         for b in batches:
             texts = joined_plain([b.column(i) for i in range(1, b.num_columns)])
             nodes = [S.content_key(t) for t in texts]
-            yield S.batch(_TEXTS, {"id": b.column(0).cast(pa.int64()), "node": nodes, "text": texts, "kind": [0] * len(texts)})
-            fresh = [t for n, t in zip(nodes, texts, strict=True) if n is not None and not (n in seen or seen.add(n))]
-            if fresh:
-                part = nodes[0] % 16 if part is None and nodes[0] is not None else part
-                made = np.concatenate([counted(fresh[i : i + S.PIECE]) for i in range(0, len(fresh), S.PIECE)])
+            yield S.batch(_TEXTS, {"id": b.column(0).cast(pa.int64()), "node": nodes, "kind": [0] * len(texts)})
+            fresh = [(n, t) for n, t in zip(nodes, texts, strict=True) if n is not None and not (n in seen or seen.add(n))]
+            for i in range(0, len(fresh), S.PIECE):
+                some = fresh[i : i + S.PIECE]
+                part = some[0][0] % 16 if part is None else part
+                found = S.grams([t for _, t in some])
+                runs = np.bincount((found >> np.uint64(S.WIDTH)).astype(np.int64), minlength=len(some))
+                made = counted([t for _, t in some]) if counted else found & S.MASK
                 counts += np.bincount((made % np.uint64(size)).astype(np.int64), minlength=size)
+                parities = S.parities(found, len(some))
+                yield S.batch(_TEXTS, {"node": [n for n, _ in some], "text": [t for _, t in some], "runs": runs, **{w: parities[:, i] for i, w in enumerate(WORDS)}, "kind": [2] * len(some)})
         if packed := S.packed(counts):
             yield S.batch(_TEXTS, {"segment": [i for i, _ in packed], "part": [part or 0] * len(packed), "counts": [c for _, c in packed], "kind": [1] * len(packed)})
 
     rows = df.where(F.col(record).isNotNull()).select(F.col(record).cast("long"), *columns)
     both = stored(rows.mapInArrow(read, _TEXTS_DDL), "kind")
-    texts = both.where("kind = 0 and node is not null").select("id", "node", "text")
-    return texts, S.summed(both.where("kind = 1").select("segment", "part", "counts"), size)
+    ids = both.where("kind = 0 and node is not null").select("id", "node")
+    return ids, _distinct(both.where("kind = 2").select("node", "text", "runs", *WORDS)), S.summed(both.where("kind = 1").select("segment", "part", "counts"), size)
 
 
-def boundary(counts: np.ndarray, rows: int) -> int:
-    """Most occurrences of a light run.
+def _distinct(texts: DataFrame) -> DataFrame:
+    """``texts`` once per node; only the few that more than one partition read are shuffled."""
+    again = stored(texts.groupBy("node").count().where("count > 1").select("node"))
+    places = S.presence(again, again.count())
+    return S.only_present(texts, "node", places, False).unionByName(S.only_present(texts, "node", places).dropDuplicates(["node"]))
 
-    At the square root of the number of texts, two independent light runs are shared by one text on
-    average; it is raised where half of all occurrences would otherwise count as heavy.
-    """
-    loads = np.sort(counts[counts > 0]).astype(np.int64)
-    middle = int(loads[np.searchsorted(np.cumsum(loads), loads.sum() // 2)]) if len(loads) else 0
-    return max(64, int(rows**0.5), min(middle, rows // 64))
-
-
-def _firsts(found: np.ndarray, n: int, slots: int) -> np.ndarray:
-    """For each text the first run in each slot, 0 for none; found: sorted (text, hash)."""
-    text, h = found >> np.uint64(S.WIDTH), found & S.MASK
-    order = (h * np.uint64(0x9E3779B97F4A7C15)) & S.MASK | np.uint64(1)
-    slot = (h >> np.uint64(7)) % np.uint64(slots)
-    place = np.sort(((text * np.uint64(slots) + slot) << np.uint64(S.WIDTH)) | order)
-    at = (place >> np.uint64(S.WIDTH)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, dtype=np.int64)
-    table = np.zeros((n, slots), dtype=np.uint64)
-    table.ravel()[at[first]] = place[first] & S.MASK
-    return table
-
-
-def _subset(*runs: np.ndarray) -> np.ndarray:
-    ordered = np.sort(np.stack(runs), axis=0)
-    key = np.full(ordered.shape[1:], len(runs), dtype=np.uint64)
-    for x in ordered:
-        key = S.mixed(key * np.uint64(31) + x)
-    return key
-
-
-def _of_small(found: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All subsets of two (of one, where there is but one) of the texts in ``rows``."""
-    text = (found >> np.uint64(S.WIDTH)).astype(np.int64)
-    runs = (((found & S.MASK) * np.uint64(0x9E3779B97F4A7C15)) & S.MASK) | np.uint64(1)
-    begin, end = np.searchsorted(text, rows), np.searchsorted(text, rows, "right")
-    for i in range(SMALL):
-        for j in range(i, SMALL):
-            has = (begin + j < end) & ((i < j) | (end - begin == 1))
-            if has.any():
-                yield rows[has], _subset(runs[begin[has] + i], runs[begin[has] + j])
-
-
-def subset_keys(texts: list[str], counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, key, weight, heavy) of every text's subsets."""
-    n = len(texts)
-    found = S.grams(texts)
-    light = found[counts[((found & S.MASK) % np.uint64(len(counts))).astype(np.int64)] <= most]
-    of = lambda x: np.bincount((x >> np.uint64(S.WIDTH)).astype(np.int64), minlength=n)
-    n_light, n_all = of(light), of(found)
-    rows, keys, heavy = [], [], []
-
-    def put(r: np.ndarray, k: np.ndarray, h: bool) -> None:
-        rows.append(r), keys.append(k), heavy.append(np.full(len(r), h))
-
-    table = _firsts(light, n, SLOTS)
-    other = np.roll(table, -1, axis=1)
-    r, s = np.nonzero((table > 0) & (other > 0))
-    put(r, _subset(table[r, s], other[r, s]), False)
-    for r, k in _of_small(light, np.flatnonzero((n_light > 0) & (n_light <= SMALL))):
-        put(r, k, False)
-    needs = ((n_light < FEW) | (n_light < LIGHT * n_all)) & (n_all > 0)
-    if needs.any():
-        few = np.flatnonzero(needs)
-        put(*S.alike_keys(found[needs[(found >> np.uint64(S.WIDTH)).astype(np.int64)]], bands=BANDS), True)
-        for r, k in _of_small(found, few[n_all[few] <= SMALL]):
-            put(r, k, True)
-    row, key, heavy = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (rows, keys, heavy))
-    first = S.first_of_each(row, key)
-    row, key, heavy = row[first], key[first], heavy[first]
-    few_keys = np.bincount(row[~heavy], minlength=n) < MANY
-    return row, key, np.where(heavy | few_keys[row], ENOUGH, 1), heavy
-
-
-def keys_of(texts: DataFrame, counts: np.ndarray, most: int) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(counts)  # at most 16 MB
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            pairs = [(n, t) for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not (n in seen or seen.add(n))]
-            for i in range(0, len(pairs), S.PIECE):
-                nodes = np.array([n for n, _ in pairs[i : i + S.PIECE]], dtype=np.int64)
-                row, key, weight, heavy = subset_keys([t for _, t in pairs[i : i + S.PIECE]], shared.value, most)
-                yield S.batch(_KEYS, {"key": key.astype(np.int64), "node": nodes[row.astype(np.int64)], "weight": weight, "heavy": heavy.astype(bool)})
+def needed(x: Column, y: Column, least: float) -> Column:
+    """The runs that sets of ``x`` and ``y`` runs must share to be similar enough."""
+    return F.ceil(F.lit(least / (1 + least)) * (x + y) - F.lit(1e-9))
+
 
-    return texts.select("node", "text").mapInArrow(make, "key long, node long, weight int, heavy boolean")
+def boundary(counts: np.ndarray, least: float) -> int:
+    """The most runs of a small set: up to there, all subsets of two cost no more than scanning the lists of single runs.
 
+    A set of n runs takes part with its first (1 - least) n.  These are about the rarest of all occurrences, whose lists have the
+    mean length L, so that scanning costs (1 - least) n L and subsets ((1 - least) n)^2 / 2 keys.
+    """
+    loads = np.sort(counts[counts > 0]).astype(np.int64)
+    if not len(loads):
+        return 2
+    upto = np.cumsum(loads)
+    rare = loads[: np.searchsorted(upto, (1 - least) * upto[-1]) + 1].astype(np.float64)
+    # an occurrence takes part in about every second text that has it
+    mean = float((rare**2).sum() / rare.sum()) / 2
+    return max(2, int(2 * mean / KEY_COST / (1 - least)))
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """(a, b), a < b: nodes that share enough subsets.
 
-    A key of light runs is shared by few nodes, as its runs are; keys of heavy runs may be shared by
-    many, so those are joined, where a hot key is split.
+def keys_of_texts(texts: list[str], nodes: np.ndarray, rank: np.ndarray, counts: np.ndarray, least: float, small: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text number, meta): subsets of two runs of small sets, and single runs of large ones and those that may be like them.
+
+    ``meta`` holds the size of the set, the runs from the (second) one of the key on, whether it is a subset, and for keys of long lists which half of two
+    blocks the text is in (``together`` reads it).
     """
-    member = F.struct("node", "weight")
-    lists = keys.where("not heavy").groupBy("key").agg(F.collect_set(member).alias("m")).where("size(m) > 1")
-    light = lists.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where("x.node < y.node")
-    light = light.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.greatest("x.weight", "y.weight").alias("w"))
-    heavy = keys.where("heavy").select("key", "node").distinct()
-    left, right = heavy.select("key", F.col("node").alias("a")), heavy.select("key", F.col("node").alias("b"))
-    both = light.unionByName(left.join(right, "key").where("a < b").select("a", "b", F.lit(ENOUGH).alias("w")))
-    return both.groupBy("a", "b").agg(F.sum("w").alias("w")).where(F.col("w") >= ENOUGH).select("a", "b")
+    found = S.grams(texts)
+    at = ((found & S.MASK) % np.uint64(len(counts))).astype(np.int64)
+    # text number, rank and hash in one word
+    order = np.sort(((found >> np.uint64(S.WIDTH)) << np.uint64(52)) | (rank[at].astype(np.uint64) << np.uint64(40)) | (found & S.MASK))
+    text, run = (order >> np.uint64(52)).astype(np.int64), order & S.MASK
+    n = np.bincount(text, minlength=len(texts))
+    start = np.searchsorted(text, np.arange(len(texts)))
+    place = np.arange(len(text)) - start[text]
+    first = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
+    single = np.flatnonzero((place < first[text]) & ((n[text] > small) | (n[text] >= math.floor(least * small)) | (n[text] <= 1 / least)))
+    parts = [(run[single], run[single], text[single], n[text[single]] - place[single], np.zeros(len(single), dtype=np.int64))]
+    few = np.flatnonzero((n > 1) & (n <= small))
+    for i in range(int(first[few].max()) if len(few) else 0):
+        for j in range(i + 1, int(first[few].max()) + 1):
+            some = few[(first[few] >= j) & (n[few] > j)]
+            a, b = run[start[some] + i], run[start[some] + j]
+            parts.append((S.mixed(a * np.uint64(31) + b + np.uint64(7)), a, some, n[some] - j + 1, np.ones(len(some), dtype=np.int64)))
+    key, by, of, rest, subset = (np.concatenate(x) for x in zip(*parts, strict=True))
+    load = counts[(by % np.uint64(len(counts))).astype(np.int64)].astype(np.int64)
+    kept = load > 1  # a run of one text meets nothing
+    key, of, rest, subset, load = key[kept], of[kept], rest[kept], subset[kept], load[kept]
+    key, of, half, copy = in_blocks(key, of, nodes, load, block)
+    return key, of, (n[of] << 32) | (rest[copy] << 4) | (subset[copy] << 2) | half
+
+
+def in_blocks(key: np.ndarray, of: np.ndarray, nodes: np.ndarray, load: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text number, half, place in what was given): entries of lists longer than ``block`` are repeated, so that every two blocks of a list meet under a key of their own."""
+    blocks = -(-load // block)
+    copy = np.repeat(np.arange(len(key)), blocks)
+    other = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    mine = (S.mixed(nodes[of].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)[copy]
+    low, high = np.minimum(mine, other), np.maximum(mine, other)
+    salt = (low * (1 << 20) + high).astype(np.uint64)
+    cut = (blocks > 1)[copy]
+    made = np.where(cut, S.mixed(key[copy] + salt * np.uint64(0x9E3779B97F4A7C15)), key[copy])
+    return made, of[copy], np.where(mine == other, 0, np.where(mine < other, 1, 2)), copy
+
+
+def keys_of(texts: DataFrame, counts: np.ndarray, least: float, small: int) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast((counts, S.ranks(counts)))  # at most 24 MB
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rank = shared.value
+        for b in batches:
+            nodes, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for i in range(0, len(texts), S.PIECE):
+                some = nodes[i : i + S.PIECE]
+                key, of, meta = keys_of_texts(texts[i : i + S.PIECE], some, rank, counts, least, small)
+                yield S.batch(_KEYS, {"key": key.astype(np.int64), "node": some[of], "meta": meta})
+
+    return texts.select("node", "text").mapInArrow(make, "key long, node long, meta long")
+
+
+def together(keys: DataFrame, least: float, small: int) -> DataFrame:
+    """(a, b), a < b: the texts that share a key and may be similar by their sizes and by where the key stands in both."""
+    x, y = keys.alias("x"), keys.alias("y")
+    size = [F.shiftright(f"{s}.meta", 32) for s in "xy"]
+    rest = [F.shiftright(f"{s}.meta", 4).bitwiseAND(F.lit((1 << 28) - 1)) for s in "xy"]
+    low = [F.col(f"{s}.meta").bitwiseAND(F.lit(15)) for s in "xy"]
+    halves = low[0].bitwiseAND(F.lit(3)) + low[1].bitwiseAND(F.lit(3))
+    met = (halves == 0) | (halves == 3)
+    # small sets meet by subsets, if they must share two runs
+    by = (low[0] >= 4) | (F.greatest(*size) > small) | (needed(*size, least) < 2)
+    near = (F.least(*size) >= F.lit(least) * F.greatest(*size) - F.lit(1e-9)) & (F.least(*rest) >= needed(*size, least))
+    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near & by & met)
+    return joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def may_share(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The (a, b) of ``pairs`` that may be similar by the parities of their texts."""
+    bits = texts.select("node", "runs", *WORDS)
+    sides = [bits.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in ("runs", *WORDS))) for s in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    differ = sum((F.bit_count(F.col("a" + w).bitwiseXOR(F.col("b" + w))) for w in WORDS[1:]), F.bit_count(F.col("a" + WORDS[0]).bitwiseXOR(F.col("b" + WORDS[0]))))
+    total = F.col("aruns") + F.col("bruns")
+    return both.where(total - differ >= 2 * needed(F.col("aruns"), F.col("bruns"), least)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs whose texts share at least ``least`` of their runs."""
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     # most texts are in no pair: they are dropped where they are read, before any shuffle
-    needed = stored(needed)
-    places = S.presence(needed, needed.count())
-    known = S.only_present(texts.select("node", "text"), "node", places).join(needed, "node", "left_semi").dropDuplicates(["node"])
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    places = S.presence(ends, ends.count())
+    known = S.only_present(texts.select("node", "text"), "node", places).join(ends, "node", "left_semi").dropDuplicates(["node"])
     left, right = (known.select(F.col("node").alias(x), F.col("text").alias("t" + x)) for x in "ab")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,15 +203,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
-def class_links(df: DataFrame, record: str, columns: tuple[str, ...], least: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of every row with a text, and (a, b) of every two different texts that are near-duplicates."""
-    rows = df.count()
-    texts, counts = read_texts(df, record, columns, S.table_size(rows))
-    keys = stored(keys_of(texts, counts, boundary(counts, rows)))
-    pairs = stored(candidates(keys))
-    discard(keys)
-    release(df.sparkSession)
-    return texts.select("id", "node"), stored(confirmed(pairs, texts, least))
+def class_links(df: DataFrame, record: str, columns: tuple[str, ...], least: float = 0.7, small: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row with a text, and (a, b) of every two different texts that are near-duplicates.
+
+    ``small``: the most runs of a small set, by default where the costs meet.
+    """
+    with scope() as kept:
+        rows = df.count()
+        ids, texts, counts = read_texts(df, record, columns, S.table_size(rows))
+        small = boundary(counts, least) if small is None else small
+        ids = stored(ids)
+        pairs = stored(may_share(together(keys_of(texts, counts, least, small), least, small), texts, least))
+        links = stored(confirmed(pairs, texts, least))
+        kept += [ids, links]
+    return ids, links
 
 
 def near_pairs(df: DataFrame, record: str, *columns: str, least: float = 0.7) -> DataFrame:
@@ -208,12 +225,20 @@ def near_pairs(df: DataFrame, record: str, *columns: str, least: float = 0.7) ->
     The text is the plain form of ``columns``, null as empty; rows without text are near nothing.
     As it lists all pairs, the result grows with the square of a group; ``near_groups`` doesn't.
     """
-    members, links = class_links(df, record, columns, least)
-    a, b = (members.select(F.col("id").alias("i" + x), F.col("node").alias(x)) for x in "ab")
-    near = links.join(a, "a").join(b, "b").select("ia", "ib")
-    equal = a.join(b, F.col("a") == F.col("b")).where("ia < ib").select("ia", "ib")
-    both = near.unionByName(equal)
-    return both.select(F.least("ia", "ib").alias(record + "_a"), F.greatest("ia", "ib").alias(record + "_b"))
+    ids, links = class_links(df, record, columns, least)
+    # the rows of a text that very many share are dealt to blocks, each of which meets all links of the text
+    sizes = ids.groupBy("node").agg(F.ceil(F.count("*") / (BLOCK // 8)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    sizes = stored(sizes.where("n > 1"))
+    dealt = attach(ids, sizes.select("node", "blocks", "n"), "node", "n", ids.count(), "left")
+    members = stored(dealt.select("id", "node", F.coalesce(F.pmod(F.xxhash64("id"), "blocks"), F.lit(0)).alias("block")))
+    both = links.unionByName(sizes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    for side in "ab":
+        cut = sizes.where("blocks > 1").select(F.col("node").alias(side), "blocks")
+        spread = both.join(cut, side, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+        rows = members.select(F.col("id").alias("i" + side), F.col("node").alias(side), "block")
+        both = spread.join(rows, [side, "block"]).drop("block")
+    distinct = both.where((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib")))
+    return distinct.select(F.least("ia", "ib").alias(record + "_a"), F.greatest("ia", "ib").alias(record + "_b"))
 
 
 def near_groups(df: DataFrame, record: str, *columns: str, least: float = 0.7) -> DataFrame:
@@ -223,14 +248,12 @@ def near_groups(df: DataFrame, record: str, *columns: str, least: float = 0.7) -
     the number of records with an equal text (itself included), ``n_links`` the number of different texts
     that are near-duplicates of its own.
     """
-    members, links = class_links(df, record, columns, least)
-    nodes = members.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"))
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
+    ids, links = class_links(df, record, columns, least)
+    nodes = ids.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n_copies"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("node"))
     degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     group = components(links, "a", "b").select(F.col("vertex").alias("node"), "component")
     labelled = nodes.join(group, "node", "left").join(degree, "node", "left").withColumn("g", F.coalesce("component", "node"))
-    ids = labelled.groupBy("g").agg(F.min("first").alias("group_id"))
-    labelled = stored(labelled.join(ids, "g").select("node", "group_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    return attach(members, labelled, "node", "n_copies", members.count()).select(F.col("id").alias(record), "group_id", "n_copies", "n_links")
-
-
+    named = labelled.groupBy("g").agg(F.min("first").alias("group_id"))
+    labelled = stored(labelled.join(named, "g").select("node", "group_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    return attach(ids, labelled, "node", "n_copies", ids.count()).select(F.col("id").alias(record), "group_id", "n_copies", "n_links")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, formatting, garbled, history, mixing, near, packing, plain, survivor, tokens
+from tidemark.llm import components, formatting, garbled, mixing, near, packing, plain, store, survivor, tokens
 from tidemark.scratch import stored
 
 
@@ -59,7 +59,7 @@ def p6_golden(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     articles, incoming = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("articles", "incoming_articles"))
-    return history.repeated(articles, incoming, "article_id", "url", ("title", "description"), least=0.7)
+    return store.repeated(articles, incoming, "article_id", "url", ("title", "description"), least=0.7)
 
 
 def _sizes(spark: SparkSession, sf: str) -> DataFrame:

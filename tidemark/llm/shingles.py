@@ -17,8 +17,12 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 SEGMENT = 1 << 16
 #: Most buckets of a table of counts, and most places of a presence table.
 MOST, MOST_PLACES = 1 << 22, 1 << 24
-#: Texts worked on at once.
+#: Parts of tables of counts, and keys, up to which the driver merges them itself (32 MB, 1 MB); beyond, the executors do.
+FEW_PARTS, FEW_KEYS = 128, 1 << 17
+#: Texts worked on at once; at most 2^12, as their numbers share a word with a rank and a hash.
 PIECE = 2_000
+#: Bits of a text's parities.
+BITS = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -77,21 +81,20 @@ def similarity(left: list[str], right: list[str]) -> np.ndarray:
     return both / np.maximum(1, of(a) + of(b) - both)
 
 
-def alike_keys(found: np.ndarray, deep: int = 5, bands: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key): ``bands`` keys per text, each of the smallest runs in ``deep`` orders; found: sorted (text, hash).
+def parities(found: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` texts BITS bits, as signed 64-bit words: whether an odd number of its runs fall on a bit; found: sorted (text, hash).
 
-    They don't depend on how often a run occurs.  Two texts of similarity s share none with (1 - s^deep)^bands: 0.06 % at 0.7.
+    Two texts differ in at least as many runs as bits.
     """
-    text, h = (found >> np.uint64(WIDTH)).astype(np.int64), found & MASK
-    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.empty(0, dtype=np.int64)
-    orders = mixed(np.arange(1, deep * bands + 1, dtype=np.uint64)) | np.uint64(1)
-    keys = []
-    for band in range(bands if len(first) else 0):
-        key = np.full(len(first), band + 1, dtype=np.uint64)
-        for order in orders[band * deep : (band + 1) * deep]:
-            key = mixed(key * np.uint64(31) + np.minimum.reduceat(h * order, first))
-        keys.append(key)
-    return np.tile(text[first], len(keys)), np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
+    at = (found >> np.uint64(WIDTH)) * np.uint64(BITS) + mixed(found & MASK) % np.uint64(BITS)
+    odd = np.bincount(at.astype(np.int64), minlength=n * BITS) & 1
+    return np.packbits(odd.astype(bool)).view("<i8").reshape(n, BITS // 64)
+
+
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """For each bucket of a table of counts its place among at most 2^12, rare ones first: whole numbers up to 2^11, then by the logarithm."""
+    steep = 2048 + 64 * np.log2(np.maximum(counts, 2048) / 2048)
+    return np.where(counts < 2048, counts, np.minimum(steep, 4095)).astype(np.uint16)
 
 
 def packed(counts: np.ndarray) -> list[tuple[int, bytes]]:
@@ -108,8 +111,18 @@ def _add(parts: pd.DataFrame) -> pd.DataFrame:
 
 def summed(parts: DataFrame, size: int) -> np.ndarray:
     """The table of ``size`` counts from (segment, part, counts); merged in two steps, its size doesn't grow with the data."""
+    few = parts.select("segment", "counts").limit(FEW_PARTS + 1).toArrow()
+    if len(few) <= FEW_PARTS:  # at most 32 MB, not worth two shuffles
+        counts = np.zeros(size, dtype="<u4")
+        for i, c in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
+            counts[i * SEGMENT : (i + 1) * SEGMENT] += np.frombuffer(zlib.decompress(c), dtype="<u4")
+        return counts
     shape = "segment int, counts binary"
-    merged = parts.groupBy("segment", "part").applyInPandas(_add, shape).groupBy("segment").applyInPandas(_add, shape)
+    return unpacked(parts.groupBy("segment", "part").applyInPandas(_add, shape).groupBy("segment").applyInPandas(_add, shape), size)
+
+
+def unpacked(merged: DataFrame, size: int) -> np.ndarray:
+    """The table of ``size`` counts of (segment, counts), each segment once."""
     counts = np.zeros(size, dtype="<u4")
     for r in merged.toLocalIterator():
         counts[r["segment"] * SEGMENT : (r["segment"] + 1) * SEGMENT] = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype="<u4")
@@ -127,6 +140,10 @@ _COUNTS = pa.schema([("segment", pa.int32()), ("part", pa.int32()), ("counts", p
 def presence(keys: DataFrame, rows: int) -> np.ndarray:
     """Which of a bounded number of places some key of the one column falls on; a place may hold many keys."""
     size = min(MOST_PLACES, max(SEGMENT, 1 << (8 * rows).bit_length()))
+    if rows <= FEW_KEYS:
+        field = np.zeros(size, dtype=bool)
+        field[(keys.toArrow().column(0).to_numpy().astype(np.uint64) % np.uint64(size)).astype(np.int64)] = True
+        return field
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         field, part = np.zeros(size, dtype=np.uint8), 0
@@ -140,15 +157,15 @@ def presence(keys: DataFrame, rows: int) -> np.ndarray:
     return summed(keys.mapInArrow(fill, "segment int, part int, counts binary"), size) > 0
 
 
-def only_present(df: DataFrame, key: str, places: np.ndarray) -> DataFrame:
-    """The rows of ``df`` whose key may be among those of ``places``."""
+def only_present(df: DataFrame, key: str, places: np.ndarray, wanted: bool = True) -> DataFrame:
+    """The rows of ``df`` whose key may be among those of ``places``, or with ``wanted=False`` all others."""
     shared = df.sparkSession.sparkContext.broadcast(np.packbits(places))  # at most 2 MB
     size, at = len(places), df.columns.index(key)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         has = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            yield b.filter(pa.array(has[(b.column(at).to_numpy().astype(np.uint64) % np.uint64(size)).astype(np.int64)]))
+            yield b.filter(pa.array(has[(b.column(at).to_numpy().astype(np.uint64) % np.uint64(size)).astype(np.int64)] == wanted))
 
     return df.mapInArrow(keep, df.schema)
 

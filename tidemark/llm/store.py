@@ -1,92 +1,140 @@
-"""A history that is kept in tables and only looked up: new batches are checked and what is accepted is appended.
+"""A history that is kept in tables: new batches are looked up in it, and what is accepted is appended.
 
-The chunk table holds for every accepted text its chunks, pairs of neighbouring chunks and runs of four, with
-their bytes, and its keys that don't depend on counts.  Lists of single chunks and pairs that have become longer than COMMON are passed over at look-up, so the
-answer doesn't depend on when a text came in.
+A part of the history is a folder with four tables: ``groups`` (kind, g, id: the text or the url of each row), ``texts`` (node, text, runs, parities),
+``chunks`` (key, node, runs) and ``counts`` of the chunks.  The first three lie in folders by bucket of their key, of which a batch reads those it has
+keys in.  All tables of a part become visible at once, when the list of parts is replaced.  One writer at a time; ``compact`` makes one part of many.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import history as H
 from tidemark.llm import near
 from tidemark.llm import shingles as S
-from tidemark.scratch import stored
+from tidemark.scratch import place, scope, stored
+from tidemark.sinks import versioned
 
-BUCKETS = 64
-_SPANS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("kind", pa.int32())])
+#: Folders of a table, and buckets of the table of counts (8 MB).
+BUCKETS, PLACES = 16, 1 << 21
+_TABLES = {"groups": "kind int, g long, id long", "texts": f"node long, text string, runs int, {', '.join(w + ' long' for w in near.WORDS)}", "chunks": "key long, node long, runs int"}
 
 
-def spans(texts: DataFrame) -> DataFrame:
-    """(key, node, size, kind) of (node, text): kind 1 for chunks, 2 for pairs, 4 for runs of four, 5 for keys of the smallest runs."""
+class History:
+    """Accepted rows in ``where``, a folder that all executors share.
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            all_nodes, all_texts = np.array(b.column(0).to_pylist(), dtype=np.int64), b.column(1).to_pylist()
-            row, made = S.alike_keys(S.grams(all_texts))
-            yield S.batch(_SPANS, {"key": made.astype(np.int64), "node": all_nodes[row], "size": np.zeros(len(made), dtype=np.int64), "kind": np.full(len(made), 5)})
-            for some, spread in H._scales(all_texts):
-                if len(some):
-                    text, key, size = H.chunks([all_texts[i] for i in some], spread)
-                    for kind, made in ((1, key), (2, H._pairs(text, key)), (4, H.runs_of_four(text, key))):
-                        has = np.flatnonzero(made > 0)
-                        first = has[S.first_of_each(text[has], made[has])]
-                        yield S.batch(_SPANS, {"key": made[first].astype(np.int64), "node": all_nodes[some[text[first]]], "size": size[first], "kind": np.full(len(first), kind)})
+    A row repeats another if their urls agree (``history.same_url``) or the plain forms of ``columns`` share ``least`` of their
+    runs.  Null urls and rows without text repeat nothing by that field; rows with a null id are ignored.
+    """
 
-    return texts.select("node", "text").mapInArrow(make, "key long, node long, size int, kind int")
+    def __init__(self, spark: SparkSession, where: str, record: str, url: str, columns: tuple[str, ...], least: float = 0.7) -> None:
+        self.spark, self.where, self.record, self.url, self.columns, self.least = spark, where.rstrip("/"), record, url, columns, least
 
+    def parts(self) -> list[str]:
+        return [p for p in (versioned.pointed(self.spark, self.where) or "").split("\n") if p]
 
-class History:
-    """Accepted rows in ``folder``, shared by all executors; one writer at a time."""
-
-    def __init__(self, spark: SparkSession, folder: str, record: str, url: str, columns: tuple[str, ...], least: float = 0.7) -> None:
-        self.spark, self.folder, self.record, self.url, self.columns, self.least = spark, folder.rstrip("/"), record, url, columns, least
-
-    def _table(self, name: str) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.parquet(f"{self.folder}/{name}") if files.exists(path) else None
-
-    def _keyed(self, rows: DataFrame) -> DataFrame:
-        """(id, url, columns, node, site, text) of rows with an id."""
-        named = rows.where(F.col(self.record).isNotNull()).select(self.record, self.url, *self.columns)
-        texts, _ = near.read_texts(named, self.record, self.columns, S.SEGMENT)
-        texts = texts.select(F.col("id").alias(self.record), "node", "text")
-        return stored(named.withColumn("site", H.same_url(F.col(self.url))).join(texts, self.record, "left"))
-
-    def _candidates(self, batch: DataFrame) -> DataFrame | None:
-        """The rows of the history that share text, url or a chunk that tells texts apart with the batch."""
-        rows, table = self._table("rows"), self._table("chunks")
-        if rows is None:
+    def _read(self, name: str, keys: DataFrame | None = None, key: str = "node") -> DataFrame | None:
+        """A table of all parts; of its buckets only those that ``keys`` fall into."""
+        made = None
+        for part in self.parts():  # each read on its own, so that its bucket folders are found
+            one = self.spark.read.schema(f"{_TABLES[name]}, bucket int").parquet(f"{self.where}/{part}/{name}")
+            made = one if made is None else made.unionByName(one)
+        if made is None:
             return None
-        nodes = batch.where("node is not null").select("node").distinct()
-        if table is not None:
-            new = stored(spans(batch.where("node is not null").select("node", "text").dropDuplicates(["node"])).select("key").distinct())
-            places = S.presence(new, new.count())
-            found = stored(S.only_present(table.select("key", "node", "kind"), "key", places).join(new, "key", "left_semi"))
-            rare = found.groupBy("key").agg(F.count("*").alias("n"), F.max("kind").alias("k")).where(f"n <= {H.COMMON} or k >= 4").select("key")
-            nodes = nodes.unionByName(found.join(rare, "key", "left_semi").select("node")).distinct()
-        sites = batch.where("site is not null").select("site").distinct()
-        columns = [self.record, self.url, *self.columns]
-        return rows.join(nodes, "node", "left_semi").select(columns).union(rows.join(sites, "site", "left_semi").select(columns)).dropDuplicates([self.record])
+        if keys is not None:
+            held = [r[0] for r in keys.select(F.pmod(F.col(key), F.lit(BUCKETS)).cast("int")).distinct().collect()]  # at most BUCKETS
+            if len(held) < BUCKETS:
+                made = made.where(F.col("bucket").isin(held) if held else F.lit(False))
+        return made
+
+    def _texts(self, batch: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+        """(id, site, node) of rows with an id, stored; their texts; counts of their chunks."""
+        named = batch.where(F.col(self.record).isNotNull()).select(F.col(self.record).cast("long").alias("id"), self.url, *self.columns)
+        ids, texts, counts = near.read_texts(named, "id", self.columns, PLACES, H.chunk_keys)
+        sites = named.select("id", H.same_url(F.col(self.url)).alias("site")).where("site is not null")
+        return stored(ids.join(sites, "id", "full").select("id", "site", "node")), texts, counts
+
+    def _append(self, rows: DataFrame, texts: DataFrame, chunks: DataFrame, counts: np.ndarray, instead: bool = False) -> None:
+        """Write a part and name it, with those before it or ``instead`` of them; until then nobody sees any of its tables."""
+        name = f"part-{uuid.uuid4().hex}"
+        path = f"{self.where}/{name}"
+        groups = [rows.where(F.col(c).isNotNull()).select(F.lit(i).alias("kind"), F.col(c).alias("g"), "id") for i, c in enumerate(("node", "site"))]
+        for table, df, key in (("groups", groups[0].unionByName(groups[1]), "g"), ("texts", texts, "node"), ("chunks", chunks, "key")):
+            df.withColumn("bucket", F.pmod(F.col(key), F.lit(BUCKETS)).cast("int")).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{table}")
+        self.spark.createDataFrame(S.packed(counts), "segment int, counts binary").coalesce(1).write.parquet(f"{path}/counts")
+        versioned.point(self.spark, self.where, "\n".join([*([] if instead else self.parts()), name]))
+
+    def load(self, rows: DataFrame) -> None:
+        """Accept all ``rows`` as they are, repeats among them too."""
+        with scope():
+            named, texts, counts = self._texts(rows)
+            self._append(named, texts, H.chunk_rows(texts), counts)
+
+    def compact(self) -> None:
+        """Make one part of all; the old ones stay until nobody reads them and are then to be deleted by hand."""
+        if len(self.parts()) > 1:
+            groups = self._read("groups")
+            rows = groups.select("id", *(F.when(F.col("kind") == i, F.col("g")).alias(c) for i, c in enumerate(("node", "site"))))
+            texts, chunks = (self._read(t).drop("bucket") for t in ("texts", "chunks"))
+            self._append(rows, texts, chunks, self.counts(), instead=True)
+
+    def counts(self) -> np.ndarray:
+        """How many texts of the history have a chunk, by bucket of a table of bounded size."""
+        total = np.zeros(PLACES, dtype="<u4")
+        for part in self.parts():
+            total += S.unpacked(self.spark.read.parquet(f"{self.where}/{part}/counts"), PLACES)
+        return total
 
     def accept(self, batch: DataFrame) -> DataFrame:
         """(accepted_id, <record>) of the rows of ``batch`` that repeat an accepted one; all others are accepted and appended.
 
-        Ids rise from batch to batch and are unique over all of them; rows with a null id are ignored.
+        Accepted are the rows of the history and each row of the batch with a smaller id that isn't itself a repeat;
+        ``accepted_id`` is the smallest id of those a row repeats.
         """
-        keyed = self._keyed(batch)
-        old = self._candidates(keyed)
-        old = keyed.limit(0) if old is None else stored(old)
-        repeats = stored(H.repeated(old, batch, self.record, self.url, self.columns, self.least))
-        kept = stored(keyed.join(repeats.select(self.record), self.record, "left_anti"))
-        kept.drop("text").write.mode("append").parquet(f"{self.folder}/rows")
-        texts = kept.where("node is not null").select("node", "text").dropDuplicates(["node"])
-        spans(texts).withColumn("bucket", F.pmod("key", F.lit(BUCKETS))).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/chunks")
+        with scope() as kept:
+            rows, texts, fresh = self._texts(batch)
+            counts = self.counts() + fresh
+            probes = stored(H.probes(texts, counts))
+            wanted = S.presence(probes.select("key"), probes.count())
+            own = stored(H.chunk_rows(texts))
+            known = self._read("chunks", probes, "key")
+            table = own if known is None else own.unionByName(known.drop("bucket"))
+            met = stored(H.meeting(probes, H.dealt(table, counts, wanted), self.least))
+            old = self._read("texts")
+            every = texts if old is None else texts.unionByName(old.select(texts.columns))
+            pairs = stored(near.may_share(met, every.drop("text").dropDuplicates(["node"]), self.least))
+            links = stored(near.confirmed(pairs, every, self.least))
+            repeats = stored(H.settled(self._known(rows, links), links).withColumnRenamed("id", self.record))
+            kept.append(repeats)
+            accepted = stored(rows.join(repeats.select(F.col(self.record).alias("id")), "id", "left_anti"))
+            nodes = stored(accepted.where("node is not null").select("node").distinct())
+            self._append(accepted, texts.join(nodes, "node", "left_semi"), own.join(nodes, "node", "left_semi"), fresh)
         return repeats
+
+    def _known(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """``rows`` with ``old``, the smallest row of the history of the same text, a linked text, or the same url."""
+        ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        named = rows.where("node is not null").select("id", F.col("node").alias("g"))
+        seen = named.unionByName(named.join(ways, F.col("g") == F.col("a")).select("id", F.col("b").alias("g"))).select("id", F.lit(0).alias("kind"), "g")
+        seen = seen.unionByName(rows.where("site is not null").select("id", F.lit(1).alias("kind"), F.col("site").alias("g")))
+        groups = self._read("groups", seen, "g")
+        if groups is None:
+            return rows.withColumn("old", F.lit(None).cast("long"))
+        first = groups.groupBy("kind", "g").agg(F.min("id").alias("old"))
+        found = seen.join(first, ["kind", "g"]).groupBy("id").agg(F.min("old").alias("old"))
+        return rows.join(found, "id", "left")
+
+
+def repeated(accepted: DataFrame, incoming: DataFrame, record: str, url: str, columns: tuple[str, ...], least: float = 0.7) -> DataFrame:
+    """(accepted_id, <record>): the rows of ``incoming`` that repeat a row of ``accepted`` or an accepted one of their own.
+
+    ``accepted`` is loaded into a history, ``incoming`` is looked up in it and appended.
+    """
+    spark = incoming.sparkSession
+    kept = History(spark, place(spark, "history-"), record, url, columns, least)
+    kept.load(accepted)
+    return kept.accept(incoming)
