@@ -244,6 +244,42 @@ def test_survivors(spark):
     assert survivor.golden(df.limit(0), feeds).count() == 0
 
 
+def test_bundles_that_contradict(spark):
+    """The best url and the best title come from feeds that don't go together: what is given up is decided by trust in all, as by trying everything."""
+    from datetime import datetime, timedelta
+
+    rng, at = random.Random(4), datetime(2026, 1, 1)
+    hosts = {"a": "a.test", "b": "b.test", "c": None}
+    trust = {"a": 3, "b": 5, "c": 4}
+    rows = []
+    for i in range(240):
+        feed = rng.choice(["a", "b", "c", "zz", None])
+        url = rng.choice([f"https://{rng.choice('abx')}.test/{i}", "bad", None])
+        rows.append((f"k{i // 6}", i, at + timedelta(i * 37 % 240), url, rng.choice([f"Title {i} {'x' * i}", "", None]), {"name": feed, "url": "u"}))
+    df = spark.createDataFrame([(*r[:5], "", "", r[5], "x") for r in rows], "article_key string, revision_id long, observed_at timestamp, url string, title string, published string, description string, rss_source struct<name: string, url: string>, site string")
+    feeds = spark.createDataFrame([(f, trust[f], h) for f, h in hosts.items()], "feed_name string, trust int, host string")
+    got = {r["article_key"]: tuple(r[b] and r[b]["record"] for b in ("url", "source", "title")) for r in survivor.bundled(df, feeds).collect()}
+    contradicted = 0
+    for key in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == key]
+        usable = ([r for r in mine if (r[3] or "").startswith("http")], [r for r in mine if r[5]["name"]], [r for r in mine if r[4]])
+
+        def fits(u, s, t):
+            home = hosts.get(s[5]["name"]) if s else None
+            return not (u and home and u[3].split("/")[2] != home) and not (s and t and t[5]["name"] and t[5]["name"] != s[5]["name"])
+
+        def worth(choice):
+            picked = [r for r in choice if r]
+            return len(picked), sum(trust.get(r[5]["name"], -(1 << 31)) for r in picked), sum((r[2] - datetime(1970, 1, 1)).total_seconds() for r in picked)
+
+        best = max((c for c in itertools.product(*([*u, None] for u in usable)) if fits(*c)), key=worth)
+        assert worth([next((r for r in mine if r[1] == i), None) for i in got[key]]) == worth(best), key
+        top = [max(u, key=lambda r: worth([r]), default=None) for u in usable]
+        contradicted += not fits(*top)
+    assert contradicted > 5
+    assert survivor.bundled(df.limit(0), feeds).count() == 0
+
+
 def test_branch_and_bound():
     rng = random.Random(2)
     for _ in range(60):

@@ -57,6 +57,11 @@ def p6_golden(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("article_key", "url.values.url", "url.values.rss_source", "title.values.title", "title.values.published", "title.values.description")
 
 
+def p6_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    best = survivor.bundled(spark.read.parquet(f"{sf}/article_revisions.parquet"), spark.read.parquet(f"{sf}/feeds.parquet"))
+    return best.select("article_key", *(F.col(f"{b}.record").alias(f"{b}_id") for b in ("url", "source", "title")))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     articles, incoming = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("articles", "incoming_articles"))
     return store.repeated(articles, incoming, "article_id", "url", ("title", "description"), least=0.7)
@@ -93,7 +98,7 @@ def p10_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_records, p3_found, p3_groups, p5_found, p5_groups, p6_found, p6_golden, p7_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)
+    f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_records, p3_found, p3_groups, p5_found, p5_groups, p6_found, p6_golden, p6_bundles, p7_found, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_restored)
 }
 
 _LINKS = """
