@@ -70,7 +70,7 @@ def test_components(spark):
     assert components.components(df.limit(0), "a", "b").count() == 0
 
 
-def test_formatting(spark):
+def test_formatting(spark, monkeypatch):
     make = lambda t, u: '{"title": "%s", "x": {"title": "no"}, "url": "%s"}' % (t, u)
     rows = [
         (1, make("A b、C", "https://X.test/p?a=1&b=2")), (2, make("a B C!", "https://x.test/p/?b=2&a=1#")), (3, make("abc", "https://x.test/p?a=12&b=")), (4, make("ab", "https://x.test/p?a=1&b=2")),
@@ -82,6 +82,11 @@ def test_formatting(spark):
     copies = {r["item_id"]: r["n_copies"] for r in formatting.collapse(df).collect()}
     assert sum(copies.values()) == len(rows) - 1 and copies[1] == 3 and copies[100] == 60 and copies[5] == 1
     assert formatting.repeats(df.limit(0)).count() == 0
+    monkeypatch.setattr(formatting, "MOST_BITS", formatting.SEGMENT)
+    monkeypatch.setattr(formatting, "BITS_PER_KEY", 1 << 16)  # many more keys than one filter is for
+    assert formatting.filter_bits(len(rows))[1] > 1
+    assert {tuple(r) for r in formatting.repeats(df).collect()} == got
+    assert {r["item_id"]: r["n_copies"] for r in formatting.collapse(df).collect()} == copies
 
 
 def brute_history(accepted, incoming, url_of, text_of):

@@ -2,7 +2,7 @@
 
 Each record gets a canonical key.  Partition-wise Bloom filters of keys seen at least once and of keys
 seen repeatedly are merged bit by bit; only records whose key may repeat are shuffled for exact grouping,
-all others are single.  False positives of the filter cost a little shuffling, never a wrong result.
+all others are single and stay where they are read.  False positives of the filter cost a little shuffling, never a wrong result.
 """
 
 from __future__ import annotations
@@ -82,14 +82,14 @@ def _merge(parts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": parts["segment"].iloc[:1], "once": [zlib.compress(once.tobytes(), 1)], "again": [zlib.compress(again.tobytes(), 1)]})
 
 
-def filter_bits(rows: int) -> int:
-    """Bits for so many keys: a power of two, at most MOST_BITS."""
-    return min(MOST_BITS, max(SEGMENT, 1 << (rows * BITS_PER_KEY).bit_length()))
+def filter_bits(rows: int) -> tuple[int, int]:
+    """(bits, ranges): bits for so many keys, a power of two; more keys than MOST_BITS are for are taken in several ranges, a filter each."""
+    bits = max(SEGMENT, 1 << (rows * BITS_PER_KEY).bit_length())
+    return min(MOST_BITS, bits), max(1, bits // MOST_BITS)
 
 
-def repeat_filter(keys: DataFrame, rows: int) -> tuple[int, dict[int, bytes]]:
+def repeat_filter(keys: DataFrame, bits: int) -> dict[int, bytes]:
     """The filter of keys seen more than once, as compressed segments; its size is bounded by MOST_BITS."""
-    bits = filter_bits(rows)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = [b.column(0) for b in batches if b.num_rows]
@@ -108,14 +108,23 @@ def repeat_filter(keys: DataFrame, rows: int) -> tuple[int, dict[int, bytes]]:
     # in two steps, so that no task merges the parts of all partitions
     shape = "segment long, once binary, again binary"
     merged = filled.groupBy("segment", "part").applyInPandas(_merge, shape).groupBy("segment").applyInPandas(_merge, shape)
-    return bits, {r["segment"]: bytes(r["again"]) for r in merged.select("segment", "again").toLocalIterator()}
+    return {r["segment"]: bytes(r["again"]) for r in merged.select("segment", "again").toLocalIterator()}
 
 
-def possible_repeats(keyed: DataFrame, key: str, rows: int) -> DataFrame:
-    """The rows of ``keyed`` whose key may occur more than once: all that do, and few others."""
-    bits, segments = repeat_filter(keyed.select(key), rows)
-    shared = keyed.sparkSession.sparkContext.broadcast(segments)
-    at = keyed.columns.index(key)
+def possible_repeats(keyed: DataFrame, key: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``keyed`` whose key may occur more than once, all that do and few others; and the rest, told apart where they are read."""
+    bits, ranges = filter_bits(rows)
+    again = single = None
+    for i in range(ranges):
+        part = keyed.where(F.pmod(F.xxhash64(key), F.lit(ranges)) == i) if ranges > 1 else keyed
+        shared = keyed.sparkSession.sparkContext.broadcast(repeat_filter(part.select(key), bits))
+        hit, miss = (part.mapInArrow(_passing(shared, bits, keyed.columns.index(key), wanted), keyed.schema) for wanted in (True, False))
+        again, single = (hit, miss) if again is None else (again.unionByName(hit), single.unionByName(miss))
+    return again, single
+
+
+def _passing(shared, bits: int, at: int, wanted: bool):
+    """Rows whose key the filter of compressed segments holds, or those whose key it doesn't hold."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = np.zeros(bits // 8, dtype=np.uint8)
@@ -125,16 +134,15 @@ def possible_repeats(keyed: DataFrame, key: str, rows: int) -> DataFrame:
             if b.num_rows:
                 p = _positions(b.column(at), bits).astype(np.int64)
                 hit = (field[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1
-                yield b.filter(pa.array(hit.all(axis=1)))
+                yield b.filter(pa.array(hit.all(axis=1) == wanted))
 
-    return keyed.mapInArrow(keep, keyed.schema)
+    return keep
 
 
 def keyed_records(df: DataFrame, record: str, payload: str) -> DataFrame:
-    """(record, key) of the records that have one, as a stored table."""
+    """(record, key) of all records, as a stored table; the key is null for those that belong to no group."""
     title, url = payload_fields(F.col(payload), "title", "url")
-    keys = df.select(F.col(record), title, url).select(record, record_key(F.col("title"), F.col("url")).alias("key"))
-    return stored(keys.where("key is not null"))
+    return stored(df.select(F.col(record), title, url).select(record, record_key(F.col("title"), F.col("url")).alias("key")))
 
 
 def repeats(df: DataFrame, record: str = "item_id", payload: str = "payload") -> DataFrame:
@@ -143,9 +151,9 @@ def repeats(df: DataFrame, record: str = "item_id", payload: str = "payload") ->
     Records whose payload isn't JSON, or has neither title nor url, belong to no group.  Null ids are
     ignored.  An empty table gives no rows.
     """
-    keyed = keyed_records(df.where(F.col(record).isNotNull()), record, payload)
+    keyed = keyed_records(df.where(F.col(record).isNotNull()), record, payload).where("key is not null")
     total = keyed.count()
-    again = stored(possible_repeats(keyed, "key", total))
+    again = stored(possible_repeats(keyed, "key", total)[0])
     groups = again.groupBy("key").agg(F.min(record).alias("first_" + record), F.count("*").alias("_n")).where("_n > 1")
     return attach(again, groups, "key", "_n", total).where(F.col(record) != F.col("first_" + record)).select("first_" + record, record)
 
@@ -155,9 +163,10 @@ def collapse(df: DataFrame, record: str = "item_id", payload: str = "payload") -
 
     A record that belongs to no group (its payload isn't JSON, or has neither title nor url) comes out with 1.
     """
-    ids = df.where(F.col(record).isNotNull())
-    keyed = keyed_records(ids, record, payload)
-    again = stored(possible_repeats(keyed, "key", keyed.count()))
+    every = keyed_records(df.where(F.col(record).isNotNull()), record, payload)
+    keyed = every.where("key is not null")
+    again, single = possible_repeats(keyed, "key", keyed.count())
     grouped = again.groupBy("key").agg(F.min(record).alias(record), F.count("*").alias("n_copies")).select(record, "n_copies")
-    single = ids.select(record).join(again.select(record), record, "left_anti").withColumn("n_copies", F.lit(1).cast("long"))
-    return grouped.unionByName(single)
+    # singletons are never shuffled
+    alone = single.unionByName(every.where("key is null")).select(record, F.lit(1).cast("long").alias("n_copies"))
+    return grouped.unionByName(alone)
