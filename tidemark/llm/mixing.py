@@ -22,6 +22,8 @@ BLOCK = 256
 SHARD, MOST_SHARDS = 1_024, 4_096
 #: Rows over which a running total is computed in one task, on average.
 BUCKET = 20_000
+#: Slots that are numbered at once.
+SPAN = 4_096
 
 
 _ROUNDS = [np.uint64(r * 0x9E3779B97F4A7C15 % (1 << 64)) for r in range(4)]
@@ -92,7 +94,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
         starts = np.r_[0, ends[:-1]]
         ranges += [(k, s, int(a), int(b), int(blocks)) for k, (a, b) in enumerate(zip(starts, ends, strict=True)) if b > a]
     drawn = spark.createDataFrame(ranges, "shard int, source string, from_slot long, to_slot long, blocks long")
-    each = drawn.select("shard", "source", "blocks", F.explode(F.sequence("from_slot", F.col("to_slot") - 1)).alias("slot"))
+    # ranges are cut into spans first, so that no row ever holds the slots of a whole shard
+    spans = drawn.select("*", F.explode(F.sequence(F.floor(F.col("from_slot") / SPAN), F.floor((F.col("to_slot") - 1) / SPAN))).alias("span")).repartition("shard", "source", "span")
+    within = F.sequence(F.greatest("from_slot", F.col("span") * SPAN), F.least("to_slot", (F.col("span") + 1) * SPAN) - 1)
+    each = spans.select("shard", "source", "blocks", F.explode(within).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks"))
     mapped = each.withColumn("repeat_no", (turn + 1).cast("int")).withColumn("block_no", _permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64("source", turn, F.lit(seed))))
     numbers = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("n") - 1) / block))
