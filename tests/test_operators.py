@@ -135,7 +135,7 @@ def test_complete_linkage(spark):
 def test_schedule_bounds(spark):
     cases = {
         "2026年10月8日": (date(2026, 10, 8), date(2026, 10, 8), "day"), "2026年11月": (date(2026, 11, 1), date(2026, 11, 30), "month"), "２０２７年": (date(2027, 1, 1), date(2027, 12, 31), "year"),
-        "2031年度": (date(2031, 4, 1), date(2032, 3, 31), "fiscal_year"), "2026年13月": (None, None, "unknown"), "2026年春": (None, None, "unknown"), "11月": (None, None, "unknown"), None: (None, None, "unknown"), "2026-02-30": (None, None, "unknown"),
+        "2031年度": (date(2031, 4, 1), date(2032, 3, 31), "fiscal_year"), "2026年13月": (None, None, "unknown"), "2026年春": (None, None, "unknown"), "11月": (None, None, "unknown"), None: (None, None, "unknown"), "2026年11月上旬": (date(2026, 11, 1), date(2026, 11, 30), "month"), "来年度、2026年4月1日": (None, None, "unknown"), "2026年上旬": (None, None, "unknown"), "11月、2027年": (None, None, "unknown"), "2026年2月30日": (None, None, "unknown"), "2026-02-30": (None, None, "unknown"),
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", dates.schedule_bounds(F.col("t")).alias("b"))
     assert {r["t"]: tuple(r["b"]) for r in df.collect()} == cases

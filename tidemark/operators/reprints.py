@@ -23,7 +23,9 @@ def reprints(articles: DataFrame, seconds: int = 86_400) -> DataFrame:
     Articles are spread by headline and stream by in order; only the kept ones of one headline are held.
     """
     rows = articles.where("id is not null")
-    first = F.first("id").over(Window.partitionBy("url").orderBy("rank", "id"))
+    # null urls are spread, each in a window of its own
+    apart = F.when(F.col("url").isNull(), F.col("id"))
+    first = F.first("id").over(Window.partitionBy("url", apart).orderBy("rank", "id"))
     rows = rows.withColumn("_first", F.when(F.col("url").isNotNull(), first)).withColumn("_same", F.col("_first") != F.col("id"))
     same = rows.where("_same").select("id", F.col("_first").alias("representative"), F.lit("same_url").alias("reason"))
     rest = rows.where("coalesce(not _same, true)").select("headline", "rank", "id", "at", "feed", "body")

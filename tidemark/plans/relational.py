@@ -102,11 +102,11 @@ def q_greedy_representatives(t):
 
 
 @query("""
-SELECT DISTINCT i.url, i.rss_source.name AS feed FROM incoming_articles i
-WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.url IS NOT DISTINCT FROM i.url AND a.rss_source.name IS NOT DISTINCT FROM i.rss_source.name)""")
+SELECT DISTINCT i.url, i.rss_source.name AS feed, i.title FROM incoming_articles i
+WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.url IS NOT DISTINCT FROM i.url AND a.rss_source.name IS NOT DISTINCT FROM i.rss_source.name AND a.title IS NOT DISTINCT FROM i.title)""")
 def q_exclusion_append(t):
-    archive, new = (t(x).select("url", F.col("rss_source.name").alias("feed")) for x in ("articles", "incoming_articles"))
-    return keyed.append_absent(archive, new, ["url", "feed"])
+    archive, new = (t(x).select("url", F.col("rss_source.name").alias("feed"), "title") for x in ("articles", "incoming_articles"))
+    return keyed.append_absent(archive, new, ["url", "feed", "title"])
 
 
 @query("""
@@ -200,19 +200,34 @@ def q_known_revision_join(t):
     return found.select("article_id", "fingerprint", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("is_known_url", "is_known_revision")))
 
 
+_MARK = "sha256(coalesce({0}.url,'') || chr(31) || coalesce({0}.title,'') || chr(31) || coalesce({0}.published,''))"
+
+
 @query(f"""
-WITH s AS (SELECT DISTINCT {_PRINT.format('a')} AS fp FROM articles a), u AS (SELECT DISTINCT url FROM articles WHERE url IS NOT NULL),
-g AS (SELECT DISTINCT x.url FROM (SELECT unnest(articles) AS x FROM news_groups) WHERE x.url IS NOT NULL)
-SELECT i.article_id, CASE WHEN s.fp IS NOT NULL THEN 'saved' WHEN u.url IS NOT NULL THEN 'changed' WHEN g.url IS NOT NULL THEN 'grouped' WHEN i.title IS NULL THEN 'untitled' ELSE 'queued' END AS status
-FROM incoming_articles i LEFT JOIN s ON s.fp = {_PRINT.format('i')} LEFT JOIN u ON u.url = i.url LEFT JOIN g ON g.url = i.url""")
+WITH s AS (SELECT DISTINCT {_MARK.format('a')} AS mark FROM articles a WHERE event_id IS NOT NULL),
+x AS (SELECT group_key, category, tracking_value, unnest(articles) AS m FROM news_groups),
+g AS (SELECT {_MARK.format('x.m')} AS mark, max(group_key) AS group_key, coalesce(arg_max(coalesce(category, '対象外') = '対象外' OR coalesce(tracking_value, '') = 'low', group_key), false) AS is_out FROM x GROUP BY 1),
+i AS (SELECT article_id, batch_no, {_MARK.format('i')} AS mark, min(batch_no) OVER (PARTITION BY {_MARK.format('i')}) AS first_batch FROM incoming_articles i)
+SELECT i.article_id, CASE WHEN s.mark IS NOT NULL THEN 'already_saved' WHEN g.is_out THEN 'out_of_scope' WHEN g.mark IS NOT NULL THEN 'classified_waiting' WHEN i.first_batch < i.batch_no THEN 'downstream_waiting' ELSE 'queued' END AS status,
+  CASE WHEN s.mark IS NULL THEN g.group_key END AS reference FROM i LEFT JOIN s ON s.mark = i.mark LEFT JOIN g ON g.mark = i.mark""")
 def q_triage_precedence(t):
-    mark = fingerprint("url", "title", "description", "published").alias("fp")
-    saved = t("articles").select(mark).distinct().withColumn("_s", F.lit(1))
-    urls = t("articles").where("url is not null").select("url").distinct().withColumn("_u", F.lit(1))
-    grouped = t("news_groups").select(F.explode("articles.url").alias("url")).where("url is not null").distinct().withColumn("_g", F.lit(1))
-    rows = t("incoming_articles").select("article_id", "url", "title", mark).join(saved, "fp", "left").join(urls, "url", "left").join(grouped, "url", "left")
-    status = F.when(F.col("_s").isNotNull(), "saved").when(F.col("_u").isNotNull(), "changed").when(F.col("_g").isNotNull(), "grouped").when(F.col("title").isNull(), "untitled").otherwise("queued")
-    return rows.select("article_id", status.alias("status"))
+    """What becomes of each arrival: the first of saved, classified (out of scope or waiting), waiting from an earlier batch, queued."""
+    mark = fingerprint("url", "title", "published").alias("mark")
+    saved = t("articles").where("event_id is not null").select(mark).distinct().withColumn("_s", F.lit(1))
+    out = (F.coalesce("category", F.lit("対象外")) == "対象外") | (F.coalesce("tracking_value", F.lit("")) == "low")
+    members = t("news_groups").select("group_key", out.alias("is_out"), F.explode("articles").alias("m")).select("group_key", "is_out", "m.url", "m.title", "m.published")
+    last = members.select(mark, F.struct("group_key", "is_out").alias("g")).groupBy("mark").agg(F.max("g").alias("g")).select("mark", "g.group_key", "g.is_out")
+    rows = t("incoming_articles").select("article_id", "batch_no", mark)
+    first = rows.groupBy("mark").agg(F.min("batch_no").alias("first_batch"))
+    found = rows.join(first, "mark").join(saved, "mark", "left").join(last, "mark", "left")
+    status = (
+        F.when(F.col("_s").isNotNull(), "already_saved")
+        .when(F.col("is_out"), "out_of_scope")
+        .when(F.col("group_key").isNotNull(), "classified_waiting")
+        .when(F.col("first_batch") < F.col("batch_no"), "downstream_waiting")
+        .otherwise("queued")
+    )
+    return found.select("article_id", status.alias("status"), F.when(F.col("_s").isNull(), F.col("group_key")).alias("reference"))
 
 
 @query("SELECT l_orderkey, min(l_returnflag) AS label, count(*) AS n_lines, max(l_linenumber) AS last_line FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1")
@@ -326,7 +341,15 @@ def q_serving_page(t):
     return found.select("event_id", "event_name", "category", "lifecycle", F.when(F.col("schedules").isNotNull(), F.size("schedules")).cast("long").alias("n_schedules"), "updated_at")
 
 
-@query()
+@query("""
+WITH u AS (SELECT event_id, unnest(schedules) AS s, generate_subscripts(schedules, 1) - 1 AS pos_no FROM tracked_events),
+t AS (SELECT event_id, pos_no, s.date_text AS date_text, translate(coalesce(s.date_text, ''), '０１２３４５６７８９', '0123456789') AS t FROM u),
+g AS (SELECT *, regexp_extract(t, '(?:(\\d{4})年)?(\\d{1,2})月(?:(\\d{1,2})日)?', ['y', 'm', 'd']) AS g, regexp_extract(t, '(\\d{4})年度', 1) AS f, regexp_extract(t, '(\\d{4})年', 1) AS a FROM t),
+b AS (SELECT *, CASE WHEN contains(t, '年度') THEN TRY_CAST(f || '-04-01' AS DATE) WHEN g.m <> '' THEN TRY_CAST(g.y || '-' || lpad(g.m, 2, '0') || '-' || lpad(CASE WHEN g.d = '' THEN '1' ELSE g.d END, 2, '0') AS DATE)
+    WHEN a <> '' AND NOT regexp_matches(t, '春|夏|秋|冬|上旬|中旬|下旬') THEN TRY_CAST(a || '-01-01' AS DATE) END AS due_start,
+  CASE WHEN contains(t, '年度') THEN 'fiscal_year' WHEN g.d <> '' THEN 'day' WHEN g.m <> '' THEN 'month' ELSE 'year' END AS p FROM g)
+SELECT event_id, pos_no::INT AS pos_no, date_text, due_start, CASE p WHEN 'day' THEN due_start WHEN 'month' THEN last_day(due_start) ELSE CAST(due_start + INTERVAL 1 YEAR - INTERVAL 1 DAY AS DATE) END AS due_end,
+  CASE WHEN due_start IS NULL THEN 'unknown' ELSE p END AS precision FROM b""")
 def q_schedule_bounds(t):
     schedules = t("tracked_events").select("event_id", F.posexplode("schedules").alias("pos_no", "s"))
     return schedules.select("event_id", "pos_no", F.col("s.date_text").alias("date_text"), dates.schedule_bounds(F.col("s.date_text")).alias("b")).select("event_id", "pos_no", "date_text", "b.due_start", "b.due_end", "b.precision")
@@ -430,12 +453,12 @@ def q_event_context(t):
 
 
 @query("""
-SELECT a.event_id AS a, b.event_id AS b FROM tracked_events a JOIN tracked_events b ON a.category = b.category AND a.event_name = b.event_name AND a.event_id < b.event_id""")
+SELECT event_id, category, count(*) OVER (PARTITION BY category) - 1 AS n_partners, min(event_id) OVER (PARTITION BY category) AS class_id FROM tracked_events WHERE category IS NOT NULL""")
 def q_event_pairs(t):
-    """Events of one category and name, as links to the first of them would lose pairs that the report lists."""
-    rows = t("tracked_events").select("event_id", "category", "event_name")
-    a, b = (rows.withColumnRenamed("event_id", x) for x in "ab")
-    return a.join(b, ["category", "event_name"]).where("a < b").select("a", "b")
+    """All pairs of events of one category, as each event's class and its number of partners; no pair is written out."""
+    rows = t("tracked_events").where("category is not null").select("event_id", "category")
+    classes = rows.groupBy("category").agg((F.count("*") - 1).alias("n_partners"), F.min("event_id").alias("class_id"))
+    return rows.join(classes, "category").select("event_id", "category", "n_partners", "class_id")
 
 
 @query("""
@@ -540,15 +563,21 @@ def q_first_seen(t):
 
 
 @query("""
-WITH i AS (SELECT l_orderkey, count(*) AS n, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1)
-SELECT o.o_orderkey, array_to_string(list_filter([CASE WHEN i.n IS NULL THEN 'no_lines' END, CASE WHEN i.n > 5 THEN 'many_lines' END, CASE WHEN i.last_ship > o.o_orderdate + INTERVAL 110 DAY THEN 'late_ship' END], lambda x: x IS NOT NULL), ',') AS issues
-FROM orders o LEFT JOIN i ON i.l_orderkey = o.o_orderkey""")
+WITH a AS (SELECT event_id, count(*) AS n, count(DISTINCT coalesce(url, '')) AS n_urls FROM articles WHERE event_id IS NOT NULL GROUP BY 1),
+c AS (SELECT e.event_id, e.publication_status, array_to_string(list_filter([CASE WHEN e.article_count IS DISTINCT FROM coalesce(a.n, 0) THEN 'article_count_mismatch' END, CASE WHEN a.n IS NULL THEN 'empty_event' END,
+  CASE WHEN a.n_urls < a.n THEN 'duplicate_article_url' END], lambda x: x IS NOT NULL), ',') AS issues FROM tracked_events e LEFT JOIN a ON a.event_id = e.event_id)
+SELECT event_id, issues, CASE WHEN issues <> '' THEN 'held' ELSE coalesce(publication_status, '') END AS status FROM c""")
 def q_issue_codes(t):
-    """All reasons that hold for a row, in a fixed order."""
-    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), F.max("l_shipdate").alias("last_ship"))
-    rows = t("orders").select("o_orderkey", "o_orderdate").join(lines, "o_orderkey", "left")
-    codes = F.array(F.when(F.col("n").isNull(), "no_lines"), F.when(F.col("n") > 5, "many_lines"), F.when(F.col("last_ship") > F.col("o_orderdate") + F.expr("INTERVAL 110 DAY"), "late_ship"))
-    return rows.select("o_orderkey", F.array_join(F.filter(codes, lambda x: x.isNotNull()), ",").alias("issues"))
+    """All reasons against an event, in a fixed order; an event with any is held."""
+    mine = t("articles").where("event_id is not null").groupBy("event_id").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("url", F.lit(""))).alias("n_urls"))
+    rows = t("tracked_events").select("event_id", "publication_status", "article_count").join(mine, "event_id", "left")
+    codes = F.array(
+        F.when(~F.col("article_count").eqNullSafe(F.coalesce("n", F.lit(0))), "article_count_mismatch"),
+        F.when(F.col("n").isNull(), "empty_event"),
+        F.when(F.col("n_urls") < F.col("n"), "duplicate_article_url"),
+    )
+    named = rows.select("event_id", "publication_status", F.array_join(F.array_compact(codes), ",").alias("issues"))
+    return named.select("event_id", "issues", F.when(F.col("issues") != "", "held").otherwise(F.coalesce("publication_status", F.lit(""))).alias("status"))
 
 
 @query("""
@@ -646,11 +675,11 @@ def q_defaulted_events(t):
 
 
 @query("""
-WITH k AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(regexp_extract(text, '^([^\\n]*)', 1), '[一-龯]{3,}|[ぁ-んァ-ヶ]{3,}'))) AS word FROM documents WHERE text IS NOT NULL)
+WITH k AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[一-龯]{3,}|[ぁ-んァ-ヶ]{3,}'))) AS word FROM documents WHERE text IS NOT NULL)
 SELECT word, count(*) AS n_documents, min(doc_id) AS first_id FROM k GROUP BY 1 HAVING count(*) >= 3""")
 def q_common_words(t):
-    """Words of three or more characters in first lines, with the number of documents that have them."""
-    words = F.array_distinct(F.regexp_extract_all(X.first_line(F.col("text")), F.lit("([一-龯]{3,}|[ぁ-んァ-ヶ]{3,})"), 1))
+    """Words of three or more characters, with the number of documents that have them."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("([一-龯]{3,}|[ぁ-んァ-ヶ]{3,})"), 1))
     rows = t("documents").where("text is not null").select("doc_id", F.explode(words).alias("word"))
     return rows.groupBy("word").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_id")).where("n_documents >= 3")
 
@@ -726,11 +755,45 @@ def q_source_context(t):
 
 
 @query("""
-WITH e AS (SELECT event_id, category, event_name, row_number() OVER (PARTITION BY category ORDER BY updated_at DESC NULLS LAST, event_id) AS n FROM tracked_events WHERE category IS NOT NULL),
-s AS (SELECT * FROM e WHERE n <= 8)
-SELECT a.event_id AS a, b.event_id AS b FROM s a JOIN s b ON a.category = b.category AND a.event_id < b.event_id""")
+WITH u AS (SELECT group_key, list_sort(list_distinct(list_transform(articles, lambda x: coalesce(x.url, ''))))::VARCHAR AS urls FROM news_groups)
+SELECT group_key, min(group_key) OVER (PARTITION BY urls) AS class_id, count(*) OVER (PARTITION BY urls) AS n_copies, (SELECT count(*) FROM u) - count(*) OVER (PARTITION BY urls) AS n_partners FROM u""")
 def q_judged_pairs(t):
-    """The pairs an external judge would be asked about: of each category the eight latest events, so their number is bounded."""
-    latest = keyed.latest_per_key(t("tracked_events").where("category is not null").select("event_id", "category", "updated_at"), "category", [F.desc_nulls_last("updated_at"), F.col("event_id")], 8)
-    a, b = (latest.select(F.col("event_id").alias(x), "category") for x in "ab")
-    return a.join(b, "category").where("a < b").select("a", "b")
+    """All pairs of groups a judge would be asked about: those of different urls.  Each group with its class of equal urls and the number of
+    groups outside it; the pairs are those of different classes and aren't written out."""
+    urls = F.array_sort(F.array_distinct(F.transform("articles", lambda x: F.coalesce(x["url"], F.lit("")))))
+    rows = t("news_groups").select("group_key", urls.alias("urls"))
+    classes = rows.groupBy("urls").agg(F.min("group_key").alias("class_id"), F.count("*").alias("n_copies"))
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    counted = classes.join(F.broadcast(total)).select("urls", "class_id", "n_copies", (F.col("total") - F.col("n_copies")).alias("n_partners"))
+    return rows.join(counted, "urls").select("group_key", "class_id", "n_copies", "n_partners")
+
+
+@query("""
+WITH d AS (SELECT event_id, sha256(to_json({'category': category, 'event_id': event_id, 'event_name': event_name, 'publication_status': publication_status})) AS target_digest,
+  sha256(to_json({'event_name': event_name, 'lifecycle': lifecycle})) AS stage_digest FROM tracked_events)
+SELECT event_id, target_digest, stage_digest, substr(target_digest, 1, 24) AS review_id FROM d""")
+def q_event_digests(t):
+    """Digests of the fields that decisions rely on, as JSON with sorted names; the first 24 digits name a review."""
+    as_json = lambda *names: F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+    rows = t("tracked_events").select("event_id", as_json("category", "event_id", "event_name", "publication_status").alias("target_digest"), as_json("event_name", "lifecycle").alias("stage_digest"))
+    return rows.withColumn("review_id", F.substring("target_digest", 1, 24))
+
+
+@query("""
+WITH h AS (SELECT group_key, event_name, list_transform(articles, lambda x: coalesce(x.url, '') || chr(9) || coalesce(x.published, '') || chr(9) || trim(split_part(coalesce(x.title, ''), ' - ', 1))) AS a FROM news_groups)
+SELECT group_key, coalesce(event_name, '') || chr(10) || array_to_string(a, chr(10)) AS group_text FROM h""")
+def q_group_texts(t):
+    """What a judge is shown of a group: its name, then url, time and headline of each article, in order."""
+    line = lambda x: F.concat_ws("\t", F.coalesce(x["url"], F.lit("")), F.coalesce(x["published"], F.lit("")), F.trim(F.split_part(F.coalesce(x["title"], F.lit("")), F.lit(" - "), F.lit(1))))
+    lines = F.array_join(F.transform("articles", line), "\n")
+    return t("news_groups").select("group_key", F.concat(F.coalesce("event_name", F.lit("")), F.lit("\n"), lines).alias("group_text"))
+
+
+@query("""
+WITH c AS (SELECT DISTINCT unnest([event_a_id, event_b_id]) AS event_id FROM merge_preview)
+SELECT t.event_id, t.category, row_number() OVER (PARTITION BY t.category ORDER BY CASE WHEN c.event_id IS NULL THEN 1 ELSE 0 END, t.event_id)::INT AS place FROM tracked_events t LEFT JOIN c ON c.event_id = t.event_id""")
+def q_operator_targets(t):
+    """Events of a category in the order they are offered: candidates first, each part by id."""
+    candidates = t("merge_preview").select(F.explode(F.array("event_a_id", "event_b_id")).alias("event_id")).where("event_id is not null").distinct().withColumn("_c", F.lit(0))
+    rows = t("tracked_events").select("event_id", "category").join(candidates, "event_id", "left")
+    return rows.select("event_id", "category", F.row_number().over(Window.partitionBy("category").orderBy(F.coalesce("_c", F.lit(1)), "event_id")).alias("place"))
