@@ -1,10 +1,10 @@
 """Problem 7: checking each new batch against all that is already accepted.
 
 Content-defined chunking: a rolling hash over the characters of a text's plain form sets chunk boundaries, so that an edit changes
-only the chunks around it.  A table from chunk to record is kept (``store.History``).  Of a new text the rarest chunks are looked up, so
-many that less than half of its bytes are left: a record whose chunks cover half of the bytes is always met, and of
-those that cover less nearly all.  Records of fitting size are then compared by the parities of their runs, which bound what two texts
-share, and exactly.  Rows whose urls agree repeat each other, too.
+only the chunks around it.  A table from chunk to record is kept (``store.History``).  Of a new text the rarest chunks that any other text has are
+looked up, so many that less than REST of the bytes of such chunks are left: a record that covers so much is always met, and of
+those that cover less nearly all.  The bytes that a record shares are added up; those of fitting size that cover enough are compared by the
+parities of their runs, which bound what two texts share, and exactly.  Rows whose urls agree repeat each other, too.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from tidemark.scratch import stored
 
 #: One in SPREAD positions is a boundary; the window of the rolling hash is three characters.
 SPREAD = 4
-#: The rarest chunks are looked up until less than REST of a text's bytes are left, and at least LEAST of them.
-REST, LEAST = 0.5, 12
+#: The rarest chunks are looked up until less than REST of the bytes are left, and at least LEAST of them.
+REST, LEAST = 0.8, 4
+#: The least share of a text's bytes that the chunks looked up must cover in a record.
+COVERAGE = 0.03
 
 _CHUNKS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("runs", pa.int32())])
 
@@ -76,39 +78,41 @@ def chunk_rows(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text", "runs").mapInArrow(make, "key long, node long, runs int")
 
 
-def rarest(texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, key, count) of the chunks of each text to look up, by REST and LEAST."""
+def rarest(texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, share of the text's bytes, count) of the chunks of each text to look up, by REST and LEAST; none that it alone has."""
     text, key, size = chunks(texts)
     first = S.first_of_each(text, key)
     text, key, size = text[first], key[first], size[first]
+    total = np.bincount(text, weights=size, minlength=len(texts))
     load = counts[(key % np.uint64(len(counts))).astype(np.int64)].astype(np.int64)
     order = np.lexsort((key, load, text))
+    order = order[load[order] > 1]
     text, key, size, load = text[order], key[order], size[order], load[order]
     start = np.searchsorted(text, text)
     upto = np.cumsum(size)
     before = upto - size - (upto - size)[start]
-    total = np.bincount(text, weights=size, minlength=len(texts))
-    kept = (before <= (1 - REST) * total[text]) | (np.arange(len(text)) - start < LEAST)
-    return text[kept], key[kept], load[kept]
+    known = np.bincount(text, weights=size, minlength=len(texts))
+    kept = (before <= (1 - REST) * known[text]) | (np.arange(len(text)) - start < LEAST)
+    return text[kept], key[kept], (size / total[text])[kept], load[kept]
 
 
 def probes(texts: DataFrame, counts: np.ndarray, block: int = near.BLOCK) -> DataFrame:
-    """(key, node, runs, met): the chunks of (node, text, runs) to look up; ``key`` is that of the table, ``met`` that of the block of a list to be met."""
+    """(key, node, runs, met, share): the chunks of (node, text, runs) to look up; ``key`` is that of the table, ``met`` that of the block of a list to be met."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)  # at most 16 MB
-    schema = pa.schema([*_CHUNKS, ("met", pa.int64())])
+    schema = pa.schema([*_CHUNKS, ("met", pa.int64()), ("share", pa.float32())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, texts, runs = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
             for i in range(0, len(texts), S.PIECE):
-                text, key, load = rarest(texts[i : i + S.PIECE], shared.value)
+                text, key, share, load = rarest(texts[i : i + S.PIECE], shared.value)
                 blocks = np.maximum(1, -(-load // block))
                 copy = np.repeat(np.arange(len(key)), blocks)
                 turn = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 at = text[copy] + i
-                yield S.batch(schema, {"key": key[copy].astype(np.int64), "node": nodes[at], "runs": runs[at], "met": _block_key(key[copy], turn).astype(np.int64)})
+                yield S.batch(schema, {"key": key[copy].astype(np.int64), "node": nodes[at], "runs": runs[at], "met": _block_key(key[copy], turn).astype(np.int64), "share": share[copy]})
 
-    return texts.select("node", "text", "runs").mapInArrow(make, "key long, node long, runs int, met long")
+    return texts.select("node", "text", "runs").mapInArrow(make, "key long, node long, runs int, met long, share float")
 
 
 def _block_key(key: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -135,11 +139,11 @@ def dealt(table: DataFrame, counts: np.ndarray, wanted: np.ndarray, block: int =
 
 
 def meeting(looked_up: DataFrame, table: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: texts of ``probes`` and different texts of fitting size of ``dealt`` that share a chunk."""
-    x, y = looked_up.select("met", F.col("node").alias("x"), F.col("runs").alias("n")), table.select("met", F.col("node").alias("y"), F.col("runs").alias("m"))
+    """(a, b), a < b: texts of ``probes`` and different texts of fitting size of ``dealt`` that cover COVERAGE of their bytes."""
+    x, y = looked_up.select("met", F.col("node").alias("x"), F.col("runs").alias("n"), "share"), table.select("met", F.col("node").alias("y"), F.col("runs").alias("m"))
     fit = (F.col("x") != F.col("y")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - F.lit(1e-9))
-    joined = x.join(y, (x["met"] == y["met"]) & fit)
-    return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    covered = x.join(y, (x["met"] == y["met"]) & fit).groupBy("x", "y").agg(F.sum("share").alias("share")).where(F.col("share") >= COVERAGE - 1e-6)
+    return covered.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def settled(rows: DataFrame, links: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ from tidemark.llm import shingles as S
 from tidemark.scratch import place, scope, stored
 from tidemark.sinks import versioned
 
-#: Folders of a table, and buckets of the table of counts (8 MB).
-BUCKETS, PLACES = 16, 1 << 21
+#: Folders of a table, and buckets of the table of counts (16 MB).
+BUCKETS, PLACES = 16, 1 << 22
 _TABLES = {"groups": "kind int, g long, id long", "texts": f"node long, text string, runs int, {', '.join(w + ' long' for w in near.WORDS)}", "chunks": "key long, node long, runs int"}
 
 
