@@ -3,7 +3,7 @@
 A size-aware heavy-light join of the sets of three-character runs; it loses no pair.  All runs have one order, rare ones first, from
 counts over all texts.  Two sets that share enough have a run in common among the first few of either in that order, and two such
 runs if each takes one more.  Small sets therefore enumerate their subsets of two such runs; large sets scan the inverted lists of
-single ones, which hold the sets they may be like.  The size that divides them is where both cost the same (``boundary``); it changes
+single ones, which hold the sets they may be like, and go on with those met in SHARED of them.  The size that divides them is where both cost the same (``boundary``); it changes
 no result.  Where the common runs stand tells how much two sets can still share at most, and most pairs end there, inside the join.  The others
 are compared by the parities of their runs, which again bound what they share, then exactly.  Equal texts are one class throughout.
 """
@@ -26,6 +26,8 @@ from tidemark.scratch import scope, stored
 
 #: An inverted list of more entries is cut into blocks of so many, which meet two by two.
 BLOCK = 1 << 15
+#: Large sets must share so many single runs, each of which takes part with SHARED - 1 runs more, before their texts are looked at.
+SHARED = 3
 #: What making a key costs, in looks at an entry of a list.
 KEY_COST = 50
 WORDS = [f"w{i}" for i in range(S.BITS // 64)]
@@ -117,7 +119,7 @@ def keys_of_texts(texts: list[str], nodes: np.ndarray, rank: np.ndarray, counts:
     start = np.searchsorted(text, np.arange(len(texts)))
     place = np.arange(len(text)) - start[text]
     first = n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
-    single = np.flatnonzero((place < first[text]) & ((n[text] > small) | (n[text] >= math.floor(least * small)) | (n[text] <= 1 / least)))
+    single = np.flatnonzero((place < first[text] + SHARED - 1) & ((n[text] > small) | (n[text] >= math.floor(least * small)) | (n[text] <= 1 / least)))
     parts = [(run[single], run[single], text[single], n[text[single]] - place[single], np.zeros(len(single), dtype=np.int64))]
     few = np.flatnonzero((n > 1) & (n <= small))
     for i in range(int(first[few].max()) if len(few) else 0):
@@ -169,11 +171,16 @@ def together(keys: DataFrame, least: float, small: int) -> DataFrame:
     low = [F.col(f"{s}.meta").bitwiseAND(F.lit(15)) for s in "xy"]
     halves = low[0].bitwiseAND(F.lit(3)) + low[1].bitwiseAND(F.lit(3))
     met = (halves == 0) | (halves == 3)
-    # small sets meet by subsets, if they must share two runs
-    by = (low[0] >= 4) | (F.greatest(*size) > small) | (needed(*size, least) < 2)
-    near = (F.least(*size) >= F.lit(least) * F.greatest(*size) - F.lit(1e-9)) & (F.least(*rest) >= needed(*size, least))
+    least_shared = needed(*size, least)
+    # small sets meet by subsets, if they must share two runs; what stands before the last of SHARED common runs may be common, too
+    single = low[0] < 4
+    by = ~single | (F.greatest(*size) > small) | (least_shared < 2)
+    room = F.least(*rest) + F.when(single, SHARED - 1).otherwise(0)
+    near = (F.least(*size) >= F.lit(least) * F.greatest(*size) - F.lit(1e-9)) & (room >= least_shared)
     joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near & by & met)
-    return joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    weight = F.when(single & (least_shared >= SHARED), 1).otherwise(SHARED)
+    pairs = joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), weight.alias("n"))
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
 
 
 def may_share(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -210,7 +217,7 @@ def class_links(df: DataFrame, record: str, columns: tuple[str, ...], least: flo
     """
     with scope() as kept:
         rows = df.count()
-        ids, texts, counts = read_texts(df, record, columns, S.table_size(rows))
+        ids, texts, counts = read_texts(df, record, columns, S.table_size(4 * rows))
         small = boundary(counts, least) if small is None else small
         ids = stored(ids)
         pairs = stored(may_share(together(keys_of(texts, counts, least, small), least, small), texts, least))
