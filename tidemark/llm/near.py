@@ -30,12 +30,15 @@ BLOCK = 1 << 15
 SHARED = 3
 #: What making a key costs, in looks at an entry of a list.
 KEY_COST = 50
+#: Pairs of a list that are looked at together.
+AT_ONCE = 1 << 21
 WORDS = [f"w{i}" for i in range(S.BITS // 64)]
 
 _TEXTS = pa.schema(
     [("id", pa.int64()), ("node", pa.int64()), ("text", pa.string()), ("runs", pa.int32()), *((w, pa.int64()) for w in WORDS), ("segment", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("kind", pa.int32())]
 )
 _TEXTS_DDL = f"id long, node long, text string, runs int, {', '.join(w + ' long' for w in WORDS)}, segment int, part int, counts binary, kind int"
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
 _KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("meta", pa.int64())])
 
 
@@ -163,23 +166,51 @@ def keys_of(texts: DataFrame, counts: np.ndarray, least: float, small: int) -> D
     return texts.select("node", "text").mapInArrow(make, "key long, node long, meta long")
 
 
+def _met(key: np.ndarray, node: np.ndarray, meta: np.ndarray, least: float, small: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, n) of the texts in whole lists, sorted by key, that may be similar by their sizes and by where the key stands in both."""
+    size, rest, subset, half = meta >> 32, (meta >> 4) & ((1 << 28) - 1), (meta >> 2) & 1, meta & 3
+    end = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
+    after = np.repeat(end, np.diff(np.r_[0, end])) - np.arange(len(key)) - 1
+    upto = np.cumsum(after)
+    cuts = np.searchsorted(upto, np.arange(AT_ONCE, int(upto[-1]) + AT_ONCE, AT_ONCE)) if len(upto) else []
+    begin = 0
+    for stop in [min(int(c) + 1, len(key)) for c in cuts]:
+        count = after[begin:stop]
+        x = np.repeat(np.arange(begin, stop), count)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+        begin = stop
+        low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        shared = np.ceil(least / (1 + least) * (low + high) - 1e-9)
+        # what stands before the last of SHARED common runs may be common, too
+        room = np.minimum(rest[x], rest[y]) + np.where(subset[x], 0, SHARED - 1)
+        halves = half[x] + half[y]
+        # small sets meet by subsets, if they must share two runs
+        by = (subset[x] == 1) | (high > small) | (shared < 2)
+        kept = np.flatnonzero((low >= least * high - 1e-9) & (room >= shared) & by & ((halves == 0) | (halves == 3)) & (node[x] != node[y]))
+        if len(kept):
+            x, y = x[kept], y[kept]
+            n = np.where((subset[x] == 0) & (shared[kept] >= SHARED), 1, SHARED)
+            yield S.batch(_PAIRS, {"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "n": n})
+
+
 def together(keys: DataFrame, least: float, small: int) -> DataFrame:
-    """(a, b), a < b: the texts that share a key and may be similar by their sizes and by where the key stands in both."""
-    x, y = keys.alias("x"), keys.alias("y")
-    size = [F.shiftright(f"{s}.meta", 32) for s in "xy"]
-    rest = [F.shiftright(f"{s}.meta", 4).bitwiseAND(F.lit((1 << 28) - 1)) for s in "xy"]
-    low = [F.col(f"{s}.meta").bitwiseAND(F.lit(15)) for s in "xy"]
-    halves = low[0].bitwiseAND(F.lit(3)) + low[1].bitwiseAND(F.lit(3))
-    met = (halves == 0) | (halves == 3)
-    least_shared = needed(*size, least)
-    # small sets meet by subsets, if they must share two runs; what stands before the last of SHARED common runs may be common, too
-    single = low[0] < 4
-    by = ~single | (F.greatest(*size) > small) | (least_shared < 2)
-    room = F.least(*rest) + F.when(single, SHARED - 1).otherwise(0)
-    near = (F.least(*size) >= F.lit(least) * F.greatest(*size) - F.lit(1e-9)) & (room >= least_shared)
-    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & near & by & met)
-    weight = F.when(single & (least_shared >= SHARED), 1).otherwise(SHARED)
-    pairs = joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), weight.alias("n"))
+    """(a, b), a < b: the texts that meet under enough keys.
+
+    One shuffle brings the lists together, one task walks them in order; no list is longer than two blocks.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, dtype=np.int64)] * 3
+        for b in batches:
+            held = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if b.num_rows else 0
+            if last:
+                yield from _met(*(h[:last] for h in held), least, small)
+                held = [h[last:] for h in held]
+        if len(held[0]):
+            yield from _met(*held, least, small)
+
+    pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(walk, "a long, b long, n int")
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
 
 
