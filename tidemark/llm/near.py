@@ -5,7 +5,7 @@ counts over all texts.  Two sets that share enough have a run in common among th
 runs if each takes one more.  Small sets therefore enumerate their subsets of two such runs; large sets scan the inverted lists of
 single ones, which hold the sets they may be like, and go on with those met in SHARED of them.  The size that divides them is where both cost the same (``boundary``); it changes
 no result.  Where the common runs stand tells how much two sets can still share at most, and most pairs end there, inside the join.  The others
-are compared by the parities of their runs, which again bound what they share, then exactly.  Equal texts are one class throughout.
+are compared exactly.  Equal texts are one class throughout.
 """
 
 from __future__ import annotations
@@ -251,7 +251,7 @@ def class_links(df: DataFrame, record: str, columns: tuple[str, ...], least: flo
         ids, texts, counts = read_texts(df, record, columns, S.table_size(4 * rows))
         small = boundary(counts, least) if small is None else small
         ids = stored(ids)
-        pairs = stored(may_share(together(keys_of(texts, counts, least, small), least, small), texts, least))
+        pairs = stored(together(keys_of(texts, counts, least, small), least, small))
         links = stored(confirmed(pairs, texts, least))
         kept += [ids, links]
     return ids, links
