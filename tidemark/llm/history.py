@@ -23,7 +23,7 @@ from tidemark.scratch import stored
 #: One in SPREAD positions is a boundary; the window of the rolling hash is three characters.
 SPREAD = 4
 #: The rarest chunks are looked up until less than REST of the bytes are left, and at least LEAST of them.
-REST, LEAST = 0.8, 4
+REST, LEAST = 0.5, 6
 #: The least share of a text's bytes that the chunks looked up must cover in a record.
 COVERAGE = 0.03
 
