@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 from datetime import date, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -139,3 +140,28 @@ def test_schedule_bounds(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", dates.schedule_bounds(F.col("t")).alias("b"))
     assert {r["t"]: tuple(r["b"]) for r in df.collect()} == cases
+
+
+def brute_best(words, per_document=3, at_most=150):
+    weight = lambda w: 3 if len(w) >= 5 else 2 if len(w) == 4 else 1
+    scored = {(a, b): sum(map(weight, words[a] & words[b])) for a, b in itertools.combinations(sorted(words), 2) if words[a] & words[b]}
+    order = sorted(scored, key=lambda p: (-scored[p], p))
+    seen, kept = dict.fromkeys(words, 0), []
+    for a, b in order:
+        if min(seen[a], seen[b]) < per_document:
+            kept.append((a, b, scored[a, b]))
+        seen[a] += 1
+        seen[b] += 1
+    return kept[:at_most]
+
+
+@pytest.mark.parametrize(("n", "vocabulary", "most"), [(600, 90, 9), (500, 8, 4), (300, 5000, 12), (400, 3, 1), (7, 4, 3)])
+def test_best_shared(spark, n, vocabulary, most):
+    rng = random.Random(n)
+    pool = ["abcdefg"[: 2 + i % 6] + str(i) for i in range(vocabulary)]
+    picked = [sorted({pool[int(vocabulary * rng.random() ** 2)] for _ in range(rng.randint(0, most))}) for _ in range(n)]
+    picked[n // 2 :] = [picked[rng.randrange(n // 2)] if rng.random() < 0.3 else p for p in picked[n // 2 :]]
+    ids = rng.sample(range(-n, 9 * n), n)
+    df = spark.createDataFrame([*((i, " ".join(p)) for i, p in zip(ids, picked, strict=True)), (None, "abc abcd"), (10 * n, None)], "id long, title string")
+    words = {i: set(p) for i, p in zip(ids, picked, strict=True)}
+    assert [tuple(r) for r in pairs.best_shared(df, "id", "title").collect()] == brute_best(words)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import keyword_weight, keywords
+from tidemark.scratch import scope, stored
+
+#: The commonest words, by which others are put in order.
+COMMON = 64
 
 
 def postings(docs: DataFrame, key: str, title: str) -> DataFrame:
@@ -36,6 +40,82 @@ def best_candidates(pairs: DataFrame, per_document: int = 3, at_most: int = 150)
     return kept.orderBy(F.desc("score"), "a", "b").limit(at_most)
 
 
+def _commonest(docs: DataFrame, n: int) -> list:
+    """The ``n`` commonest of ``words``, commonest first."""
+    loads = docs.select(F.explode("words").alias("word")).groupBy("word").count()
+    return [r[0] for r in loads.orderBy(F.desc("count"), "word").limit(n).collect()]
+
+
+def _value(word: Column, values: dict) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in values.items() for x in pair)), word)
+
+
+def _weight(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda total, w: total + keyword_weight(w))
+
+
+def best_shared(docs: DataFrame, key: str, title: str, per_document: int = 3, at_most: int = 150) -> DataFrame:
+    """``best_candidates`` of ``shared_keywords`` without listing all pairs; keys are unique.
+
+    Pairs of the score ``least`` and more are found first.  Only they decide which of them are among the best of a document, so that once they
+    give ``at_most`` rows these are the answer; until then ``least`` is lowered, at last to 1, which is all pairs.  With words in one order,
+    common ones last, the first word that a pair shares is followed in both by words that weigh ``least`` together: all others are left out.
+    Of documents with equal words the partners of anybody are the first ``per_document`` besides itself, and those past ``at_most`` more
+    come after as many pairs of the same score.
+    """
+    front = per_document + 1
+    with scope() as kept:
+        worded = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.array_sort(keywords(F.col(title))).alias("words")).where(F.size("words") > 0)
+        place = F.row_number().over(Window.partitionBy("words").orderBy("id"))
+        classed = worded.withColumn("place", place).where(F.col("place") <= at_most + front)
+        plain = stored(classed.withColumn("weight", _weight(F.col("words"))))
+        last = {w: COMMON - i for i, w in enumerate(_commonest(plain, COMMON))}
+        if not last:
+            return _top(plain.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0).cast("long").alias("score")), at_most)
+        order = F.transform("words", lambda w: F.struct(F.coalesce(_value(w, last), F.lit(0)).alias("common"), w.alias("word")))
+        plain = stored(plain.withColumn("words", F.array_sort(order)["word"]))
+        least = _reached(plain, 2 * at_most)
+        while True:
+            best = stored(_top(_ranked(_sharing(plain, least, front), per_document), at_most))
+            if least == 1 or best.count() == at_most:
+                break
+            least = max(1, least * 2 // 3)
+        kept.append(best)
+    return _top(best, at_most)
+
+
+def _top(pairs: DataFrame, at_most: int) -> DataFrame:
+    return pairs.orderBy(F.desc("score"), "a", "b").limit(at_most)
+
+
+def _reached(docs: DataFrame, rows: int) -> int:
+    """The greatest weight that so many of ``docs`` reach, at least 1."""
+    n = 0
+    for r in docs.groupBy("weight").count().orderBy(F.desc("weight")).toLocalIterator():
+        n += r["count"]
+        if n >= rows:
+            return r["weight"]
+    return 1
+
+
+def _sharing(docs: DataFrame, least: int, front: int) -> DataFrame:
+    """(end, partner, score) of the score ``least`` and more; ``partner`` is one of the first ``front`` documents with its words."""
+    places = F.sequence(F.lit(1), F.size("words"))
+    begin = F.filter(places, lambda i: _weight(F.slice("words", i, F.size("words"))) >= least)
+    index = docs.where(F.col("weight") >= least).select("id", "words", "place", F.explode(F.transform(begin, lambda i: F.element_at("words", i))).alias("word"))
+    ends, partners = index.select(F.col("id").alias("end"), F.col("words").alias("x"), "word"), index.where(F.col("place") <= front).select(F.col("id").alias("partner"), F.col("words").alias("y"), "word")
+    common = F.array_intersect("x", "y")
+    met = ends.join(partners, "word").where((F.col("end") != F.col("partner")) & (F.get(common, F.lit(0)) == F.col("word")) & (_weight(common) >= least))
+    return met.select("end", "partner", _weight(common).cast("long").alias("score"))
+
+
+def _ranked(ends: DataFrame, per_document: int) -> DataFrame:
+    """(a, b, score) of the best of each end; in the order of pairs, partners of equal score follow each other by their ids."""
+    rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("score"), "partner"))
+    best = ends.withColumn("rank", rank).where(F.col("rank") <= per_document)
+    return best.select(F.least("end", "partner").alias("a"), F.greatest("end", "partner").alias("b"), "score").distinct()
+
+
 def character_overlap(left: str, right: str):
     """Distinct characters in both divided by those of the smaller set; 0 where either text is empty or null."""
     a, b = (F.array_distinct(F.filter(F.split(F.coalesce(F.col(x), F.lit("")), ""), lambda c: c != "")) for x in (left, right))

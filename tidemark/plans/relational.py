@@ -46,7 +46,7 @@ e AS (SELECT a, b, score, a AS e FROM p UNION ALL SELECT a, b, score, b AS e FRO
 t AS (SELECT a, b, score FROM e QUALIFY row_number() OVER (PARTITION BY e ORDER BY score DESC, a, b) <= 3)
 SELECT DISTINCT a, b, score::BIGINT AS score FROM t ORDER BY score DESC, a, b LIMIT 150""")
 def q_candidate_pairs(t):
-    return pairs.best_candidates(pairs.shared_keywords(t("incoming_articles"), "article_id", "title"))
+    return pairs.best_shared(t("incoming_articles"), "article_id", "title")
 
 
 @query(f"""
