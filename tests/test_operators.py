@@ -156,7 +156,7 @@ def brute_best(words, per_document=3, at_most=150):
 
 
 @pytest.mark.parametrize(("n", "vocabulary", "most"), [(600, 90, 9), (500, 8, 4), (300, 5000, 12), (400, 3, 1), (7, 4, 3)])
-def test_best_shared(spark, n, vocabulary, most):
+def test_best_shared_and_partner_counts(spark, n, vocabulary, most):
     rng = random.Random(n)
     pool = ["abcdefg"[: 2 + i % 6] + str(i) for i in range(vocabulary)]
     picked = [sorted({pool[int(vocabulary * rng.random() ** 2)] for _ in range(rng.randint(0, most))}) for _ in range(n)]
@@ -165,3 +165,18 @@ def test_best_shared(spark, n, vocabulary, most):
     df = spark.createDataFrame([*((i, " ".join(p)) for i, p in zip(ids, picked, strict=True)), (None, "abc abcd"), (10 * n, None)], "id long, title string")
     words = {i: set(p) for i, p in zip(ids, picked, strict=True)}
     assert [tuple(r) for r in pairs.best_shared(df, "id", "title").collect()] == brute_best(words)
+    partners = {i: sum(len(w & v) >= 2 for j, v in words.items() if j != i) for i, w in words.items()}
+    assert dict(rows(pairs.partner_counts(df, "id", "title"))) == {i: c for i, c in partners.items() if c}
+
+
+def test_partner_counts_with_fewer_bits(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "MASKS", 40)
+    titles = {i: {f"w{i % 7}", f"v{i % 5}", f"u{i % 30}", f"t{i // 2}"} for i in range(400)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in titles.items()], "id long, title string")
+    partners = {i: sum(len(w & v) >= 2 for j, v in titles.items() if j != i) for i, w in titles.items()}
+    assert dict(rows(pairs.partner_counts(df, "id", "title"))) == {i: c for i, c in partners.items() if c}
+
+
+def test_words_in_all_titles_list_no_pairs(spark):
+    df = spark.range(40_000).select("id", F.concat(F.lit("alpha beta x"), "id").alias("title"))  # 800 million pairs
+    assert pairs.partner_counts(df, "id", "title").agg(F.count("*"), F.min("n_partners"), F.max("n_partners")).collect()[0][:] == (40_000, 39_999, 39_999)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import keyword_weight, keywords
 from tidemark.scratch import scope, stored
 
-#: The commonest words, by which others are put in order.
-COMMON = 64
+#: The commonest words, by which others are put in order; and of these, those that have a bit in a mask, fewer where there are more than MASKS masks.
+COMMON, BITS, MASKS = 64, (64, 32, 16), 1 << 17
 
 
 def postings(docs: DataFrame, key: str, title: str) -> DataFrame:
@@ -116,6 +120,69 @@ def _ranked(ends: DataFrame, per_document: int) -> DataFrame:
     return best.select(F.least("end", "partner").alias("a"), F.greatest("end", "partner").alias("b"), "score").distinct()
 
 
+def partner_counts(docs: DataFrame, key: str, title: str) -> DataFrame:
+    """(<key>, n_partners): with how many others a document shares two keywords or more, where there are any; keys are unique.
+
+    The commonest words are bits of a mask.  How many masks have two bits in common with one is counted over distinct masks, of which there are at most
+    MASKS; only pairs that share another word, too, are met one by one, under the first of these, and are counted where they meet.
+    """
+    with scope() as kept:
+        worded = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.transform(keywords(F.col(title)), lambda w: F.xxhash64(w)).alias("words"))
+        worded = stored(worded.where(F.size("words") > 1))
+        common = _commonest(worded, BITS[0])
+        for bits in BITS:
+            masked = stored(_masked(worded, common[:bits]))
+            groups = stored(masked.groupBy("mask").count())
+            if groups.count() <= MASKS:  # 2^16 at last
+                break
+        made = stored(_partners(masked, groups).withColumnRenamed("id", key))
+        kept.append(made)
+    return made
+
+
+def _masked(docs: DataFrame, common: list) -> DataFrame:
+    """(id, mask, others): the words of ``common`` as bits, and all others in order."""
+    if not common:
+        return docs.select("id", F.lit(0).cast("long").alias("mask"), F.array_sort("words").alias("others"))
+    bits = {w: (1 << i) if i < 63 else -(1 << 63) for i, w in enumerate(common)}
+    mask = F.aggregate("words", F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.coalesce(_value(w, bits), F.lit(0).cast("long"))))
+    return docs.select("id", mask.alias("mask"), F.array_sort(F.filter("words", lambda w: ~w.isin(common))).alias("others"))
+
+
+def _bits(words: Column) -> Column:
+    """Bits of hashed words; two sets without a bit in common have no word in common."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda m, w: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(w, F.lit(64)).cast("int"))))
+
+
+def _partners(masked: DataFrame, groups: DataFrame) -> DataFrame:
+    all_masks = groups.toArrow()  # at most 2 MB
+    shared = masked.sparkSession.sparkContext.broadcast(tuple(all_masks.column(c).to_numpy() for c in ("mask", "count")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others, rows = shared.value
+        for b in batches:
+            mine = b.column(0).to_numpy()
+            n = np.array([rows[np.bitwise_count((m & others).view(np.uint64)) >= 2].sum() for m in mine], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n - (np.bitwise_count(mine.view(np.uint64)) >= 2))], ["mask", "by_mask"])
+
+    by_mask = groups.select("mask").repartition(1 + len(all_masks) // 2048, "mask").mapInArrow(count, "mask long, by_mask long")
+    index = masked.select("id", "mask", "others", F.posexplode("others").alias("at", "word"))
+    # words before and after the one under which two documents meet, as bits: where they have none in common, the words needn't be compared
+    before, after = (_bits(part) for part in (F.slice("others", F.lit(1), F.col("at")), F.slice("others", F.col("at") + 2, F.size("others"))))
+    index = index.select("id", "mask", "others", "word", before.alias("before"), after.alias("after"))
+    # few bytes, much work: as many tasks as that takes
+    index = index.repartition(1 + min(4096, masked.count() // 1024), "word")
+    sides = [index.select("word", *(F.col(c).alias(s + c) for c in ("id", "mask", "others", "before", "after"))) for s in "xy"]
+    same = lambda c: F.col("x" + c).bitwiseAND(F.col("y" + c))
+    bits, both = F.bit_count(same("mask")), F.array_intersect("xothers", "yothers")
+    enough = (bits == 1) | ((same("after") != 0) & (F.size(both) >= 2))
+    first = (same("before") == 0) | (F.get(both, F.lit(0)) == F.col("word"))
+    met = sides[0].join(sides[1], "word").where((F.col("xid") != F.col("yid")) & (bits < 2) & enough & first)
+    found = met.groupBy(F.col("xid").alias("id")).agg(F.count("*").alias("by_word"))
+    total = F.col("by_mask") + F.coalesce("by_word", F.lit(0).cast("long"))
+    return masked.join(by_mask, "mask").join(found, "id", "left").select("id", total.alias("n_partners")).where("n_partners > 0")
+
+
 def character_overlap(left: str, right: str):
     """Distinct characters in both divided by those of the smaller set; 0 where either text is empty or null."""
     a, b = (F.array_distinct(F.filter(F.split(F.coalesce(F.col(x), F.lit("")), ""), lambda c: c != "")) for x in (left, right))

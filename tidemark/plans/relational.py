@@ -54,8 +54,7 @@ WITH {_INDEX},
 p AS (SELECT l.id AS a, r.id AS b FROM idx l JOIN idx r ON l.word = r.word AND l.id < r.id GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT id AS article_id, count(*) AS n_partners FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY 1""")
 def q_pairs_min_two(t):
-    shared = pairs.shared_keywords(t("incoming_articles"), "article_id", "title").where("n_words >= 2")
-    return shared.select(F.explode(F.array("a", "b")).alias("article_id")).groupBy("article_id").agg(F.count("*").alias("n_partners"))
+    return pairs.partner_counts(t("incoming_articles"), "article_id", "title")
 
 
 @query(f"""
