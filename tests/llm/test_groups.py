@@ -286,6 +286,34 @@ def test_bundles_that_contradict(spark):
     assert survivor.bundled(df.limit(0), feeds).count() == 0
 
 
+def test_golden_source_fits_url_and_title(spark):
+    """Url and title are the best of their own, as by SQL; the source is the best of those that fit both, as by trying everything."""
+    from datetime import datetime, timedelta
+
+    rng, at = random.Random(6), datetime(2026, 1, 1)
+    hosts, trust = {"a": "a.test", "b": "b.test", "c": None}, {"a": 3, "b": 5, "c": 5}
+    rows = []
+    for i in range(300):
+        feed, url = rng.choice(["a", "b", "c", "zz", None]), rng.choice([f"https://{rng.choice('abx')}.test/{i}", "bad", None])
+        rows.append((f"k{i // 6}", i, rng.choice([at + timedelta(i * 37 % 300), None]), url, rng.choice([f"Title {i} {'x' * i}", "", None]), "", "", {"name": feed, "url": "u"}))
+    df = spark.createDataFrame(rows, "article_key string, revision_id long, observed_at timestamp, url string, title string, published string, description string, rss_source struct<name: string, url: string>")
+    feeds = spark.createDataFrame([(f, trust[f], h) for f, h in hosts.items()], "feed_name string, trust int, host string")
+    got = {r["article_key"]: tuple(r[b] and r[b]["record"] for b in ("url", "title", "source")) for r in survivor.golden(df, feeds).collect()}
+    worth = lambda r: (trust.get(r[7]["name"], -(1 << 31)), r[2] or datetime(1970, 1, 1), r[1])
+    contradicted = left_out = 0
+    for key in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == key]
+        url = max((r for r in mine if (r[3] or "").startswith("http")), key=worth, default=None)
+        title = max((r for r in mine if r[4]), key=worth, default=None)
+        named = [r for r in mine if r[7]["name"]]
+        fits = [r for r in named if not (url and hosts.get(r[7]["name"]) not in (None, url[3].split("/")[2])) and not (title and title[7]["name"] not in (None, r[7]["name"]))]
+        source = max(fits, key=worth, default=None)
+        assert got[key] == tuple(r and r[1] for r in (url, title, source)), key
+        contradicted += source != max(named, key=worth, default=None)
+        left_out += bool(named) and source is None
+    assert contradicted > left_out > 0
+
+
 def test_branch_and_bound():
     rng = random.Random(2)
     for _ in range(60):

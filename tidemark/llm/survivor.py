@@ -68,18 +68,18 @@ def beginnings(texts: DataFrame, key: str, text: str) -> DataFrame:
 def choose(candidates: list[list[dict]], ties: list[list[str]], levels: list[int] | None = None) -> list[int | None]:
     """Branch-and-bound: the candidate of each bundle so that, level by level, trust, then recency, sum up highest and ties agree.
 
-    ``candidates[i]`` are sorted from best to worst; each has ``trust``, ``at`` and its tie values, None agreeing with all.  A bundle may
-    stay empty (None), which counts below any candidate.
+    ``candidates[i]`` are sorted from best to worst, which decides what is still even; each has ``trust``, ``at`` and its tie values, None
+    agreeing with all.  A bundle may stay empty (None), which counts below any candidate.
     """
     n, levels = len(candidates), levels or [0] * len(candidates)
-    width = 3 * (max(levels, default=0) + 1)
+    width = 4 * (max(levels, default=0) + 1)
 
-    def worth(i: int, c: dict) -> tuple:
-        at = 3 * levels[i]
-        return (*(0,) * at, 1, c["trust"], c["at"], *(0,) * (width - at - 3))
+    def worth(i: int, j: int, c: dict) -> tuple:
+        at = 4 * levels[i]
+        return (*(0,) * at, 1, c["trust"], c["at"], -j, *(0,) * (width - at - 4))
 
     nothing = (0,) * width
-    values = [[worth(i, c) for c in cs] for i, cs in enumerate(candidates)]
+    values = [[worth(i, j, c) for j, c in enumerate(cs)] for i, cs in enumerate(candidates)]
     add = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
     rest = [nothing] * (n + 1)
     for i in range(n - 1, -1, -1):
@@ -179,14 +179,25 @@ def _chosen(revisions: DataFrame, feeds: DataFrame, bundles: Sequence[Bundle], l
     return survivors(keys, "article_key", lists, bundles)
 
 
+def _sites(feeds: DataFrame) -> Column:
+    """The host of a row's url; only hosts of feeds can agree with a source, those of all other urls are alike in contradicting it (unless hosts are too many for the plan)."""
+    known = [r[0] for r in feeds.where("host is not null").select(F.lower("host")).distinct().limit(MOST_HOSTS + 1).collect()]
+    site = host(F.col("url"))
+    return site if len(known) > MOST_HOSTS else F.when(site.isin(known), site).otherwise(F.lit(""))
+
+
 def golden(revisions: DataFrame, feeds: DataFrame, least: int = 1) -> DataFrame:
-    """(article_key, url, title): the best url (with its source) and the best title (with its published and description), whatever feeds they
-    come from; nothing ties them, so that the bound of branch-and-bound is met at once.  ``bundled`` ties them.
+    """(article_key, url, title, source): the best url and the best title, whatever feeds they come from, and the best source that fits both.
+
+    Url and title are of the first level; nothing ties them to each other.  The source is of the second: its host is that of the url, its feed that of the
+    title, and it is null where none fits.  ``bundled`` weighs all three alike.
     """
-    url = Bundle("url", ("url", "rss_source"), usable_url(F.col("url")))
-    title = Bundle("title", ("title", "published", "description"), F.lit(True))
-    best = _chosen(revisions, feeds, [url, title], least)
-    return best.select("article_key", "url", "title")
+    feeds = feeds if "host" in feeds.columns else feeds.withColumn("host", F.lit(None).cast("string"))
+    feed = F.col("rss_source.name")
+    url = Bundle("url", ("url", "rss_source"), usable_url(F.col("url")), {"site": _sites(feeds)})
+    title = Bundle("title", ("title", "published", "description"), F.lit(True), {"feed": feed})
+    source = Bundle("source", ("rss_source",), feed.isNotNull(), {"site": F.col("_site"), "feed": feed}, level=1)
+    return _chosen(revisions, feeds, [url, title, source], least).select("article_key", "url", "title", "source")
 
 
 def bundled(revisions: DataFrame, feeds: DataFrame, least: int = 1) -> DataFrame:
@@ -195,13 +206,8 @@ def bundled(revisions: DataFrame, feeds: DataFrame, least: int = 1) -> DataFrame
     The host of the url is that of the source's feed, and the title comes from the source's feed.  A feed that isn't listed or has no host, and a
     missing feed name, agree with anything; a bundle that would contradict more trusted ones is null.
     """
-    # only hosts of feeds can agree with a source; urls of all other hosts are alike in contradicting it
-    known = [r[0] for r in feeds.where("host is not null").select(F.lower("host")).distinct().limit(MOST_HOSTS + 1).collect()]
-    if len(known) > MOST_HOSTS:
-        raise ValueError(f"more than {MOST_HOSTS} hosts of feeds")
-    site = host(F.col("url"))
     feed = F.col("rss_source.name")
-    url = Bundle("url", ("url",), usable_url(F.col("url")), {"site": F.when(site.isin(known), site).otherwise(F.lit(""))})
+    url = Bundle("url", ("url",), usable_url(F.col("url")), {"site": _sites(feeds)})
     source = Bundle("source", ("rss_source",), feed.isNotNull(), {"site": F.col("_site"), "feed": feed})
     title = Bundle("title", ("title", "published", "description"), F.lit(True), {"feed": feed})
     return _chosen(revisions, feeds, [url, source, title], least)
