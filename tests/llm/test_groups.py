@@ -299,6 +299,7 @@ def test_golden_source_fits_url_and_title(spark):
     df = spark.createDataFrame(rows, "article_key string, revision_id long, observed_at timestamp, url string, title string, published string, description string, rss_source struct<name: string, url: string>")
     feeds = spark.createDataFrame([(f, trust[f], h) for f, h in hosts.items()], "feed_name string, trust int, host string")
     got = {r["article_key"]: tuple(r[b] and r[b]["record"] for b in ("url", "title", "source")) for r in survivor.golden(df, feeds).collect()}
+    assert got == {r["article_key"]: tuple(r[b] and r[b]["record"] for b in ("url", "title", "source")) for r in survivor.golden(df, feeds, values=False).collect()}
     worth = lambda r: (trust.get(r[7]["name"], -(1 << 31)), r[2] or datetime(1970, 1, 1), r[1])
     contradicted = left_out = 0
     for key in {r[0] for r in rows}:

@@ -47,7 +47,7 @@ def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    best = survivor.golden(spark.read.parquet(f"{sf}/article_revisions.parquet"), spark.read.parquet(f"{sf}/feeds.parquet"), least=2)
+    best = survivor.golden(spark.read.parquet(f"{sf}/article_revisions.parquet"), spark.read.parquet(f"{sf}/feeds.parquet"), least=2, values=False)
     fields = F.array(*(F.struct(F.lit(x).alias("field"), F.col(f"{x}.record").alias("revision_id")) for x in ("url", "title")))
     return best.select("article_key", F.explode(fields).alias("f")).select("article_key", "f.field", "f.revision_id").where("revision_id is not null")
 

@@ -110,7 +110,7 @@ def candidates(rows: DataFrame, key: str, record: str, at: str, bundle: Bundle)
     """
     ties = sorted(bundle.ties)
     seconds = F.unix_micros(F.coalesce(F.col(at), F.lit("1970-01-01").cast("timestamp")))
-    value = F.struct(F.col("_trust").alias("trust"), seconds.alias("at"), F.col(record).alias("record"), F.struct(*bundle.fields).alias("values"), *(bundle.ties[t].cast("string").alias(t) for t in ties))
+    value = F.struct(F.col("_trust").alias("trust"), seconds.alias("at"), F.col(record).alias("record"), *([F.struct(*bundle.fields).alias("values")] if bundle.fields else []), *(bundle.ties[t].cast("string").alias(t) for t in ties))
     named = rows.where(F.col(key).isNotNull() & bundle.usable).select(key, value.alias("_c"))
     if not ties:
         return named.groupBy(key).agg(F.array(F.max("_c")).alias(bundle.name))
@@ -157,10 +157,9 @@ def ranked(rows: DataFrame, feeds: DataFrame, feed: Column) -> DataFrame:
     return rows.withColumn("_feed", feed).join(trust, "_feed", "left").withColumn("_trust", F.coalesce("_trust", F.lit(-(1 << 31)))).drop("_feed")
 
 
-def _titles(rows: DataFrame) -> DataFrame:
+def _titles(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The rows with a usable title: it has a letter or digit and, without dots, ellipses and blanks at its end, isn't the
     beginning of a longer title of the same key.  Titles that agree but for their ending stand or fall together: one row each, before any join."""
-    fields = ("title", "published", "description", "rss_source")
     value = F.struct("_trust", "observed_at", "revision_id", F.struct(*fields).alias("values"))
     stemmed = rows.withColumn("_stem", F.regexp_replace(F.coalesce("title", F.lit("")), CUT_END, ""))
     stems = stemmed.groupBy("article_key", "_stem").agg(F.max(F.when(has_letter(F.col("title")), value)).alias("_v"))
@@ -175,7 +174,7 @@ def _chosen(revisions: DataFrame, feeds: DataFrame, bundles: Sequence[Bundle], l
         hosts = feeds.where("feed_name is not null").groupBy(F.col("feed_name").alias("_f")).agg(F.lower(F.max("host")).alias("_site"))
         rows = rows.join(hosts, F.col("rss_source.name") == F.col("_f"), "left").drop("_f")
     keys = rows.groupBy("article_key").count().where(F.col("count") >= least)
-    lists = [candidates(_titles(rows) if b.name == "title" else rows, "article_key", "revision_id", "observed_at", b) for b in bundles]
+    lists = [candidates(_titles(rows, dict.fromkeys([*b.fields, "rss_source"])) if b.name == "title" else rows, "article_key", "revision_id", "observed_at", b) for b in bundles]
     return survivors(keys, "article_key", lists, bundles)
 
 
@@ -186,17 +185,19 @@ def _sites(feeds: DataFrame) -> Column:
     return site if len(known) > MOST_HOSTS else F.when(site.isin(known), site).otherwise(F.lit(""))
 
 
-def golden(revisions: DataFrame, feeds: DataFrame, least: int = 1) -> DataFrame:
+def golden(revisions: DataFrame, feeds: DataFrame, least: int = 1, values: bool = True) -> DataFrame:
     """(article_key, url, title, source): the best url and the best title, whatever feeds they come from, and the best source that fits both.
 
     Url and title are of the first level; nothing ties them to each other.  The source is of the second: its host is that of the url, its feed that of the
-    title, and it is null where none fits.  ``bundled`` weighs all three alike.
+    title, and it is null where none fits.  ``bundled`` weighs all three alike.  Without ``values`` only the records are named, and no text is carried along.
     """
+    if not values:
+        revisions = revisions.withColumn("rss_source", F.struct(F.col("rss_source.name").alias("name")))
     feeds = feeds if "host" in feeds.columns else feeds.withColumn("host", F.lit(None).cast("string"))
     feed = F.col("rss_source.name")
-    url = Bundle("url", ("url", "rss_source"), usable_url(F.col("url")), {"site": _sites(feeds)})
-    title = Bundle("title", ("title", "published", "description"), F.lit(True), {"feed": feed})
-    source = Bundle("source", ("rss_source",), feed.isNotNull(), {"site": F.col("_site"), "feed": feed}, level=1)
+    url = Bundle("url", ("url", "rss_source") if values else (), usable_url(F.col("url")), {"site": _sites(feeds)})
+    title = Bundle("title", ("title", "published", "description") if values else (), F.lit(True), {"feed": feed})
+    source = Bundle("source", ("rss_source",) if values else (), feed.isNotNull(), {"site": F.col("_site"), "feed": feed}, level=1)
     return _chosen(revisions, feeds, [url, title, source], least).select("article_key", "url", "title", "source")
 
 
