@@ -129,7 +129,7 @@ def dealt(table: DataFrame, counts: np.ndarray, wanted: np.ndarray, block: int =
         counts, has = shared.value[0], np.unpackbits(shared.value[1]).astype(bool)
         for b in batches:
             keys = b.column(0).to_numpy().view(np.uint64)
-            kept = np.flatnonzero(has[(keys % np.uint64(width)).astype(np.int64)])
+            kept = np.flatnonzero(has[S.places_of(keys, width)])
             b, keys = b.take(pa.array(kept)), keys[kept]
             blocks = np.maximum(1, -(-counts[(keys % np.uint64(len(counts))).astype(np.int64)].astype(np.int64) // block)).astype(np.uint64)
             turn = S.mixed(b.column(1).to_numpy().view(np.uint64)) % blocks

@@ -15,9 +15,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import packs
 from tidemark.llm import shingles as S
 from tidemark.llm.components import components
 from tidemark.llm.plain import plain
@@ -35,11 +37,13 @@ AT_ONCE = 1 << 21
 WORDS = [f"w{i}" for i in range(S.BITS // 64)]
 
 _TEXTS = pa.schema(
-    [("id", pa.int64()), ("node", pa.int64()), ("text", pa.string()), ("runs", pa.int32()), *((w, pa.int64()) for w in WORDS), ("segment", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("kind", pa.int32())]
+    [("id", pa.int64()), ("node", pa.int64()), ("num", pa.int64()), ("text", pa.string()), ("runs", pa.int32()), *((w, pa.int64()) for w in WORDS), ("segment", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("kind", pa.int32())]
 )
-_TEXTS_DDL = f"id long, node long, text string, runs int, {', '.join(w + ' long' for w in WORDS)}, segment int, part int, counts binary, kind int"
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32())])
-_KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("meta", pa.int64())])
+_TEXTS_DDL = f"id long, node long, num long, text string, runs int, {', '.join(w + ' long' for w in WORDS)}, segment int, part int, counts binary, kind int"
+#: Columns of the keys that are shuffled: key, number of the text, meta.
+_STEPS = (False, True, False)
+#: A text's number: that of the partition that read it, and its place there.
+PLACE_BITS = 26
 
 
 def joined_plain(parts: list[pa.Array]) -> list[str]:
@@ -49,13 +53,13 @@ def joined_plain(parts: list[pa.Array]) -> list[str]:
 
 
 def read_texts(df: DataFrame, record: str, columns: tuple[str, ...], size: int, counted: Callable | None = None) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """(id, node) of every row with a text; (node, text, runs, parities) once per text; and ``size`` counts of the runs of all texts, or of what ``counted`` makes of texts.
+    """(id, node) of every row with a text; (node, num, text, runs, parities) once per text; and ``size`` counts of the runs of all texts, or of what ``counted`` makes of texts.
 
-    A text that several partitions read counts in each.
+    A text that several partitions read counts in each.  ``num`` is another, smaller name of the text, which compresses well.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen, part = np.zeros(size, dtype=np.int64), set(), None
+        counts, seen, part, first = np.zeros(size, dtype=np.int64), set(), None, TaskContext.get().partitionId() << PLACE_BITS
         for b in batches:
             texts = joined_plain([b.column(i) for i in range(1, b.num_columns)])
             nodes = [S.content_key(t) for t in texts]
@@ -69,21 +73,25 @@ def read_texts(df: DataFrame, record: str, columns: tuple[str, ...], size: int,
                 made = counted([t for _, t in some]) if counted else found & S.MASK
                 counts += np.bincount((made % np.uint64(size)).astype(np.int64), minlength=size)
                 parities = S.parities(found, len(some))
-                yield S.batch(_TEXTS, {"node": [n for n, _ in some], "text": [t for _, t in some], "runs": runs, **{w: parities[:, i] for i, w in enumerate(WORDS)}, "kind": [2] * len(some)})
+                nums = np.arange(first, first + len(some))
+                first += len(some)
+                yield S.batch(_TEXTS, {"node": [n for n, _ in some], "num": nums, "text": [t for _, t in some], "runs": runs, **{w: parities[:, i] for i, w in enumerate(WORDS)}, "kind": [2] * len(some)})
         if packed := S.packed(counts):
             yield S.batch(_TEXTS, {"segment": [i for i, _ in packed], "part": [part or 0] * len(packed), "counts": [c for _, c in packed], "kind": [1] * len(packed)})
 
     rows = df.where(F.col(record).isNotNull()).select(F.col(record).cast("long"), *columns)
     both = stored(rows.mapInArrow(read, _TEXTS_DDL), "kind")
     ids = both.where("kind = 0 and node is not null").select("id", "node")
-    return ids, _distinct(both.where("kind = 2").select("node", "text", "runs", *WORDS)), S.summed(both.where("kind = 1").select("segment", "part", "counts"), size)
+    return ids, _distinct(both.where("kind = 2").select("node", "num", "text", "runs", *WORDS)), S.summed(both.where("kind = 1").select("segment", "part", "counts"), size)
 
 
 def _distinct(texts: DataFrame) -> DataFrame:
     """``texts`` once per node; only the few that more than one partition read are shuffled."""
     again = stored(texts.groupBy("node").count().where("count > 1").select("node"))
     places = S.presence(again, again.count())
-    return S.only_present(texts, "node", places, False).unionByName(S.only_present(texts, "node", places).dropDuplicates(["node"]))
+    # whoever reads the texts gets the same one of equal texts, and so the same number
+    least = F.min(F.struct("num", *(c for c in texts.columns if c not in ("node", "num")))).alias("t")
+    return S.only_present(texts, "node", places, False).unionByName(S.only_present(texts, "node", places).groupBy("node").agg(least).select("node", "t.*"))
 
 
 def needed(x: Column, y: Column, least: float) -> Column:
@@ -151,26 +159,55 @@ def in_blocks(key: np.ndarray, of: np.ndarray, nodes: np.ndarray, load: np.ndarr
     return made, of[copy], np.where(mine == other, 0, np.where(mine < other, 1, 2)), copy
 
 
-def keys_of(texts: DataFrame, counts: np.ndarray, least: float, small: int) -> DataFrame:
+def keys_of(texts: DataFrame, counts: np.ndarray, least: float, small: int, parts: int, bits: int = 64) -> DataFrame:
+    """The keys of (num, text), cut to ``bits`` bits, in packs for ``together``; keys that become equal make more pairs meet, never fewer."""
     shared = texts.sparkSession.sparkContext.broadcast((counts, S.ranks(counts)))  # at most 24 MB
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         counts, rank = shared.value
         for b in batches:
-            nodes, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
+            nums, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
             for i in range(0, len(texts), S.PIECE):
-                some = nodes[i : i + S.PIECE]
+                some = nums[i : i + S.PIECE]
                 key, of, meta = keys_of_texts(texts[i : i + S.PIECE], some, rank, counts, least, small)
-                yield S.batch(_KEYS, {"key": key.astype(np.int64), "node": some[of], "meta": meta})
+                yield key & np.uint64((1 << bits) - 1), some[of], meta
 
-    return texts.select("node", "text").mapInArrow(make, "key long, node long, meta long")
+    return _packed(texts.select("num", "text"), make, parts)
 
 
-def _met(key: np.ndarray, node: np.ndarray, meta: np.ndarray, least: float, small: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, n) of the texts in whole lists, sorted by key, that may be similar by their sizes and by where the key stands in both."""
+def _packed(df: DataFrame, make: Callable, parts: int) -> DataFrame:
+    width = packs.buckets(parts)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for made in make(batches):
+            held.append(made)
+            rows += len(made[0])
+            if rows >= packs.HELD:
+                yield packed(held)
+                held, rows = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key, *others = (np.concatenate(c) for c in zip(*held, strict=True))
+        return packs.pack(key % np.uint64(width), [key // np.uint64(width), *others], _STEPS)
+
+    return df.mapInArrow(send, packs.DDL)
+
+
+def _met(key: np.ndarray, node: np.ndarray, meta: np.ndarray, least: float, small: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, n) of the texts in whole lists that may be similar by their sizes and by where the key stands in both."""
+    order = np.lexsort((meta >> 32, key))
+    key, node, meta = key[order], node[order], meta[order]
     size, rest, subset, half = meta >> 32, (meta >> 4) & ((1 << 28) - 1), (meta >> 2) & 1, meta & 3
-    end = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1
-    after = np.repeat(end, np.diff(np.r_[0, end])) - np.arange(len(key)) - 1
+    # what stands before the last of SHARED common runs may be common, too
+    rest = rest + np.where(subset, 0, SHARED - 1)
+    # the texts of a list by size: those that one may be like as the smaller are in a row behind it
+    within = np.cumsum(np.r_[0, key[1:] != key[:-1]]) << 28
+    most = np.minimum(size / least, (rest + 1e-9) * (1 + least) / least - size) + 1e-6
+    end = np.searchsorted(within | size, within | np.clip(most.astype(np.int64), 0, (1 << 28) - 1), side="right")
+    after = np.maximum(0, end - np.arange(len(key)) - 1)
     upto = np.cumsum(after)
     cuts = np.searchsorted(upto, np.arange(AT_ONCE, int(upto[-1]) + AT_ONCE, AT_ONCE)) if len(upto) else []
     begin = 0
@@ -179,45 +216,56 @@ def _met(key: np.ndarray, node: np.ndarray, meta: np.ndarray, least: float, smal
         x = np.repeat(np.arange(begin, stop), count)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
         begin = stop
-        low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        low, high = size[x], size[y]
         shared = np.ceil(least / (1 + least) * (low + high) - 1e-9)
-        # what stands before the last of SHARED common runs may be common, too
-        room = np.minimum(rest[x], rest[y]) + np.where(subset[x], 0, SHARED - 1)
         halves = half[x] + half[y]
         # small sets meet by subsets, if they must share two runs
         by = (subset[x] == 1) | (high > small) | (shared < 2)
-        kept = np.flatnonzero((low >= least * high - 1e-9) & (room >= shared) & by & ((halves == 0) | (halves == 3)) & (node[x] != node[y]))
+        kept = np.flatnonzero((low >= least * high - 1e-9) & (np.minimum(rest[x], rest[y]) >= shared) & by & ((halves == 0) | (halves == 3)) & (node[x] != node[y]))
         if len(kept):
             x, y = x[kept], y[kept]
             n = np.where((subset[x] == 0) & (shared[kept] >= SHARED), 1, SHARED)
-            yield S.batch(_PAIRS, {"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "n": n})
+            yield np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), n
 
 
 def together(keys: DataFrame, least: float, small: int) -> DataFrame:
-    """(a, b), a < b: the texts that meet under enough keys.
+    """(a, b), a < b: the texts of (key, node, meta) that meet under enough keys."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        for b in batches:
+            yield b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
+
+    parts = packs.partitions(keys)
+    return together_packed(_packed(keys.select("key", "node", "meta"), make, parts), least, small, parts)
+
+
+def together_packed(keys: DataFrame, least: float, small: int, parts: int) -> DataFrame:
+    """``together`` of keys in packs for ``parts`` partitions.
 
     One shuffle brings the lists together, one task walks them in order; no list is longer than two blocks.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, dtype=np.int64)] * 3
-        for b in batches:
-            held = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if b.num_rows else 0
-            if last:
-                yield from _met(*(h[:last] for h in held), least, small)
-                held = [h[last:] for h in held]
-        if len(held[0]):
-            yield from _met(*held, least, small)
+        sums = packs.Sums(parts, SHARED)
+        for bucket, key, node, meta in packs.received(batches, _STEPS):
+            width = packs.buckets(parts)
+            for met in _met(key.view(np.uint64) * np.uint64(width) + bucket.view(np.uint64), node, meta, least, small):
+                yield from sums.add(*met)
+        yield from sums.rest()
+
+    return packs.totals(packs.sent(keys, parts).mapInArrow(walk, packs.DDL), parts, SHARED)
+
 
-    pairs = keys.repartition("key").sortWithinPartitions("key").mapInArrow(walk, "a long, b long, n int")
-    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+def among(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The ``texts`` whose number is in ``pairs``, and a few others: most are in none, and are dropped where they are read, before any shuffle."""
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct())
+    return S.only_present(texts, "num", S.presence(ends, ends.count()))
 
 
 def may_share(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The (a, b) of ``pairs`` that may be similar by the parities of their texts."""
-    bits = texts.select("node", "runs", *WORDS)
-    sides = [bits.select(F.col("node").alias(s), *(F.col(c).alias(s + c) for c in ("runs", *WORDS))) for s in "ab"]
+    bits = texts.select("num", "runs", *WORDS)
+    sides = [bits.select(F.col("num").alias(s), *(F.col(c).alias(s + c) for c in ("runs", *WORDS))) for s in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     differ = sum((F.bit_count(F.col("a" + w).bitwiseXOR(F.col("b" + w))) for w in WORDS[1:]), F.bit_count(F.col("a" + WORDS[0]).bitwiseXOR(F.col("b" + WORDS[0]))))
     total = F.col("aruns") + F.col("bruns")
@@ -225,12 +273,9 @@ def may_share(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs whose texts share at least ``least`` of their runs."""
-    # most texts are in no pair: they are dropped where they are read, before any shuffle
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    places = S.presence(ends, ends.count())
-    known = S.only_present(texts.select("node", "text"), "node", places).join(ends, "node", "left_semi").dropDuplicates(["node"])
-    left, right = (known.select(F.col("node").alias(x), F.col("text").alias("t" + x)) for x in "ab")
+    """(a, b), a < b: the nodes of the pairs of numbers whose texts differ and share at least ``least`` of their runs."""
+    known = among(pairs, texts.select("num", "node", "text"))
+    left, right = (known.select(F.col("num").alias(x), F.col("node").alias("n" + x), F.col("text").alias("t" + x)) for x in "ab")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,7 +283,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 same = S.similarity(b.column(2).to_pylist(), b.column(3).to_pylist()) >= least
                 yield b.select([0, 1]).filter(pa.array(same))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    met = pairs.join(left, "a").join(right, "b").where("na != nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "ta", "tb")
+    return met.mapInArrow(compare, "a long, b long")
 
 
 def class_links(df: DataFrame, record: str, columns: tuple[str, ...], least: float = 0.7, small: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -251,8 +297,13 @@ def class_links(df: DataFrame, record: str, columns: tuple[str, ...], least: flo
         ids, texts, counts = read_texts(df, record, columns, S.table_size(4 * rows))
         small = boundary(counts, least) if small is None else small
         ids = stored(ids)
-        pairs = stored(together(keys_of(texts, counts, least, small), least, small))
-        links = stored(confirmed(pairs, texts, least))
+        # a set of n runs has keys for little more than (1 - least) n, a small one ((1 - least) n)^2 / 2
+        expected = int(int(counts.sum(dtype=np.int64)) * max(1 - least, (1 - least) ** 2 * small / 2))
+        parts = packs.partitions(texts, expected)
+        keys = keys_of(texts, counts, least, small, parts, min(64, max(32, expected.bit_length() + 8)))
+        pairs = stored(together_packed(keys, least, small, parts))
+        some = among(pairs, texts)
+        links = stored(confirmed(stored(may_share(pairs, some, least)), some, least))
         kept += [ids, links]
     return ids, links
 

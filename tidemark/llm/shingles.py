@@ -137,20 +137,25 @@ def table_size(rows: int) -> int:
 _COUNTS = pa.schema([("segment", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 
 
+def places_of(values: np.ndarray, size: int) -> np.ndarray:
+    """Places of a presence table that whole numbers fall on, whether these are hashes or not."""
+    return (mixed(values.astype(np.uint64)) % np.uint64(size)).astype(np.int64)
+
+
 def presence(keys: DataFrame, rows: int) -> np.ndarray:
     """Which of a bounded number of places some key of the one column falls on; a place may hold many keys."""
     size = min(MOST_PLACES, max(SEGMENT, 1 << (8 * rows).bit_length()))
     if rows <= FEW_KEYS:
         field = np.zeros(size, dtype=bool)
-        field[(keys.toArrow().column(0).to_numpy().astype(np.uint64) % np.uint64(size)).astype(np.int64)] = True
+        field[places_of(keys.toArrow().column(0).to_numpy(), size)] = True
         return field
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         field, part = np.zeros(size, dtype=np.uint8), 0
         for b in batches:
-            at = b.column(0).to_numpy().astype(np.uint64) % np.uint64(size)
+            at = places_of(b.column(0).to_numpy(), size)
             part = int(at[0] % 16) if len(at) else part
-            field[at.astype(np.int64)] = 1
+            field[at] = 1
         for i, c in packed(field):
             yield batch(_COUNTS, {"segment": [i], "part": [part], "counts": [c]})
 
@@ -165,7 +170,7 @@ def only_present(df: DataFrame, key: str, places: np.ndarray, wanted: bool = Tru
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         has = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            yield b.filter(pa.array(has[(b.column(at).to_numpy().astype(np.uint64) % np.uint64(size)).astype(np.int64)] == wanted))
+            yield b.filter(pa.array(has[places_of(b.column(at).to_numpy(), size)] == wanted))
 
     return df.mapInArrow(keep, df.schema)
 

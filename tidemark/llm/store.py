@@ -56,7 +56,7 @@ class History:
         named = batch.where(F.col(self.record).isNotNull()).select(F.col(self.record).cast("long").alias("id"), self.url, *self.columns)
         ids, texts, counts = near.read_texts(named, "id", self.columns, PLACES, H.chunk_keys)
         sites = named.select("id", H.same_url(F.col(self.url)).alias("site")).where("site is not null")
-        return stored(ids.join(sites, "id", "full").select("id", "site", "node")), texts, counts
+        return stored(ids.join(sites, "id", "full").select("id", "site", "node")), texts.drop("num"), counts
 
     def _append(self, rows: DataFrame, texts: DataFrame, chunks: DataFrame, counts: np.ndarray, instead: bool = False) -> None:
         """Write a part and name it, with those before it or ``instead`` of them; until then nobody sees any of its tables."""
@@ -106,8 +106,9 @@ class History:
             met = stored(H.meeting(probes, H.dealt(table, counts, wanted), self.least))
             old = self._read("texts")
             every = texts if old is None else texts.unionByName(old.select(texts.columns))
-            pairs = stored(near.may_share(met, every.drop("text").dropDuplicates(["node"]), self.least))
-            links = stored(near.confirmed(pairs, every, self.least))
+            some = near.among(met, every.withColumn("num", F.col("node"))).dropDuplicates(["num"])
+            pairs = stored(near.may_share(met, some, self.least))
+            links = stored(near.confirmed(pairs, some, self.least))
             repeats = stored(H.settled(self._known(rows, links), links).withColumnRenamed("id", self.record))
             kept.append(repeats)
             accepted = stored(rows.join(repeats.select(F.col(self.record).alias("id")), "id", "left_anti"))
