@@ -4,8 +4,8 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from tests.llm.test_groups import runs, sentence, similar
-from tidemark.llm import near, packs
+from tests.llm.test_groups import copies, runs, sentence, similar
+from tidemark.llm import near, packs, store
 
 
 def written(spark):
@@ -60,3 +60,17 @@ def test_near_pairs_shuffles_little(spark):
     assert {p for p in got if set(p) <= set(at)} == want and len(want) >= 60
     # 3.9 times the texts; as rows 9
     assert written(spark) - before < 5 * sum(len(t.encode()) for t in texts)
+
+
+def test_look_up_shuffles_little(spark):
+    """p7_found: chunks and the pairs they make take less than as rows of their own, and not a repeat of a cluster is lost."""
+    rng = random.Random(15)
+    base = [sentence(rng, 50) for _ in range(4)]
+    texts = [t for k, b in enumerate(base) for t in copies(k, b, 375, 4)] + [t[: len(t) // 2] + "新" + t[len(t) // 2 :] for t in base * 75]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "id long, url string, t string").repartition(6)
+    before = written(spark)
+    got = {tuple(r) for r in store.repeated(df.where("id < 1500"), df.where("id >= 1500"), "id", "url", ("t",)).collect()}
+    shuffled = (written(spark) - before) / sum(len(t.encode()) for t in texts)
+    assert {i for _, i in got} == set(range(1_500, 1_800))
+    # 1.13 times the texts; as rows 1.43
+    assert shuffled < 1.28, shuffled

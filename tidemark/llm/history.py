@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import near
+from tidemark.llm import near, packs
 from tidemark.llm import shingles as S
 from tidemark.scratch import stored
 
@@ -27,7 +27,12 @@ REST, LEAST = 0.5, 6
 #: The least share of a text's bytes that the chunks looked up must cover in a record.
 COVERAGE = 0.03
 
-_CHUNKS = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("runs", pa.int32())])
+#: Shares of a text's bytes are added up in units of 1 / UNITS, rounded up, so that no pair falls below COVERAGE by rounding.
+UNITS = 1 << 12
+
+_CHUNKS = pa.schema([("key", pa.int64()), ("num", pa.int64()), ("runs", pa.int32())])
+#: Columns of chunks that are shuffled: key, number of the text, and its runs with the units that the chunk covers (0 for an entry of the table).
+_STEPS = (False, True, False)
 
 
 def same_url(url: Column) -> Column:
@@ -64,18 +69,18 @@ def chunk_keys(texts: list[str]) -> np.ndarray:
 
 
 def chunk_rows(texts: DataFrame) -> DataFrame:
-    """(key, node, runs): the distinct chunks of every text of (node, text, runs)."""
+    """(key, num, runs): the distinct chunks of every text of (num, text, runs)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, texts, runs = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            nums, texts, runs = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
             for i in range(0, len(texts), S.PIECE):
                 text, key, _ = chunks(texts[i : i + S.PIECE])
                 first = S.first_of_each(text, key)
                 at = text[first] + i
-                yield S.batch(_CHUNKS, {"key": key[first].astype(np.int64), "node": nodes[at], "runs": runs[at]})
+                yield S.batch(_CHUNKS, {"key": key[first].astype(np.int64), "num": nums[at], "runs": runs[at]})
 
-    return texts.select("node", "text", "runs").mapInArrow(make, "key long, node long, runs int")
+    return texts.select("num", "text", "runs").mapInArrow(make, "key long, num long, runs int")
 
 
 def rarest(texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,54 +101,97 @@ def rarest(texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return text[kept], key[kept], (size / total[text])[kept], load[kept]
 
 
-def probes(texts: DataFrame, counts: np.ndarray, block: int = near.BLOCK) -> DataFrame:
-    """(key, node, runs, met, share): the chunks of (node, text, runs) to look up; ``key`` is that of the table, ``met`` that of the block of a list to be met."""
+def probes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(key, num, runs, units): the chunks of (num, text, runs) to look up."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)  # at most 16 MB
-    schema = pa.schema([*_CHUNKS, ("met", pa.int64()), ("share", pa.float32())])
+    schema = pa.schema([*_CHUNKS, ("units", pa.int32())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, texts, runs = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            nums, texts, runs = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
             for i in range(0, len(texts), S.PIECE):
-                text, key, share, load = rarest(texts[i : i + S.PIECE], shared.value)
-                blocks = np.maximum(1, -(-load // block))
-                copy = np.repeat(np.arange(len(key)), blocks)
-                turn = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                at = text[copy] + i
-                yield S.batch(schema, {"key": key[copy].astype(np.int64), "node": nodes[at], "runs": runs[at], "met": _block_key(key[copy], turn).astype(np.int64), "share": share[copy]})
+                text, key, share, _ = rarest(texts[i : i + S.PIECE], shared.value)
+                at = text + i
+                yield S.batch(schema, {"key": key.astype(np.int64), "num": nums[at], "runs": runs[at], "units": np.maximum(1, np.ceil(share * UNITS - 1e-9)).astype(np.int32)})
 
-    return texts.select("node", "text", "runs").mapInArrow(make, "key long, node long, runs int, met long, share float")
+    return texts.select("num", "text", "runs").mapInArrow(make, "key long, num long, runs int, units int")
 
 
 def _block_key(key: np.ndarray, block: np.ndarray) -> np.ndarray:
     return S.mixed(key + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def dealt(table: DataFrame, counts: np.ndarray, wanted: np.ndarray, block: int = near.BLOCK) -> DataFrame:
-    """(met, node, runs) of the entries of a chunk table that a probe may meet; long lists are dealt to blocks."""
+def meeting(looked_up: DataFrame, table: DataFrame, counts: np.ndarray, wanted: np.ndarray, least: float, expected: int, block: int = near.BLOCK) -> DataFrame:
+    """(a, b), a < b: numbers of texts of ``probes`` and of other texts of fitting size of a chunk table that cover COVERAGE of their bytes.
+
+    ``wanted``: the places of the chunks looked up, about ``expected``.  Long lists of the table are dealt to blocks, each of which a probe meets.  Keys are
+    cut to as many bits as keep chance meetings rare; these only add pairs, which are compared as all others.
+    """
     shared = table.sparkSession.sparkContext.broadcast((counts, np.packbits(wanted)))  # at most 18 MB
-    width = len(wanted)
-    schema = pa.schema([("met", pa.int64()), ("node", pa.int64()), ("runs", pa.int32())])
+    places, parts, bits = len(wanted), packs.partitions(table, 4 * expected), min(64, max(32, int(counts.sum(dtype=np.int64)).bit_length() + 8))
+    width = packs.buckets(parts)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, has = shared.value[0], np.unpackbits(shared.value[1]).astype(bool)
-        for b in batches:
-            keys = b.column(0).to_numpy().view(np.uint64)
-            kept = np.flatnonzero(has[S.places_of(keys, width)])
-            b, keys = b.take(pa.array(kept)), keys[kept]
-            blocks = np.maximum(1, -(-counts[(keys % np.uint64(len(counts))).astype(np.int64)].astype(np.int64) // block)).astype(np.uint64)
-            turn = S.mixed(b.column(1).to_numpy().view(np.uint64)) % blocks
-            yield S.batch(schema, {"met": _block_key(keys, turn).astype(np.int64), "node": b.column(1), "runs": b.column(2)})
+    def blocks_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.maximum(1, -(-counts[(keys % np.uint64(len(counts))).astype(np.int64)].astype(np.int64) // block))
 
-    return table.select("key", "node", "runs").mapInArrow(make, "met long, node long, runs int")
+    def cut(key: np.ndarray) -> np.ndarray:
+        return key & np.uint64((1 << bits) - 1)
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        counts = shared.value[0]
+        for b in batches:
+            keys, nums, runs, units = (b.column(i).to_numpy() for i in range(4))
+            blocks = blocks_of(keys.view(np.uint64), counts)
+            copy = np.repeat(np.arange(len(keys)), blocks)
+            turn = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            yield cut(_block_key(keys.view(np.uint64)[copy], turn)), nums[copy], (runs[copy].astype(np.int64) << 16) | units[copy]
 
-def meeting(looked_up: DataFrame, table: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b: texts of ``probes`` and different texts of fitting size of ``dealt`` that cover COVERAGE of their bytes."""
-    x, y = looked_up.select("met", F.col("node").alias("x"), F.col("runs").alias("n"), "share"), table.select("met", F.col("node").alias("y"), F.col("runs").alias("m"))
-    fit = (F.col("x") != F.col("y")) & (F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - F.lit(1e-9))
-    covered = x.join(y, (x["met"] == y["met"]) & fit).groupBy("x", "y").agg(F.sum("share").alias("share")).where(F.col("share") >= COVERAGE - 1e-6)
-    return covered.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        counts, has = shared.value[0], np.unpackbits(shared.value[1]).astype(bool)
+        for b in batches:
+            keys = b.column(0).to_numpy().view(np.uint64)
+            kept = np.flatnonzero(has[S.places_of(keys, places)])
+            keys, nums, runs = keys[kept], b.column(1).to_numpy()[kept], b.column(2).to_numpy()[kept]
+            turn = S.mixed(nums.view(np.uint64)) % blocks_of(keys, counts).astype(np.uint64)
+            yield cut(_block_key(keys, turn)), nums, runs.astype(np.int64) << 16
+
+    most = int(COVERAGE * UNITS - 1e-6)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = packs.Sums(parts, most)
+        for bucket, key, num, meta in packs.received(batches, _STEPS):
+            for met in _met(key.view(np.uint64) * np.uint64(width) + bucket.view(np.uint64), num, meta >> 16, meta & 0xFFFF, least):
+                yield from sums.add(*met)
+        yield from sums.rest()
+
+    both = near.in_packs(looked_up.select("key", "num", "runs", "units"), ask, parts).unionByName(near.in_packs(table.select("key", "num", "runs"), hold, parts))
+    covered = packs.totals(packs.sent(both, parts).mapInArrow(walk, packs.DDL), parts, most)
+    return covered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _met(key: np.ndarray, num: np.ndarray, runs: np.ndarray, units: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text looked up, other text of fitting size, units) of every chunk that both have; entries of the table have no units."""
+    asked, order = np.flatnonzero(units > 0), np.flatnonzero(units == 0)
+    order = order[np.lexsort((runs[order], key[order]))]
+    listed, start = np.unique(key[order], return_index=True)
+    at = np.searchsorted(listed, key[asked])
+    found = np.flatnonzero(at < len(listed))
+    found = found[listed[at[found]] == key[asked[found]]]
+    asked, at = asked[found], at[found]
+    # the entries of a list by size
+    within = np.repeat(np.arange(len(listed)), np.diff(np.r_[start, len(order)])) << 32 | runs[order]
+    low, high = np.ceil(least * runs[asked] - 1e-6).astype(np.int64), (runs[asked] / least + 1e-6).astype(np.int64)
+    begin, end = np.searchsorted(within, at << 32 | low), np.searchsorted(within, at << 32 | high, side="right")
+    count = np.maximum(0, end - begin)
+    upto = np.cumsum(count)
+    first = 0
+    for stop in [min(int(c) + 1, len(asked)) for c in np.searchsorted(upto, np.arange(near.AT_ONCE, int(upto[-1]) + near.AT_ONCE, near.AT_ONCE))] if len(upto) else []:
+        n = count[first:stop]
+        x = np.repeat(asked[first:stop], n)
+        y = order[np.repeat(begin[first:stop], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)]
+        first = stop
+        kept = (np.minimum(runs[x], runs[y]) >= least * np.maximum(runs[x], runs[y]) - 1e-9) & (num[x] != num[y])
+        yield num[x][kept], num[y][kept], units[x][kept]
 
 
 def settled(rows: DataFrame, links: DataFrame) -> DataFrame:

@@ -172,10 +172,11 @@ def keys_of(texts: DataFrame, counts: np.ndarray, least: float, small: int, part
                 key, of, meta = keys_of_texts(texts[i : i + S.PIECE], some, rank, counts, least, small)
                 yield key & np.uint64((1 << bits) - 1), some[of], meta
 
-    return _packed(texts.select("num", "text"), make, parts)
+    return in_packs(texts.select("num", "text"), make, parts)
 
 
-def _packed(df: DataFrame, make: Callable, parts: int) -> DataFrame:
+def in_packs(df: DataFrame, make: Callable, parts: int) -> DataFrame:
+    """What ``make`` makes of the batches of ``df``, (key, number, meta), in packs by key."""
     width = packs.buckets(parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +237,7 @@ def together(keys: DataFrame, least: float, small: int) -> DataFrame:
             yield b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()
 
     parts = packs.partitions(keys)
-    return together_packed(_packed(keys.select("key", "node", "meta"), make, parts), least, small, parts)
+    return together_packed(in_packs(keys.select("key", "node", "meta"), make, parts), least, small, parts)
 
 
 def together_packed(keys: DataFrame, least: float, small: int, parts: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """A history that is kept in tables: new batches are looked up in it, and what is accepted is appended.
 
-A part of the history is a folder with four tables: ``groups`` (kind, g, id: the text or the url of each row), ``texts`` (node, text, runs, parities),
-``chunks`` (key, node, runs) and ``counts`` of the chunks.  The first three lie in folders by bucket of their key, of which a batch reads those it has
+A part of the history is a folder with four tables: ``groups`` (kind, g, id: the text or the url of each row), ``texts`` (node, num, text, runs, parities),
+``chunks`` (key, num, runs) and ``counts`` of the chunks.  The first three lie in folders by bucket of their key, of which a batch reads those it has
 keys in.  All tables of a part become visible at once, when the list of parts is replaced.  One writer at a time; ``compact`` makes one part of many.
 """
 
@@ -21,7 +21,9 @@ from tidemark.sinks import versioned
 
 #: Folders of a table, and buckets of the table of counts (16 MB).
 BUCKETS, PLACES = 16, 1 << 22
-_TABLES = {"groups": "kind int, g long, id long", "texts": f"node long, text string, runs int, {', '.join(w + ' long' for w in near.WORDS)}", "chunks": "key long, node long, runs int"}
+#: Bit of a text's number where that of its part begins; below are the partition (17 bits) and the place in it.
+SERIAL_AT = near.PLACE_BITS + 17
+_TABLES = {"groups": "kind int, g long, id long", "texts": f"node long, num long, text string, runs int, {', '.join(w + ' long' for w in near.WORDS)}", "chunks": "key long, num long, runs int"}
 
 
 class History:
@@ -56,11 +58,20 @@ class History:
         named = batch.where(F.col(self.record).isNotNull()).select(F.col(self.record).cast("long").alias("id"), self.url, *self.columns)
         ids, texts, counts = near.read_texts(named, "id", self.columns, PLACES, H.chunk_keys)
         sites = named.select("id", H.same_url(F.col(self.url)).alias("site")).where("site is not null")
-        return stored(ids.join(sites, "id", "full").select("id", "site", "node")), texts.drop("num"), counts
+        # no two parts give a number twice
+        texts = texts.withColumn("num", F.col("num") + F.lit((1 + self._serial()) << SERIAL_AT))
+        return stored(ids.join(sites, "id", "full").select("id", "site", "node")), texts, counts
+
+    def _serial(self) -> int:
+        """The largest number of a part so far, which its name gives."""
+        names = [p.split("-") for p in self.parts()]
+        if any(len(n) != 3 for n in names):
+            raise ValueError(f"{self.where} was written before texts had numbers; load it anew")
+        return max((int(n[1]) for n in names), default=0)
 
     def _append(self, rows: DataFrame, texts: DataFrame, chunks: DataFrame, counts: np.ndarray, instead: bool = False) -> None:
         """Write a part and name it, with those before it or ``instead`` of them; until then nobody sees any of its tables."""
-        name = f"part-{uuid.uuid4().hex}"
+        name = f"part-{self._serial() + (not instead)}-{uuid.uuid4().hex}"
         path = f"{self.where}/{name}"
         groups = [rows.where(F.col(c).isNotNull()).select(F.lit(i).alias("kind"), F.col(c).alias("g"), "id") for i, c in enumerate(("node", "site"))]
         for table, df, key in (("groups", groups[0].unionByName(groups[1]), "g"), ("texts", texts, "node"), ("chunks", chunks, "key")):
@@ -99,21 +110,22 @@ class History:
             rows, texts, fresh = self._texts(batch)
             counts = self.counts() + fresh
             probes = stored(H.probes(texts, counts))
-            wanted = S.presence(probes.select("key"), probes.count())
+            wanted = S.presence(probes.select("key"), asked := probes.count())
             own = stored(H.chunk_rows(texts))
             known = self._read("chunks", probes, "key")
             table = own if known is None else own.unionByName(known.drop("bucket"))
-            met = stored(H.meeting(probes, H.dealt(table, counts, wanted), self.least))
+            met = stored(H.meeting(probes, table, counts, wanted, self.least, asked))
             old = self._read("texts")
             every = texts if old is None else texts.unionByName(old.select(texts.columns))
-            some = near.among(met, every.withColumn("num", F.col("node"))).dropDuplicates(["num"])
+            some = near.among(met, every)
             pairs = stored(near.may_share(met, some, self.least))
-            links = stored(near.confirmed(pairs, some, self.least))
+            links = stored(near.confirmed(pairs, some, self.least).distinct())
             repeats = stored(H.settled(self._known(rows, links), links).withColumnRenamed("id", self.record))
             kept.append(repeats)
             accepted = stored(rows.join(repeats.select(F.col(self.record).alias("id")), "id", "left_anti"))
             nodes = stored(accepted.where("node is not null").select("node").distinct())
-            self._append(accepted, texts.join(nodes, "node", "left_semi"), own.join(nodes, "node", "left_semi"), fresh)
+            new = texts.join(nodes, "node", "left_semi")
+            self._append(accepted, new, own.join(new.select("num"), "num", "left_semi"), fresh)
         return repeats
 
     def _known(self, rows: DataFrame, links: DataFrame) -> DataFrame:
