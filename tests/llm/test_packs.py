@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from tests.llm.test_groups import copies, runs, sentence, similar
 from tidemark.llm import near, packs, store
+from tidemark.llm import shingles as S
 
 
 def written(spark):
@@ -74,3 +75,54 @@ def test_look_up_shuffles_little(spark):
     assert {i for _, i in got} == set(range(1_500, 1_800))
     # 1.13 times the texts; as rows 1.43
     assert shuffled < 1.28, shuffled
+
+
+def moved(spark):
+    """Rows that all stages of the session wrote to tables and shuffles, by stage."""
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.outputRecords() + s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_look_up_moves_few_rows(spark):
+    """p7_found: neither chunks nor pairs of texts that can't be alike are rows of their own, and all repeats are found."""
+    rng = random.Random(16)
+    base = [sentence(rng, 40) for _ in range(600)]
+    texts = base + [t[:30] + "新" + t[30:] for t in base[:100]] + [sentence(rng, 40) for _ in range(300)]
+    df = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "id long, url string, t string").repartition(6)
+    before = moved(spark)
+    got = {tuple(r) for r in store.repeated(df.where("id < 600"), df.where("id >= 600"), "id", "url", ("t",)).collect()}
+    rows = sum(n for s, n in moved(spark).items() if s not in before) / len(texts)
+    assert got == {(i, 600 + i) for i in range(100)}
+    # 24.5 rows a text; as rows of their own 61.1
+    assert rows < 40, rows
+
+
+def test_folded_parities_bound():
+    """Whatever the sign of a word, two texts differ in at least as many runs as bits of half the parities."""
+    rng = random.Random(18)
+    texts = [sentence(rng, 5) for _ in range(40)]
+    texts += [t + rng.choice("甲乙丙丁") for t in texts]
+    found = S.grams(texts)
+    signs = [w.view("u8") for w in S.folded(list(S.parities(found, len(texts)).T))]
+    sets = [runs(t) for t in texts]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        differ = sum(int(np.bitwise_count(s[i] ^ s[j])) for s in signs)
+        assert differ <= len(sets[i] ^ sets[j])
+
+
+def test_history_of_many_parts(spark, tmp_path):
+    """Packed chunks of several parts, made one, are looked up, and all pairs are found."""
+    rng = random.Random(17)
+    base = [sentence(rng, 40) for _ in range(60)]
+    batches = [base[:30], base[30:], [t[:20] + "新" + t[20:] for t in base]]
+    kept = store.History(spark, str(tmp_path / "h"), "id", "url", ("t",))
+    for k, texts in enumerate(batches):
+        if k == 2:
+            kept.compact()
+            assert len(kept.parts()) == 1
+        df = spark.createDataFrame([(100 * k + i, None, t) for i, t in enumerate(texts)], "id long, url string, t string")
+        got = {tuple(r) for r in kept.accept(df).collect()}
+        want = {(i if i < 30 else 70 + i, 100 * k + i) for i in range(len(texts))} if k > 1 else set()
+        assert got == want
+    assert spark.read.parquet(f"{kept.where}/{kept.parts()[0]}/chunks").count() <= 12

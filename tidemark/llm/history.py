@@ -3,8 +3,8 @@
 Content-defined chunking: a rolling hash over the characters of a text's plain form sets chunk boundaries, so that an edit changes
 only the chunks around it.  A table from chunk to record is kept (``store.History``).  Of a new text the rarest chunks that any other text has are
 looked up, so many that less than REST of the bytes of such chunks are left: a record that covers so much is always met, and of
-those that cover less nearly all.  The bytes that a record shares are added up; those of fitting size that cover enough are compared by the
-parities of their runs, which bound what two texts share, and exactly.  Rows whose urls agree repeat each other, too.
+those that cover less nearly all.  The bytes that a record shares are added up; a pair counts only if it is of fitting size and its texts may be
+alike by the parities of their runs, which bound what two texts share and come with the chunks.  Those that cover enough are compared exactly.  Rows whose urls agree repeat each other, too.
 """
 
 from __future__ import annotations
@@ -30,9 +30,16 @@ COVERAGE = 0.03
 #: Shares of a text's bytes are added up in units of 1 / UNITS, rounded up, so that no pair falls below COVERAGE by rounding.
 UNITS = 1 << 12
 
-_CHUNKS = pa.schema([("key", pa.int64()), ("num", pa.int64()), ("runs", pa.int32())])
-#: Columns of chunks that are shuffled: key, number of the text, and its runs with the units that the chunk covers (0 for an entry of the table).
-_STEPS = (False, True, False)
+#: A table of chunks has a row for some texts each: a block of their numbers, runs and parities, and one of (key, place of the text) for every bucket of keys.
+BUCKETS = 16
+_PACKED = pa.schema([("texts", pa.binary()), *((f"k{i}", pa.binary()) for i in range(BUCKETS))])
+PACKED_DDL = ", ".join(f"{f.name} binary" for f in _PACKED)
+_TEXT_STEPS, _KEY_STEPS = (True, False, *(False for _ in near.WORDS)), (False, True)
+_SIGNS = [f"s{i}" for i in range(len(near.WORDS) // 2)]
+_PROBES = pa.schema([("key", pa.int64()), ("num", pa.int64()), ("meta", pa.int64()), *((s, pa.int64()) for s in _SIGNS)])
+_PROBES_DDL = ", ".join(f"{f.name} long" for f in _PROBES)
+#: Columns of chunks that are shuffled: key, number of the text, its runs with the units that the chunk covers (0 for an entry of the table), folded parities.
+_STEPS = (False, True, False, *(False for _ in _SIGNS))
 
 
 def same_url(url: Column) -> Column:
@@ -68,19 +75,31 @@ def chunk_keys(texts: list[str]) -> np.ndarray:
     return key[S.first_of_each(text, key)]
 
 
-def chunk_rows(texts: DataFrame) -> DataFrame:
-    """(key, num, runs): the distinct chunks of every text of (num, text, runs)."""
+def chunk_packs(texts: DataFrame) -> DataFrame:
+    """The distinct chunks of every text of (num, text, runs, parities), as a table of chunks."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nums, texts, runs = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            texts, columns = b.column(0).to_pylist(), [b.column(i).to_numpy() for i in range(1, b.num_columns)]
             for i in range(0, len(texts), S.PIECE):
                 text, key, _ = chunks(texts[i : i + S.PIECE])
                 first = S.first_of_each(text, key)
-                at = text[first] + i
-                yield S.batch(_CHUNKS, {"key": key[first].astype(np.int64), "num": nums[at], "runs": runs[at]})
+                text, key = text[first], key[first].astype(np.int64)
+                some = [c[i : i + S.PIECE] for c in columns]
+                row = packs.blocks(np.zeros(len(some[0]), dtype=np.int64), some, _TEXT_STEPS, 1) + packs.blocks(key % BUCKETS, [key, text], _KEY_STEPS, BUCKETS)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], schema=_PACKED)
 
-    return texts.select("num", "text", "runs").mapInArrow(make, "key long, num long, runs int")
+    return texts.select("text", "num", "runs", *near.WORDS).mapInArrow(make, PACKED_DDL)
+
+
+def _unpacked(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(keys, place of each key's text, columns of the texts) of each row of a table of chunks, of which some buckets were read."""
+    for i in range(b.num_rows):  # one large row after the other
+        block, *keys = (c[i].as_py() for c in b.columns)
+        found = [packs.unblocked(k, _KEY_STEPS) for k in keys if k is not None]
+        if found:
+            key, place = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield key.view(np.uint64), place, packs.unblocked(block, _TEXT_STEPS)
 
 
 def rarest(texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,33 +121,34 @@ def rarest(texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def probes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(key, num, runs, units): the chunks of (num, text, runs) to look up."""
+    """(key, num, meta, folded parities): the chunks of (num, text, runs, parities) to look up; ``meta`` as in _STEPS."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)  # at most 16 MB
-    schema = pa.schema([*_CHUNKS, ("units", pa.int32())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nums, texts, runs = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
+            texts, (nums, runs, *words) = b.column(0).to_pylist(), (b.column(i).to_numpy() for i in range(1, b.num_columns))
+            signs = S.folded(words)
             for i in range(0, len(texts), S.PIECE):
                 text, key, share, _ = rarest(texts[i : i + S.PIECE], shared.value)
                 at = text + i
-                yield S.batch(schema, {"key": key.astype(np.int64), "num": nums[at], "runs": runs[at], "units": np.maximum(1, np.ceil(share * UNITS - 1e-9)).astype(np.int32)})
+                meta = (runs[at].astype(np.int64) << 16) | np.maximum(1, np.ceil(share * UNITS - 1e-9)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.astype(np.int64), nums[at], meta, *(s[at] for s in signs))], schema=_PROBES)
 
-    return texts.select("num", "text", "runs").mapInArrow(make, "key long, num long, runs int, units int")
+    return texts.select("text", "num", "runs", *near.WORDS).mapInArrow(make, _PROBES_DDL)
 
 
 def _block_key(key: np.ndarray, block: np.ndarray) -> np.ndarray:
     return S.mixed(key + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def meeting(looked_up: DataFrame, table: DataFrame, counts: np.ndarray, wanted: np.ndarray, least: float, expected: int, block: int = near.BLOCK) -> DataFrame:
-    """(a, b), a < b: numbers of texts of ``probes`` and of other texts of fitting size of a chunk table that cover COVERAGE of their bytes.
+def meeting(looked_up: DataFrame, tables: list[DataFrame], counts: np.ndarray, wanted: np.ndarray, least: float, expected: int, block: int = near.BLOCK) -> DataFrame:
+    """(a, b), a < b: numbers of texts of ``probes`` and of other texts of a chunk table that cover COVERAGE of their bytes and may be alike by size and parities.
 
     ``wanted``: the places of the chunks looked up, about ``expected``.  Long lists of the table are dealt to blocks, each of which a probe meets.  Keys are
     cut to as many bits as keep chance meetings rare; these only add pairs, which are compared as all others.
     """
-    shared = table.sparkSession.sparkContext.broadcast((counts, np.packbits(wanted)))  # at most 18 MB
-    places, parts, bits = len(wanted), packs.partitions(table, 4 * expected), min(64, max(32, int(counts.sum(dtype=np.int64)).bit_length() + 8))
+    shared = looked_up.sparkSession.sparkContext.broadcast((counts, np.packbits(wanted)))  # at most 18 MB
+    places, parts, bits = len(wanted), packs.partitions(looked_up, 4 * expected), min(64, max(32, int(counts.sum(dtype=np.int64)).bit_length() + 8))
     width = packs.buckets(parts)
 
     def blocks_of(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -140,37 +160,38 @@ def meeting(looked_up: DataFrame, table: DataFrame, counts: np.ndarray, wanted:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         counts = shared.value[0]
         for b in batches:
-            keys, nums, runs, units = (b.column(i).to_numpy() for i in range(4))
+            keys, *others = (c.to_numpy() for c in b.columns)
             blocks = blocks_of(keys.view(np.uint64), counts)
             copy = np.repeat(np.arange(len(keys)), blocks)
             turn = np.arange(len(copy)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            yield cut(_block_key(keys.view(np.uint64)[copy], turn)), nums[copy], (runs[copy].astype(np.int64) << 16) | units[copy]
+            yield cut(_block_key(keys.view(np.uint64)[copy], turn)), *(c[copy] for c in others)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         counts, has = shared.value[0], np.unpackbits(shared.value[1]).astype(bool)
         for b in batches:
-            keys = b.column(0).to_numpy().view(np.uint64)
-            kept = np.flatnonzero(has[S.places_of(keys, places)])
-            keys, nums, runs = keys[kept], b.column(1).to_numpy()[kept], b.column(2).to_numpy()[kept]
-            turn = S.mixed(nums.view(np.uint64)) % blocks_of(keys, counts).astype(np.uint64)
-            yield cut(_block_key(keys, turn)), nums, runs.astype(np.int64) << 16
+            for keys, place, (nums, runs, *words) in _unpacked(b):
+                kept = np.flatnonzero(has[S.places_of(keys, places)])
+                keys, at = keys[kept], place[kept]
+                turn = S.mixed(nums[at].view(np.uint64)) % blocks_of(keys, counts).astype(np.uint64)
+                yield cut(_block_key(keys, turn)), nums[at], runs[at] << 16, *(s[at] for s in S.folded(words))
 
     most = int(COVERAGE * UNITS - 1e-6)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = packs.Sums(parts, most)
-        for bucket, key, num, meta in packs.received(batches, _STEPS):
-            for met in _met(key.view(np.uint64) * np.uint64(width) + bucket.view(np.uint64), num, meta >> 16, meta & 0xFFFF, least):
+        for bucket, key, num, meta, *signs in packs.received(batches, _STEPS):
+            for met in _met(key.view(np.uint64) * np.uint64(width) + bucket.view(np.uint64), num, meta >> 16, meta & 0xFFFF, signs, least):
                 yield from sums.add(*met)
         yield from sums.rest()
 
-    both = near.in_packs(looked_up.select("key", "num", "runs", "units"), ask, parts).unionByName(near.in_packs(table.select("key", "num", "runs"), hold, parts))
-    covered = packs.totals(packs.sent(both, parts).mapInArrow(walk, packs.DDL), parts, most)
-    return covered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = near.in_packs(looked_up, ask, parts, _STEPS)
+    for part in tables:
+        both = both.unionByName(near.in_packs(part, hold, parts, _STEPS))
+    return packs.totals(packs.sent(both, parts).mapInArrow(walk, packs.DDL), parts, most, either=True)
 
 
-def _met(key: np.ndarray, num: np.ndarray, runs: np.ndarray, units: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text looked up, other text of fitting size, units) of every chunk that both have; entries of the table have no units."""
+def _met(key: np.ndarray, num: np.ndarray, runs: np.ndarray, units: np.ndarray, signs: list[np.ndarray], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text looked up, other text, units) of every chunk that both have, if they may be alike by size and parities; entries of the table have no units."""
     asked, order = np.flatnonzero(units > 0), np.flatnonzero(units == 0)
     order = order[np.lexsort((runs[order], key[order]))]
     listed, start = np.unique(key[order], return_index=True)
@@ -190,7 +211,11 @@ def _met(key: np.ndarray, num: np.ndarray, runs: np.ndarray, units: np.ndarray,
         x = np.repeat(asked[first:stop], n)
         y = order[np.repeat(begin[first:stop], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)]
         first = stop
-        kept = (np.minimum(runs[x], runs[y]) >= least * np.maximum(runs[x], runs[y]) - 1e-9) & (num[x] != num[y])
+        total = runs[x] + runs[y]
+        differ = sum(np.bitwise_count((s[x] ^ s[y]).view(np.uint64)).astype(np.int64) for s in signs)  # of signed numbers, the absolute value's bits
+        kept = np.flatnonzero((total - differ >= 2 * np.ceil(least / (1 + least) * total - 1e-9)) & (num[x] != num[y]))
+        x, y = x[kept], y[kept]
+        kept = np.minimum(runs[x], runs[y]) >= least * np.maximum(runs[x], runs[y]) - 1e-9
         yield num[x][kept], num[y][kept], units[x][kept]
 
 

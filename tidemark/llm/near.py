@@ -175,8 +175,8 @@ def keys_of(texts: DataFrame, counts: np.ndarray, least: float, small: int, part
     return in_packs(texts.select("num", "text"), make, parts)
 
 
-def in_packs(df: DataFrame, make: Callable, parts: int) -> DataFrame:
-    """What ``make`` makes of the batches of ``df``, (key, number, meta), in packs by key."""
+def in_packs(df: DataFrame, make: Callable, parts: int, steps: tuple[bool, ...] = _STEPS) -> DataFrame:
+    """What ``make`` makes of the batches of ``df``, (key, number, meta) or more, in packs by key."""
     width = packs.buckets(parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def in_packs(df: DataFrame, make: Callable, parts: int) -> DataFrame:
 
     def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, *others = (np.concatenate(c) for c in zip(*held, strict=True))
-        return packs.pack(key % np.uint64(width), [key // np.uint64(width), *others], _STEPS)
+        return packs.pack(key % np.uint64(width), [key // np.uint64(width), *others], steps)
 
     return df.mapInArrow(send, packs.DDL)
 

@@ -55,6 +55,18 @@ def _unpack(n: int, data: bytes, steps: tuple[bool, ...]) -> list[np.ndarray]:
     return [np.cumsum(c) if step else c for c, step in zip(made, steps, strict=True)]
 
 
+def blocks(bucket: np.ndarray, columns: list[np.ndarray], steps: tuple[bool, ...], count: int) -> list[bytes | None]:
+    """The blocks of ``pack`` by bucket, one of ``count``; each says how many rows it has, for ``unblocked``."""
+    made, out = pack(bucket, columns, steps), [None] * count
+    for at, n, data in zip(*(made.column(i).to_pylist() for i in range(3)), strict=True):
+        out[at] = n.to_bytes(4, "little") + data
+    return out
+
+
+def unblocked(block: bytes, steps: tuple[bool, ...]) -> list[np.ndarray]:
+    return _unpack(int.from_bytes(block[:4], "little"), memoryview(block)[4:], steps)
+
+
 def sent(df: DataFrame, parts: int) -> DataFrame:
     """The blocks of ``pack`` with whole buckets in one of ``parts`` partitions each, bucket after bucket."""
     width = buckets(parts) // parts
@@ -100,7 +112,8 @@ class Sums:
 
 
 def bucket_of(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """The bucket of a pair, one of ``width``."""
+    """The bucket of a pair, one of ``width``; the same either way round."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
     x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return ((x ^ (x >> np.uint64(29))) % np.uint64(width)).astype(np.int64)
@@ -119,14 +132,16 @@ def summed(a: np.ndarray, b: np.ndarray, n: np.ndarray, most: int) -> tuple[np.n
     return ids[code[begin] // len(ids)], ids[code[begin] % len(ids)], total
 
 
-def totals(sums: DataFrame, parts: int, most: int) -> DataFrame:
-    """(a, b) of the pairs whose numbers of all tasks add up to ``most``."""
+def totals(sums: DataFrame, parts: int, most: int, either: bool = False) -> DataFrame:
+    """(a, b) of the pairs whose numbers of all tasks add up to ``most``; with ``either``, once and a < b if (a, b) or (b, a) does."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, a, b, n in received(batches, Sums.STEPS):
             a, b, n = summed(a, b, n, most)
-            kept = n >= most
-            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], schema=schema)
+            a, b = a[n >= most], b[n >= most]
+            if either:  # both are in one bucket
+                a, b, _ = summed(np.minimum(a, b), np.maximum(a, b), np.ones(len(a), dtype=np.int64), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
     return sent(sums, parts).mapInArrow(add, "a long, b long")

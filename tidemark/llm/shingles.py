@@ -10,6 +10,9 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 WIDTH = 40
 MASK = np.uint64((1 << WIDTH) - 1)
@@ -91,6 +94,12 @@ def parities(found: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(bool)).view("<i8").reshape(n, BITS // 64)
 
 
+def folded(parities: list[np.ndarray]) -> list[np.ndarray]:
+    """The parities on half as many bits; two texts differ in at least as many runs as bits of these, too."""
+    half = len(parities) // 2
+    return [x ^ y for x, y in zip(parities[:half], parities[half:], strict=True)]
+
+
 def ranks(counts: np.ndarray) -> np.ndarray:
     """For each bucket of a table of counts its place among at most 2^12, rare ones first: whole numbers up to 2^11, then by the logarithm."""
     steep = 2048 + 64 * np.log2(np.maximum(counts, 2048) / 2048)
@@ -163,16 +172,19 @@ def presence(keys: DataFrame, rows: int) -> np.ndarray:
 
 
 def only_present(df: DataFrame, key: str, places: np.ndarray, wanted: bool = True) -> DataFrame:
-    """The rows of ``df`` whose key may be among those of ``places``, or with ``wanted=False`` all others."""
+    """The rows of ``df`` whose key, a number, may be among those of ``places``, or with ``wanted=False`` all others.
+
+    Only the keys are sent to Python.
+    """
     shared = df.sparkSession.sparkContext.broadcast(np.packbits(places))  # at most 2 MB
-    size, at = len(places), df.columns.index(key)
+    size = len(places)
 
-    def keep(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        has = np.unpackbits(shared.value).astype(bool)
-        for b in batches:
-            yield b.filter(pa.array(has[places_of(b.column(at).to_numpy(), size)] == wanted))
+    @arrow_udf(T.BooleanType())
+    def has(keys: pa.Array) -> pa.Array:
+        at = places_of(keys.to_numpy(), size)
+        return pa.array((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1) == wanted)
 
-    return df.mapInArrow(keep, df.schema)
+    return df.where(has(F.col(key)))
 
 
 def batch(schema: pa.Schema, columns: dict[str, Iterable]) -> pa.RecordBatch:

@@ -1,13 +1,14 @@
 """A history that is kept in tables: new batches are looked up in it, and what is accepted is appended.
 
 A part of the history is a folder with four tables: ``groups`` (kind, g, id: the text or the url of each row), ``texts`` (node, num, text, runs, parities),
-``chunks`` (key, num, runs) and ``counts`` of the chunks.  The first three lie in folders by bucket of their key, of which a batch reads those it has
-keys in.  All tables of a part become visible at once, when the list of parts is replaced.  One writer at a time; ``compact`` makes one part of many.
+``chunks`` (``history.chunk_packs``) and ``counts`` of the chunks.  The first two lie in folders by bucket of their key and the chunks in columns by bucket, of which
+a batch reads those it has keys in.  All tables of a part become visible at once, when the list of parts is replaced.  One writer at a time; ``compact`` makes one part of many.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,11 @@ from tidemark.sinks import versioned
 
 #: Folders of a table, and buckets of the table of counts (16 MB).
 BUCKETS, PLACES = 16, 1 << 22
+#: Bytes of a row group of the table of chunks, whose rows are large.
+GROUP = 16 << 20
 #: Bit of a text's number where that of its part begins; below are the partition (17 bits) and the place in it.
 SERIAL_AT = near.PLACE_BITS + 17
-_TABLES = {"groups": "kind int, g long, id long", "texts": f"node long, num long, text string, runs int, {', '.join(w + ' long' for w in near.WORDS)}", "chunks": "key long, num long, runs int"}
+_TABLES = {"groups": "kind int, g long, id long", "texts": f"node long, num long, text string, runs int, {', '.join(w + ' long' for w in near.WORDS)}"}
 
 
 class History:
@@ -53,29 +56,36 @@ class History:
                 made = made.where(F.col("bucket").isin(held) if held else F.lit(False))
         return made
 
+    def _chunks(self, keys: DataFrame | None = None) -> list[DataFrame]:
+        """The table of chunks of each part; of its buckets only those that ``keys`` fall into."""
+        held = range(H.BUCKETS) if keys is None else sorted(r[0] for r in keys.select(F.pmod("key", F.lit(H.BUCKETS)).cast("int")).distinct().collect())
+        columns = ["texts", *(f"k{i}" for i in held)]
+        return [self.spark.read.schema(H.PACKED_DDL).parquet(f"{self.where}/{part}/chunks").select(columns) for part in self.parts()]
+
     def _texts(self, batch: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
         """(id, site, node) of rows with an id, stored; their texts; counts of their chunks."""
         named = batch.where(F.col(self.record).isNotNull()).select(F.col(self.record).cast("long").alias("id"), self.url, *self.columns)
         ids, texts, counts = near.read_texts(named, "id", self.columns, PLACES, H.chunk_keys)
         sites = named.select("id", H.same_url(F.col(self.url)).alias("site")).where("site is not null")
         # no two parts give a number twice
-        texts = texts.withColumn("num", F.col("num") + F.lit((1 + self._serial()) << SERIAL_AT))
+        texts = stored(texts.withColumn("num", F.col("num") + F.lit((1 + self._serial()) << SERIAL_AT)))
         return stored(ids.join(sites, "id", "full").select("id", "site", "node")), texts, counts
 
     def _serial(self) -> int:
         """The largest number of a part so far, which its name gives."""
         names = [p.split("-") for p in self.parts()]
-        if any(len(n) != 3 for n in names):
-            raise ValueError(f"{self.where} was written before texts had numbers; load it anew")
+        if any(len(n) != 3 or n[0] != "packed" for n in names):
+            raise ValueError(f"{self.where} was written before chunks were packed; load it anew")
         return max((int(n[1]) for n in names), default=0)
 
     def _append(self, rows: DataFrame, texts: DataFrame, chunks: DataFrame, counts: np.ndarray, instead: bool = False) -> None:
         """Write a part and name it, with those before it or ``instead`` of them; until then nobody sees any of its tables."""
-        name = f"part-{self._serial() + (not instead)}-{uuid.uuid4().hex}"
+        name = f"packed-{self._serial() + (not instead)}-{uuid.uuid4().hex}"
         path = f"{self.where}/{name}"
         groups = [rows.where(F.col(c).isNotNull()).select(F.lit(i).alias("kind"), F.col(c).alias("g"), "id") for i, c in enumerate(("node", "site"))]
-        for table, df, key in (("groups", groups[0].unionByName(groups[1]), "g"), ("texts", texts, "node"), ("chunks", chunks, "key")):
+        for table, df, key in (("groups", groups[0].unionByName(groups[1]), "g"), ("texts", texts, "node")):
             df.withColumn("bucket", F.pmod(F.col(key), F.lit(BUCKETS)).cast("int")).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{table}")
+        chunks.write.option("compression", "none").option("parquet.block.size", GROUP).parquet(f"{path}/chunks")  # blocks are compressed
         self.spark.createDataFrame(S.packed(counts), "segment int, counts binary").coalesce(1).write.parquet(f"{path}/counts")
         versioned.point(self.spark, self.where, "\n".join([*([] if instead else self.parts()), name]))
 
@@ -83,15 +93,14 @@ class History:
         """Accept all ``rows`` as they are, repeats among them too."""
         with scope():
             named, texts, counts = self._texts(rows)
-            self._append(named, texts, H.chunk_rows(texts), counts)
+            self._append(named, texts, H.chunk_packs(texts), counts)
 
     def compact(self) -> None:
         """Make one part of all; the old ones stay until nobody reads them and are then to be deleted by hand."""
         if len(self.parts()) > 1:
             groups = self._read("groups")
             rows = groups.select("id", *(F.when(F.col("kind") == i, F.col("g")).alias(c) for i, c in enumerate(("node", "site"))))
-            texts, chunks = (self._read(t).drop("bucket") for t in ("texts", "chunks"))
-            self._append(rows, texts, chunks, self.counts(), instead=True)
+            self._append(rows, self._read("texts").drop("bucket"), reduce(DataFrame.unionByName, self._chunks()), self.counts(), instead=True)
 
     def counts(self) -> np.ndarray:
         """How many texts of the history have a chunk, by bucket of a table of bounded size."""
@@ -111,21 +120,18 @@ class History:
             counts = self.counts() + fresh
             probes = stored(H.probes(texts, counts))
             wanted = S.presence(probes.select("key"), asked := probes.count())
-            own = stored(H.chunk_rows(texts))
-            known = self._read("chunks", probes, "key")
-            table = own if known is None else own.unionByName(known.drop("bucket"))
-            met = stored(H.meeting(probes, table, counts, wanted, self.least, asked))
+            met = stored(H.meeting(probes, [H.chunk_packs(texts), *self._chunks(probes)], counts, wanted, self.least, asked))
             old = self._read("texts")
             every = texts if old is None else texts.unionByName(old.select(texts.columns))
-            some = near.among(met, every)
+            some = stored(near.among(met, every))
             pairs = stored(near.may_share(met, some, self.least))
             links = stored(near.confirmed(pairs, some, self.least).distinct())
             repeats = stored(H.settled(self._known(rows, links), links).withColumnRenamed("id", self.record))
             kept.append(repeats)
             accepted = stored(rows.join(repeats.select(F.col(self.record).alias("id")), "id", "left_anti"))
             nodes = stored(accepted.where("node is not null").select("node").distinct())
-            new = texts.join(nodes, "node", "left_semi")
-            self._append(accepted, new, own.join(new.select("num"), "num", "left_semi"), fresh)
+            new = stored(texts.join(nodes, "node", "left_semi"))
+            self._append(accepted, new, H.chunk_packs(new), fresh)
         return repeats
 
     def _known(self, rows: DataFrame, links: DataFrame) -> DataFrame:
