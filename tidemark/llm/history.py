@@ -122,14 +122,15 @@ def rarest(texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def probes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     """(key, num, meta, folded parities): the chunks of (num, text, runs, parities) to look up; ``meta`` as in _STEPS."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)  # at most 16 MB
+    shared = texts.sparkSession.sparkContext.broadcast(S.squeezed(counts))  # at most 16 MB
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = S.unsqueezed(*shared.value)
         for b in batches:
             texts, (nums, runs, *words) = b.column(0).to_pylist(), (b.column(i).to_numpy() for i in range(1, b.num_columns))
             signs = S.folded(words)
             for i in range(0, len(texts), S.PIECE):
-                text, key, share, _ = rarest(texts[i : i + S.PIECE], shared.value)
+                text, key, share, _ = rarest(texts[i : i + S.PIECE], counts)
                 at = text + i
                 meta = (runs[at].astype(np.int64) << 16) | np.maximum(1, np.ceil(share * UNITS - 1e-9)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key.astype(np.int64), nums[at], meta, *(s[at] for s in signs))], schema=_PROBES)
@@ -147,7 +148,7 @@ def meeting(looked_up: DataFrame, tables: list[DataFrame], counts: np.ndarray, w
     ``wanted``: the places of the chunks looked up, about ``expected``.  Long lists of the table are dealt to blocks, each of which a probe meets.  Keys are
     cut to as many bits as keep chance meetings rare; these only add pairs, which are compared as all others.
     """
-    shared = looked_up.sparkSession.sparkContext.broadcast((counts, np.packbits(wanted)))  # at most 18 MB
+    shared = looked_up.sparkSession.sparkContext.broadcast((S.squeezed(counts), S.squeezed(np.packbits(wanted))))  # at most 18 MB
     places, parts, bits = len(wanted), packs.partitions(looked_up, 4 * expected), min(64, max(32, int(counts.sum(dtype=np.int64)).bit_length() + 8))
     width = packs.buckets(parts)
 
@@ -158,7 +159,7 @@ def meeting(looked_up: DataFrame, tables: list[DataFrame], counts: np.ndarray, w
         return key & np.uint64((1 << bits) - 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        counts = shared.value[0]
+        counts = S.unsqueezed(*shared.value[0])
         for b in batches:
             keys, *others = (c.to_numpy() for c in b.columns)
             blocks = blocks_of(keys.view(np.uint64), counts)
@@ -167,7 +168,7 @@ def meeting(looked_up: DataFrame, tables: list[DataFrame], counts: np.ndarray, w
             yield cut(_block_key(keys.view(np.uint64)[copy], turn)), *(c[copy] for c in others)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        counts, has = shared.value[0], np.unpackbits(shared.value[1]).astype(bool)
+        counts, has = S.unsqueezed(*shared.value[0]), np.unpackbits(S.unsqueezed(*shared.value[1])).astype(bool)
         for b in batches:
             for keys, place, (nums, runs, *words) in _unpacked(b):
                 kept = np.flatnonzero(has[S.places_of(keys, places)])
@@ -194,7 +195,9 @@ def _met(key: np.ndarray, num: np.ndarray, runs: np.ndarray, units: np.ndarray,
     """(text looked up, other text, units) of every chunk that both have, if they may be alike by size and parities; entries of the table have no units."""
     asked, order = np.flatnonzero(units > 0), np.flatnonzero(units == 0)
     order = order[np.lexsort((runs[order], key[order]))]
-    listed, start = np.unique(key[order], return_index=True)
+    ordered = key[order]
+    start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, dtype=np.int64)
+    listed = ordered[start]
     at = np.searchsorted(listed, key[asked])
     found = np.flatnonzero(at < len(listed))
     found = found[listed[at[found]] == key[asked[found]]]

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from tidemark.scratch import stored
+
 WIDTH = 40
 MASK = np.uint64((1 << WIDTH) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -119,15 +121,15 @@ def _add(parts: pd.DataFrame) -> pd.DataFrame:
 
 
 def summed(parts: DataFrame, size: int) -> np.ndarray:
-    """The table of ``size`` counts from (segment, part, counts); merged in two steps, its size doesn't grow with the data."""
-    few = parts.select("segment", "counts").limit(FEW_PARTS + 1).toArrow()
-    if len(few) <= FEW_PARTS:  # at most 32 MB, not worth two shuffles
+    """The table of ``size`` counts from a stored (segment, part, counts); merged in two steps, its size doesn't grow with the data."""
+    if parts.count() <= FEW_PARTS:  # at most 32 MB, not worth two shuffles
+        few = parts.select("segment", "counts").toArrow()
         counts = np.zeros(size, dtype="<u4")
         for i, c in zip(few.column(0).to_pylist(), few.column(1).to_pylist(), strict=True):
             counts[i * SEGMENT : (i + 1) * SEGMENT] += np.frombuffer(zlib.decompress(c), dtype="<u4")
         return counts
     shape = "segment int, counts binary"
-    return unpacked(parts.groupBy("segment", "part").applyInPandas(_add, shape).groupBy("segment").applyInPandas(_add, shape), size)
+    return unpacked(stored(parts.groupBy("segment", "part").applyInPandas(_add, shape).groupBy("segment").applyInPandas(_add, shape)), size)
 
 
 def unpacked(merged: DataFrame, size: int) -> np.ndarray:
@@ -138,6 +140,18 @@ def unpacked(merged: DataFrame, size: int) -> np.ndarray:
     return counts
 
 
+def squeezed(table: np.ndarray) -> tuple[str, int, bytes]:
+    """A table of numbers to be broadcast: compressed, as every executor and the driver keep a broadcast on disk."""
+    planes = np.ascontiguousarray(table).view(np.uint8).reshape(-1, table.itemsize).T.tobytes()
+    return table.dtype.str, len(table), pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def unsqueezed(kind: str, n: int, data: bytes) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, n * width), dtype=np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def table_size(rows: int) -> int:
     """Buckets of a table of counts: a power of two near four per row, from 2^16 to 2^22 (16 MB)."""
     return min(MOST, max(SEGMENT, 1 << (4 * rows).bit_length()))
@@ -168,7 +182,7 @@ def presence(keys: DataFrame, rows: int) -> np.ndarray:
         for i, c in packed(field):
             yield batch(_COUNTS, {"segment": [i], "part": [part], "counts": [c]})
 
-    return summed(keys.mapInArrow(fill, "segment int, part int, counts binary"), size) > 0
+    return summed(stored(keys.mapInArrow(fill, "segment int, part int, counts binary")), size) > 0
 
 
 def only_present(df: DataFrame, key: str, places: np.ndarray, wanted: bool = True) -> DataFrame:

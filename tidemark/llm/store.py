@@ -64,12 +64,15 @@ class History:
 
     def _texts(self, batch: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
         """(id, site, node) of rows with an id, stored; their texts; counts of their chunks."""
-        named = batch.where(F.col(self.record).isNotNull()).select(F.col(self.record).cast("long").alias("id"), self.url, *self.columns)
-        ids, texts, counts = near.read_texts(named, "id", self.columns, PLACES, H.chunk_keys)
-        sites = named.select("id", H.same_url(F.col(self.url)).alias("site")).where("site is not null")
-        # no two parts give a number twice
-        texts = stored(texts.withColumn("num", F.col("num") + F.lit((1 + self._serial()) << SERIAL_AT)))
-        return stored(ids.join(sites, "id", "full").select("id", "site", "node")), texts, counts
+        with scope() as kept:  # what was read isn't needed beside the tables made of it
+            named = batch.where(F.col(self.record).isNotNull()).select(F.col(self.record).cast("long").alias("id"), self.url, *self.columns)
+            ids, texts, counts = near.read_texts(named, "id", self.columns, PLACES, H.chunk_keys)
+            sites = named.select("id", H.same_url(F.col(self.url)).alias("site")).where("site is not null")
+            # no two parts give a number twice
+            texts = stored(texts.withColumn("num", F.col("num") + F.lit((1 + self._serial()) << SERIAL_AT)))
+            rows = stored(ids.join(sites, "id", "full").select("id", "site", "node"))
+            kept += [rows, texts]
+        return rows, texts, counts
 
     def _serial(self) -> int:
         """The largest number of a part so far, which its name gives."""
@@ -154,6 +157,9 @@ def repeated(accepted: DataFrame, incoming: DataFrame, record: str, url: str, co
     ``accepted`` is loaded into a history, ``incoming`` is looked up in it and appended.
     """
     spark = incoming.sparkSession
-    kept = History(spark, place(spark, "history-"), record, url, columns, least)
-    kept.load(accepted)
-    return kept.accept(incoming)
+    with scope() as kept:  # the history ends with it
+        history = History(spark, place(spark, "history-"), record, url, columns, least)
+        history.load(accepted)
+        repeats = history.accept(incoming)
+        kept.append(repeats)
+    return repeats

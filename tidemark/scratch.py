@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
@@ -85,12 +86,30 @@ def clear() -> None:
     _OF_SESSION.clear()
 
 
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffles of each table written within as soon as it is written.
+
+    Nothing reads them again; else they take disk until the driver happens to collect its garbage.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; losing an executor loses nothing."""
     spark = df.sparkSession
     path = place(spark)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with freed(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     schema = df.schema
     if partition_by:  # partition columns come last when read
         kept = [f for f in schema if f.name not in partition_by]
