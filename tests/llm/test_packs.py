@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from tests.llm.test_groups import copies, runs, sentence, similar
-from tidemark.llm import near, packs, store
+from tidemark.llm import history, near, packs, store
 from tidemark.llm import shingles as S
 from tidemark.scratch import folder
 
@@ -138,6 +138,43 @@ def test_squeezed_changes_no_number():
     assert len(S.squeezed(counts)[2]) < counts.nbytes / 10
 
 
+def test_sorts_of_one_word():
+    """Sorting by one word gives what sorting by columns does, also where the word doesn't tell keys apart or ids don't fit."""
+    rng = np.random.default_rng(21)
+    for top in (1, 5, 1_000):
+        group = np.sort(rng.integers(0, top, 3_000))
+        for key in (rng.integers(0, 40, 3_000).astype("u8"), rng.integers(0, 1 << 63, 3_000).astype("u8") >> np.uint64(1) << np.uint64(1)):
+            at = S.first_of_each(group, key)
+            assert [(int(g), int(k)) for g, k in zip(group[at], key[at], strict=True)] == sorted({(int(g), int(k)) for g, k in zip(group, key, strict=True)})
+    assert len(S.first_of_each(np.empty(0, dtype="i8"), np.empty(0, dtype="u8"))) == 0
+    for ids in (np.array([3, 1 << 26, (2 << 43) + 7, (1 << 43) + (5 << 26) + 1]), np.array([-5, 1, 1 << 62]), rng.integers(0, 1 << 60, 9), np.zeros(1, dtype="i8")):
+        a, b, n = ids[rng.integers(0, len(ids), 500)], ids[rng.integers(0, len(ids), 500)], rng.integers(1, 4, 500)
+        total = {}
+        for x, y, z in zip(a.tolist(), b.tolist(), n.tolist(), strict=True):
+            total[x, y] = total.get((x, y), 0) + z
+        got = packs.summed(a, b, n, 30)
+        assert [((x, y), z) for x, y, z in zip(*(g.tolist() for g in got), strict=True)] == [(p, min(total[p], 30)) for p in sorted(total)]
+
+
+def test_pieces_are_sorted_by_one_word(monkeypatch):
+    """p7_found: chunks and pairs are sorted as one number each, not by columns, which takes longer."""
+    rng = random.Random(22)
+    texts = [sentence(rng, 40) for _ in range(50)]
+    keys = history.chunk_keys(texts)
+    counts = np.bincount((keys % np.uint64(1 << 12)).astype(np.int64), minlength=1 << 12).astype("<u4")
+    want = history.rarest(texts, counts)
+
+    def never(*_):
+        raise AssertionError("sorted by columns")
+
+    with monkeypatch.context() as m:
+        m.setattr(np, "lexsort", never)
+        got = history.rarest(texts, counts)
+    assert all((g == w).all() for g, w in zip(got, want, strict=True)) and len(got[0]) > 250
+    text, key, _, load = got
+    assert list(zip(text, load, key, strict=True)) == sorted(zip(text, load, key, strict=True))
+
+
 def test_folded_parities_bound():
     """Whatever the sign of a word, two texts differ in at least as many runs as bits of half the parities."""
     rng = random.Random(18)

@@ -33,7 +33,8 @@ def buckets(parts: int) -> int:
 
 def pack(bucket: np.ndarray, columns: list[np.ndarray], steps: tuple[bool, ...]) -> pa.RecordBatch:
     """Blocks of the rows of each bucket, in the order given; ``steps``: whether a column is sent as differences."""
-    order = np.argsort(bucket.astype(np.int32), kind="stable")
+    small = bucket.astype(np.uint16)  # sorted by radix
+    order = np.argsort(small if (small == bucket).all() else bucket.astype(np.int32), kind="stable")
     bucket = bucket[order].astype(np.int32)
     columns = [c[order].astype(np.int64) for c in columns]
     begin = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, dtype=np.int64)
@@ -123,13 +124,31 @@ def summed(a: np.ndarray, b: np.ndarray, n: np.ndarray, most: int) -> tuple[np.n
     """(a, b, sum of n, at most ``most``), each pair once, in order."""
     if not len(a):
         return a, b, n
-    ids = np.unique(np.concatenate([a, b]))
-    code = np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b)
+    code = _codes(a, b)
     order = np.argsort(code)
     code = code[order]
     begin = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
     total = np.minimum(np.add.reduceat(n[order].astype(np.int64), begin), most)
-    return ids[code[begin] // len(ids)], ids[code[begin] % len(ids)], total
+    return a[order[begin]], b[order[begin]], total
+
+
+def _codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair, in the order of the pairs: the bits that the ids use, or else their places among all ids."""
+    used = int(np.bitwise_or.reduce(a) | np.bitwise_or.reduce(b))
+    if used < 0 or 2 * used.bit_count() > 63:
+        ids = np.unique(np.concatenate([a, b]))
+        return np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b)
+
+    def packed(x: np.ndarray) -> np.ndarray:
+        made, rest, width = np.zeros(len(x), dtype=np.int64), used, 0
+        while rest:  # from one run of used bits to the next
+            low = (rest & -rest).bit_length() - 1
+            bits = (~(rest >> low) & ((rest >> low) + 1)).bit_length() - 1
+            made |= ((x >> low) & ((1 << bits) - 1)) << width
+            rest, width = rest >> (low + bits) << (low + bits), width + bits
+        return made
+
+    return packed(a) << used.bit_count() | packed(b)
 
 
 def totals(sums: DataFrame, parts: int, most: int, either: bool = False) -> DataFrame:

@@ -32,7 +32,7 @@ _TABLES = {"groups": "kind int, g long, id long", "texts": f"node long, num long
 class History:
     """Accepted rows in ``where``, a folder that all executors share.
 
-    A row repeats another if their urls agree (``history.same_url``) or the plain forms of ``columns`` share ``least`` of their
+    A row repeats another if their urls agree (``history.same_url`` of ``history.bare_url``) or the plain forms of ``columns`` share ``least`` of their
     runs.  Null urls and rows without text repeat nothing by that field; rows with a null id are ignored.
     """
 
@@ -67,10 +67,11 @@ class History:
         with scope() as kept:  # what was read isn't needed beside the tables made of it
             named = batch.where(F.col(self.record).isNotNull()).select(F.col(self.record).cast("long").alias("id"), self.url, *self.columns)
             ids, texts, counts = near.read_texts(named, "id", self.columns, PLACES, H.chunk_keys)
-            sites = named.select("id", H.same_url(F.col(self.url)).alias("site")).where("site is not null")
+            # each made once for a row: not in one step, nor before a filter, which would make it again
+            sites = named.select("id", H.bare_url(F.col(self.url)).alias("bare")).select("id", H.same_url(F.col("bare")).alias("site"))
             # no two parts give a number twice
             texts = stored(texts.withColumn("num", F.col("num") + F.lit((1 + self._serial()) << SERIAL_AT)))
-            rows = stored(ids.join(sites, "id", "full").select("id", "site", "node"))
+            rows = stored(ids.join(sites, "id", "full").where("site is not null or node is not null").select("id", "site", "node"))
             kept += [rows, texts]
         return rows, texts, counts
 
